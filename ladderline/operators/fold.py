@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladderline.config import RatingConfig
-from ladderline.functions import rating
+from ladderline.functions import parse, rating
 from ladderline.operators import breaks as season
 from ladderline.operators import fold_task
 from ladderline.operators.ordinal import with_ordinal
@@ -31,7 +31,7 @@ from ladderline.session import new_path, shuffle_partitions, written
 
 MAX_GROUP_ROWS = 20_000_000
 
-_INPUT = ["pool", "ts", "src_rank", "ord", "id", "day", "home", "away",
+_INPUT = ["pool", "ts", "src_rank", "ord", "id", "date", "home", "away",
           "actual", "step", "home_base", "away_base", "break_no"]
 
 cloudpickle.register_pickle_by_value(fold_task)
@@ -70,7 +70,6 @@ def fold_input(matches: DataFrame, config: RatingConfig, registry: DataFrame | N
     step = rating.effective_k("league", config) * rating.margin_multiplier("hg", "ag", config)
     return (
         matches.where(F.col("ts").isNotNull())
-        .withColumn("day", F.substring("date", 1, 10))
         .withColumn("actual", rating.actual_home("hg", "ag"))
         .withColumn("step", step)
         .withColumn("home_base", base(home_league))
@@ -166,7 +165,10 @@ def _fold_in_slices(rows, config, dated, with_events, max_group_rows, split_slic
 
 def rating_events(fold: DataFrame) -> DataFrame:
     """Match and regression events, one row per change of a team's rating."""
-    return fold.where(F.col("event") != "state").drop("state")
+    return (
+        fold.where(F.col("event") != "state").drop("state")
+        .withColumn("date", parse.day_of(F.col("date")))
+    )
 
 
 def final_states(fold: DataFrame) -> DataFrame:

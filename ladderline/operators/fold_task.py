@@ -84,7 +84,7 @@ def folder(home_advantage: float, initial: float, factor: float, breaks: dict, c
             home, away = col["home"].to_pylist(), col["away"].to_pylist()
             actual, step = col["actual"].to_pylist(), col["step"].to_pylist()
             home_base, away_base = col["home_base"].to_pylist(), col["away_base"].to_pylist()
-            break_no, day = col["break_no"].to_pylist(), col["day"].to_pylist()
+            break_no, date = col["break_no"].to_pylist(), col["date"].to_pylist()
             carried = col["state"].to_pylist() if "state" in col else None
             regressed, played, before, after, seq = [], [], [], [], []
             for i in range(len(home)):
@@ -123,7 +123,7 @@ def folder(home_advantage: float, initial: float, factor: float, breaks: dict, c
                 else:
                     rh[_DRAWS] += 1
                     ra[_DRAWS] += 1
-                rh[_LAST] = ra[_LAST] = day[i]
+                rh[_LAST] = ra[_LAST] = date[i]
                 rh[_SEQ] += 1
                 seq_h = rh[_SEQ]
                 ra[_SEQ] += 1
@@ -138,7 +138,7 @@ def folder(home_advantage: float, initial: float, factor: float, breaks: dict, c
                 yield _events(
                     n, team=pa.array([t for i in played for t in (home[i], away[i])]),
                     event=pa.array(["match"] * n), seq=pa.array(seq, pa.int64()),
-                    date=col["day"].take(twice), match_id=col["id"].take(twice),
+                    date=col["date"].take(twice), match_id=col["id"].take(twice),
                     side=pa.array([0, 1] * (n // 2), pa.int32()), ts=col["ts"].take(twice),
                     src_rank=col["src_rank"].take(twice), ord=col["ord"].take(twice),
                     rating_before=pa.array(before), rating_after=pa.array(after))
