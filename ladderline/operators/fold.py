@@ -16,7 +16,9 @@ or at the end, and no group needs to see another group's matches.
 
 from __future__ import annotations
 
-from pyspark import cloudpickle
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,13 @@ def fold_input(matches: DataFrame, config: RatingConfig, registry: DataFrame | N
     )
 
 
+def _prepare_breaks(matches: DataFrame, config: RatingConfig):
+    if config.season_regression == 0.0:
+        return None, {}
+    spans = written(season.bucket_spans(matches, config), "spans")
+    return spans, season.dated_breaks(matches, spans)
+
+
 def rating_fold(
     matches: DataFrame,
     config: RatingConfig = RatingConfig(),
@@ -94,15 +103,16 @@ def rating_fold(
     components; by default it is when the slices are sparse enough for that to help.
     """
     spark = matches.sparkSession
-    dated: dict[int, tuple] = {}
-    if config.season_regression != 0.0:
-        spans = written(season.bucket_spans(matches, config), "spans")
-        dated = season.dated_breaks(matches, spans)
-        matches = season.with_break_no(matches, config, spans)
+    with ThreadPoolExecutor(2) as both:
+        # two independent preparations, side by side
+        found_breaks = both.submit(inheritable_thread_target(spark)(_prepare_breaks), matches, config)
+        found_pools = both.submit(inheritable_thread_target(spark)(sized_pools), matches, max_group_rows)
+        spans, dated = found_breaks.result()
+        pooled, pools, oversized = found_pools.result()
+    if spans is None:
+        pooled = pooled.withColumn("break_no", F.lit(0))
     else:
-        matches = matches.withColumn("break_no", F.lit(0))
-
-    pooled, pools, oversized = sized_pools(matches, max_group_rows)
+        pooled = season.with_break_no(pooled, config, spans)
     rows = fold_input(pooled, config, registry)
     # pools hash to tasks, so a few times more tasks than pools keeps them from sharing one
     n = max(shuffle_partitions(spark), min(4 * pools, 10_000))

@@ -12,62 +12,56 @@ SLOTS = 6  # teams per nation
 LEAGUES = ["PL", "PD", "BL1", "SA", "FL1"]
 
 
+# Schemas of the tables read, so that opening them starts no job.
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz",
+    "customer": "c_custkey long, c_nationkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation with its place in the region; 25 rows at every scale."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    other = nation.select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("rk"))
-    place = (
-        nation.join(other, nation.n_regionkey == other.rk)
-        .groupBy("n_nationkey", "n_name", "n_regionkey")
-        .agg(F.sum((F.col("k") < F.col("n_nationkey")).cast("long")).alias("npos"),
-             F.count(F.lit(1)).alias("nn"))
+    """Nation with its place in the region and all nation names of the region; 25 rows at every scale."""
+    members = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    return (
+        table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(members.alias("m"))
+        .select("n_regionkey", F.transform("m", lambda x: x["n_name"]).alias("names"), F.posexplode("m").alias("npos", "x"))
+        .select("n_regionkey", "names", "npos", "x.n_nationkey", F.col("x.n_name").alias("home_nation"))
     )
-    return place
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    nation = nations(spark, sf_dir)
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    orders = (
-        table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-        .where(~F.month("o_orderdate").isin(6, 7))
-    )
+    orders = table(spark, sf_dir, "orders").where(~F.month("o_orderdate").isin(6, 7))
     base = (
-        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(F.broadcast(nations(spark, sf_dir)), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("o_orderkey").alias("id"),
             F.col("o_orderdate").cast("timestamp").alias("ts"),
-            F.col("n_regionkey").alias("rk"), "nn", F.col("n_name").alias("home_nation"),
+            F.col("n_regionkey").alias("rk"), "names", "home_nation",
+            (F.size("names") * SLOTS).alias("teams"),
             (F.col("npos") * SLOTS + F.expr("o_custkey div 25") % SLOTS).alias("hidx"),
             F.floor("o_totalprice").cast("long").alias("p"),
         )
-        .withColumn("aidx", (F.col("hidx") + 1 + F.col("id") % (F.col("nn") * SLOTS - 1))
-                    % (F.col("nn") * SLOTS))
+        .withColumn("aidx", (F.col("hidx") + 1 + F.col("id") % (F.col("teams") - 1)) % F.col("teams"))
     )
-    visitors = nation.select(
-        F.col("n_regionkey").alias("rk"), F.col("npos").alias("apos"), F.col("n_name").alias("away_nation"))
+    away_nation = F.element_at("names", (F.expr(f"aidx div {SLOTS}") + 1).cast("int"))
     year = F.when(F.month("ts") >= 8, F.year("ts")).otherwise(F.year("ts") - 1)
-    return (
-        base.withColumn("apos", F.expr(f"aidx div {SLOTS}"))
-        .join(F.broadcast(visitors), ["rk", "apos"])
-        .select(
-            "id", "ts",
-            F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("date"),
-            F.element_at(F.array(*[F.lit(x) for x in LEAGUES]), F.col("rk") + 1).alias("league"),
-            parse.season_from_year(year).alias("season"),
-            F.concat_ws("-", "home_nation", (F.col("hidx") % SLOTS).cast("string")).alias("home"),
-            F.concat_ws("-", "away_nation", (F.col("aidx") % SLOTS).cast("string")).alias("away"),
-            (F.col("p") % 5).cast("int").alias("hg"),
-            ((F.expr("p div 7") + F.col("id")) % 4).cast("int").alias("ag"),
-            F.lit(0).alias("matchday"),
-            F.lit(0).alias("src_rank"),
-            F.col("id").alias("ord"),
-        )
+    return base.select(
+        "id", "ts",
+        F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("date"),
+        F.element_at(F.array(*[F.lit(x) for x in LEAGUES]), F.col("rk") + 1).alias("league"),
+        parse.season_from_year(year).alias("season"),
+        F.concat_ws("-", "home_nation", (F.col("hidx") % SLOTS).cast("string")).alias("home"),
+        F.concat_ws("-", away_nation, (F.col("aidx") % SLOTS).cast("string")).alias("away"),
+        (F.col("p") % 5).cast("int").alias("hg"),
+        ((F.expr("p div 7") + F.col("id")) % 4).cast("int").alias("ag"),
+        F.lit(0).alias("matchday"),
+        F.lit(0).alias("src_rank"),
+        F.col("id").alias("ord"),
     )
