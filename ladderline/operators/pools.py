@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, a: str = "home", b: str = "away") ->
         links = current.where(F.col("u") != F.col("v"))
         # large star: hang every larger neighbour of a node below the smallest one
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
             both.where(F.col("v") > F.col("u")).join(lowest, "u")
             .select(F.col("m").alias("u"), "v").where(F.col("u") != F.col("v")).distinct()
@@ -56,11 +56,12 @@ def sized_pools(matches: DataFrame, max_rows: int) -> tuple[DataFrame, int, list
     Leagues already are pools when nobody plays in two of them and every match names one. That and
     the sizes come from one aggregation; only if it fails are the pools searched in the match graph.
     """
-    appearances = team_names(matches).groupBy("team").agg(
-        F.min("league").alias("lo"), F.max("league").alias("hi"),
-        F.max((F.coalesce("league", F.lit("")) == "").cast("int")).alias("blank"),
-        F.count(F.lit(1)).alias("n"))
-    stray = (F.col("lo") != F.col("hi")) | (F.col("blank") == 1)
+    # counted per team and league first, which hashes; the text minima then see few rows
+    per_league = team_names(matches).groupBy("team", "league").agg(F.count(F.lit(1)).alias("n"))
+    appearances = per_league.groupBy("team").agg(
+        F.min("league").alias("lo"), F.count(F.lit(1)).alias("leagues"),
+        F.max((F.coalesce("league", F.lit("")) == "").cast("int")).alias("blank"), F.sum("n").alias("n"))
+    stray = (F.col("leagues") > 1) | (F.col("blank") == 1)
     by_league = appearances.groupBy(F.col("lo").alias("pool")).agg(
         F.floor(F.sum("n") / F.lit(2)).alias("rows"), F.max(stray.cast("int")).alias("stray"))
     found = _size_summary(by_league, max_rows, F.max("stray"))
