@@ -5,13 +5,15 @@ sequential along a team's matches. Pools of teams that never meet are independen
 groups of a grouped map; rows of a group arrive sorted and are streamed in Arrow batches, so a task
 holds one record per team, never the group.
 
-A pool larger than `max_group_rows` is not given to one task. Its matches are written in order, cut
-into consecutive slices of at most `max_group_rows`, and each slice is split again into the pools it
-contains by itself; team records carry over from slice to slice through a written table. The result
-is the same: a slice starts from exactly the records the previous one ended with.
+A pool larger than `max_group_rows` is not given to one task:
 
-A season break only touches a team's own rating. It is therefore applied when the team next plays,
-or at the end, and no group needs to see another group's matches.
+- with many teams it is folded in rounds that use the whole cluster (wide_pools.py);
+- with few teams nearly every match waits for the one before, and there is nothing to spread. Its
+  matches are written in order and cut into consecutive slices of at most `max_group_rows`; team
+  records carry over from slice to slice through a written table, so a lost executor costs a slice.
+
+All three give the same ratings. A season break only touches a team's own rating. It is therefore
+applied when the team next plays, or at the end, and no group needs to see another group's matches.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from ladderline.functions import parse, rating
 from ladderline.operators import breaks as season
 from ladderline.operators import fold_task
 from ladderline.operators.ordinal import with_ordinal
-from ladderline.operators.pools import connected_components, sized_pools
+from ladderline.operators.pools import sized_pools
+from ladderline.operators.wide_pools import fold_wide, round_sizes
 from ladderline.schema import MATCH_ORDER, RATING_EVENTS, TEAM_STATE
 from ladderline.session import new_path, shuffle_partitions, written
 
@@ -94,13 +97,13 @@ def rating_fold(
     registry: DataFrame | None = None,
     with_events: bool = True,
     max_group_rows: int = MAX_GROUP_ROWS,
-    split_slices: bool | None = None,
+    wide: bool | None = None,
 ) -> DataFrame:
     """Fold `matches` into rating events.
 
     Rows with event 'state' hold each team's final record; `with_events=False` returns only those.
-    `split_slices` says whether a slice of an oversized pool is split by its own connected
-    components; by default it is when the slices are sparse enough for that to help.
+    An oversized pool counts as wide when a round of it holds more than `max_group_rows` matches;
+    `wide` decides it for all.
     """
     spark = matches.sparkSession
     with ThreadPoolExecutor(2) as both:
@@ -119,14 +122,21 @@ def rating_fold(
     if not oversized:
         return _run(rows, _task(config, dated, True, with_events), n)
 
-    is_oversized = F.col("pool").isin(oversized)
-    small = _run(rows.where(~is_oversized), _task(config, dated, True, with_events), n)
-    large = _fold_in_slices(
-        rows.where(is_oversized), config, dated, with_events, max_group_rows, split_slices, n)
-    return small.unionByName(large)
-
-
-def _fold_in_slices(rows, config, dated, with_events, max_group_rows, split_slices, n) -> DataFrame:
+    large = F.col("pool").isin(oversized)
+    sizes = round_sizes(rows.where(large))
+    broad = {p: size for p, size in sizes.items() if (size > max_group_rows if wide is None else wide)}
+    narrow = [p for p in sizes if p not in broad]
+    out = _run(rows.where(~large), _task(config, dated, True, with_events), n)
+    if broad:
+        out = out.unionByName(
+            fold_wide(rows.where(F.col("pool").isin(list(broad))), broad, config, dated, with_events))
+    if narrow:
+        out = out.unionByName(
+            _fold_in_slices(rows.where(F.col("pool").isin(narrow)), config, dated, with_events, max_group_rows, n))
+    return out
+
+
+def _fold_in_slices(rows, config, dated, with_events, max_group_rows, n) -> DataFrame:
     spark = rows.sparkSession
     ordered = with_ordinal(rows, ["pool", *MATCH_ORDER], "position", "fold-order")
     starts = ordered.groupBy("pool").agg(F.min("position").alias("start"))
@@ -137,19 +147,12 @@ def _fold_in_slices(rows, config, dated, with_events, max_group_rows, split_slic
     ordered.drop("position", "start").write.partitionBy("slice").parquet(sliced_path)
     sliced = spark.read.parquet(sliced_path)
     last_slice = sliced.agg(F.max("slice")).first()[0]
-    if split_slices is None:
-        teams = sliced.select(F.explode(F.array("home", "away")).alias("t")).agg(
-            F.approx_count_distinct("t")).first()[0]
-        split_slices = teams > max_group_rows // 2
 
     out_root = new_path(spark, "fold-events")
     fold = _task(config, dated, False, with_events)
     records = None
     for number in range(last_slice + 1):
-        part = sliced.where(F.col("slice") == number).drop("slice")
-        if split_slices:
-            roots = connected_components(part.select("home", "away"))
-            part = part.drop("pool").join(roots.toDF("home", "pool"), "home").select(*_INPUT)
+        part = sliced.where(F.col("slice") == number).select(*_INPUT)
         if records is not None:
             present = part.select(F.explode(F.array("home", "away")).alias("team"), "pool").distinct()
             carried = records.join(present, "team")

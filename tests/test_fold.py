@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import replay, table
 from ladderline.config import RatingConfig
-from ladderline.operators import breaks, fold, pools, profiles, rankings
+from ladderline.operators import breaks, fold, pools, profiles, rankings, wide_pools
 from ladderline.session import written
 
 CONFIG = RatingConfig()
@@ -50,19 +50,34 @@ def test_matches_sequential_replay(spark, mixed):
     check(written(fold.rating_fold(table(spark, rows), CONFIG), "f"), rows, CONFIG)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_slices_of_an_oversized_pool_give_the_same(spark, split):
+@pytest.mark.parametrize("wide", [False, True])
+def test_oversized_pools_give_the_same(spark, wide):
     rows = random_rows(2, n=300, leagues=("PL", "SA"), teams=9)
-    done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=60, split_slices=split)
+    done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=60, wide=wide)
     check(written(done, "f"), rows, CONFIG)
 
 
-def test_only_the_oversized_pool_is_sliced(spark):
+@pytest.mark.parametrize("wide", [False, True])
+def test_only_the_oversized_pool_is_cut(spark, wide):
     rows = random_rows(3, n=200, leagues=("PL",) * 9 + ("SA",))
-    done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=70)
+    # leagueless rows, a team meeting itself, a debut after the last break
+    rows += [(900, "2030-01-01T15:00:00Z", "PL", "PL-1", "PL-1", 2, 0), (901, "2030-01-02T15:00:00Z", "PL", "PL-1", "new", 0, 0)]
+    done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=70, wide=wide)
     check(written(done, "f"), rows, CONFIG)
 
 
+def test_wide_pool_without_leagues(spark):
+    rows = random_rows(12, n=150, leagues=("PL", "", "XX"), teams=12, mixed=True)
+    done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=50, wide=True)
+    check(written(done, "f"), rows, CONFIG)
+
+
+def test_round_sizes_follow_the_busiest_team(spark):
+    rows = [("p", f"a{i}", f"b{i}") for i in range(1000)] + [("q", "hot", f"c{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "pool string, home string, away string")
+    assert wide_pools.round_sizes(df) == {"p": 1000, "q": 31}
+
+
 def test_partitioning_and_input_order_do_not_matter(spark):
     rows = random_rows(4)
     base = table(spark, rows)
