@@ -16,7 +16,8 @@ def with_ordinal(df: DataFrame, order: list, name: str, label: str = "ordinal")
     """Number all rows 1..n in `order`, which must be a total order.
 
     The range-partitioned sort is written once; a row's number is its place in its partition plus
-    the sizes of the partitions before it. Only the partition sizes meet in one window.
+    the sizes of the partitions before it. Only the partition sizes meet in one window. The sort
+    evaluates `df` twice, to sample and to sort: give it a written table when that is dear.
     """
     slot = f"_{name}_slot"
     part = F.shiftright(F.col(slot), _PLACE_BITS)

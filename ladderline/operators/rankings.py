@@ -11,6 +11,7 @@ from ladderline.functions import parse, rating
 from ladderline.operators.fold import FIRST_SEEN
 from ladderline.operators.merge import country
 from ladderline.operators.ordinal import with_ordinal
+from ladderline.session import written
 
 TOP = 20
 
@@ -21,7 +22,8 @@ def rating_order() -> list:
 
 def ranked(states: DataFrame) -> DataFrame:
     """Final records with `rank`: rating descending, equal ratings by first appearance."""
-    return with_ordinal(states, rating_order(), "rank", "ranked")
+    # the sort reads its input twice, to sample and to sort; the records come out of a fold
+    return with_ordinal(written(states, "states"), rating_order(), "rank", "ranked")
 
 
 def with_registry(teams: DataFrame, registry: DataFrame) -> DataFrame:

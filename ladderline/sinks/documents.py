@@ -29,9 +29,9 @@ def _object(entries: Column) -> Column:
     return F.to_json(F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["key"], e["value"]))))
 
 
-def _write(documents: DataFrame, order: list[str], path: str) -> None:
-    """One document per line; parts of one document land in as few files as their number allows."""
-    documents.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+def _write(documents: DataFrame, path: str) -> None:
+    """One document per line."""
+    documents.select("value").write.mode("overwrite").text(path)
 
 
 def write_registry(registry: DataFrame, path: str, part_teams: int = PART_TEAMS) -> None:
@@ -41,7 +41,7 @@ def write_registry(registry: DataFrame, path: str, part_teams: int = PART_TEAMS)
         "league", "country", F.col("matches_played").alias("matchesPlayed")).alias("value"))
     documents = placed.groupBy(_part("place", part_teams).alias("part")).agg(
         _object(F.collect_list(entry)).alias("value"))
-    _write(documents, ["part"], path)
+    _write(documents, path)
 
 
 def write_daily(ranked: DataFrame, daily: DataFrame, path: str, part_teams: int = PART_TEAMS,
@@ -59,7 +59,7 @@ def write_daily(ranked: DataFrame, daily: DataFrame, path: str, part_teams: int
     entry = F.struct(F.col("rank").alias("place"), F.col("team").alias("key"), F.col("days").alias("value"))
     documents = per_team.groupBy(_part("rank", part_teams).alias("part"), "stretch").agg(
         _object(F.collect_list(entry)).alias("value"))
-    _write(documents, ["part", "stretch"], path)
+    _write(documents, path)
 
 
 def config_struct(config: RatingConfig) -> Column:
@@ -101,4 +101,4 @@ def write_ratings(ranked: DataFrame, events: DataFrame, matches_processed: int,
             (F.col("page") * F.lit(part_entries) + F.lit(1)).alias("firstEntry"),
             F.transform("e", lambda x: x["t"]).alias("teams"))).alias("value"))
     )
-    _write(documents, ["part", "page"], path)
+    _write(documents, path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ladderline.schema import MATCH_ORDER, MATCHES
 
@@ -10,11 +11,12 @@ from ladderline.schema import MATCH_ORDER, MATCHES
 def write_matches(matches: DataFrame, path: str) -> None:
     """Replace the match table at `path`, laid out by season.
 
-    The range partitioning keeps a task to few seasons and splits a large season over many tasks.
+    Rebalancing gives a task few seasons, splits a large season over many tasks by its measured size
+    and merges small ones.
     """
     (
         matches.select(*MATCHES.fieldNames())
-        .repartitionByRange("season", *MATCH_ORDER)
+        .hint("rebalance", F.col("season"))
         .sortWithinPartitions("season", *MATCH_ORDER)
         .write.mode("overwrite").partitionBy("season").parquet(path)
     )

@@ -42,7 +42,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
             # the reader keeps bytes as they are
             F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line"))
     )
-    return raw.withColumn("line", F.regexp_replace("line", "\r$", ""))
+    return raw.withColumn("line", F.rtrim("line", F.lit("\r")))
 
 
 def files(source_lines: DataFrame) -> DataFrame:
@@ -73,19 +73,18 @@ def _field(name: str) -> Column:
 def rows(spark: SparkSession, path: str, columns: list[str] = NEEDED) -> DataFrame:
     """Data rows of all accepted files with the named columns as text."""
     source_lines = lines(spark, path)
-    # one row per file; the join is split when one file holds most lines
+    # one row per file; what a file says about all its lines is worked out once per file, and the
+    # join is split when one file holds most lines
     headers = files(source_lines).where(F.col("reason").isNull() & F.col("header").isNotNull()).select(
-        "file", "header")
+        "file", "header",
+        F.regexp_extract("file", _NAME, 1).alias("competition"),
+        F.regexp_extract("file", _NAME, 2).alias("season_code"),
+        F.transform(F.split("header", ",", -1), parse.strip).alias("names"))
     return (
         source_lines.where(parse.strip(F.col("line")) != "")
         .join(headers, "file")
         .where(F.col("line") != F.col("header"))
-        .select(
-            "file", "block", "place",
-            F.regexp_extract("file", _NAME, 1).alias("competition"),
-            F.regexp_extract("file", _NAME, 2).alias("season_code"),
-            F.split("line", ",", -1).alias("fields"),
-            F.transform(F.split("header", ",", -1), parse.strip).alias("names"))
+        .withColumn("fields", F.split("line", ",", -1))
         .select("file", "block", "place", "competition", "season_code", evaluated([_field(c) for c in columns]))
     )
 
