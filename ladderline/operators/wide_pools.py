@@ -53,36 +53,42 @@ def fold_wide(rows: DataFrame, sizes: dict[str, int], config: RatingConfig, brea
     spark = rows.sparkSession
     rounds = _cut(rows, sizes)
     order = rounds.select("break_no", "round").distinct().orderBy("break_no", "round").collect()
-    root = new_path(spark, "wide-events")
-    parts: list[str] = []
+    match_root, break_root = new_path(spark, "wide-matches"), new_path(spark, "wide-breaks")
+    match_events: list[str] = []
+    break_events: list[str] = []
 
-    def keep(events: DataFrame) -> None:
-        parts.append(f"{root}/part={len(parts)}")
-        _as_events(events).write.mode("overwrite").parquet(parts[-1])
+    def regressed(records: DataFrame, number: int) -> DataFrame:
+        day, instant = breaks[number]
+        break_events.append(f"{break_root}/number={number}")
+        return written(_regress(records, number, day, instant, config), "break", break_events[-1])
 
     records, applied = None, 0
-    for break_no, number in [tuple(r) for r in order]:
+    for break_no, number in (tuple(r) for r in order):
         part = rounds.where((F.col("break_no") == break_no) & (F.col("round") == number))
-        if records is not None and break_no > applied:
-            records = _regress(records, range(applied + 1, break_no + 1), config, breaks, keep if with_events else None)
+        for passed in range(applied + 1, break_no + 1) if records is not None else ():
+            records = regressed(records, passed)
         applied = break_no
         opening = written(_opening(part, records, config), "round-opening")
-        played = written(_played(part, _relax(part, opening, config), opening), "round-played")
-        if with_events:
-            keep(played)
+        match_events.append(f"{match_root}/at={len(match_events)}")
+        played = written(_played(part, _relax(part, opening, config), opening), "round", match_events[-1])
         fresh = _records(played, opening, break_no)
         if records is not None:
-            fresh = records.join(fresh.select("team"), "team", "left_anti").unionByName(fresh)
+            old = records.select(fresh.columns).join(fresh.select("team"), "team", "left_anti")
+            fresh = old.unionByName(fresh)
         records = written(fresh, "round-records")
-    last = max(breaks, default=0)
-    if last > applied:
-        records = _regress(records, range(applied + 1, last + 1), config, breaks, keep if with_events else None)
-    states = _as_events(records.select(
+    for passed in range(applied + 1, max(breaks, default=0) + 1):
+        records = regressed(records, passed)
+    out = _as_events(records.select(
         "team", F.lit("state").alias("event"), "seq", F.col("rating").alias("rating_after"),
         F.struct(*_RECORD).alias("state")))
-    if not parts:
-        return states
-    return spark.read.schema(RATING_EVENTS).parquet(*parts).unionByName(states)
+    if not with_events:
+        return out
+    out = out.unionByName(_as_events(spark.read.schema(played.schema).parquet(*match_events)))
+    if break_events:
+        out = out.unionByName(_as_events(spark.read.parquet(*break_events).select(
+            "team", F.lit("regress").alias("event"), "seq", F.col("day").alias("date"), "ts", "rating_before",
+            F.col("rating").alias("rating_after"))))
+    return out
 
 
 def _as_events(df: DataFrame) -> DataFrame:
@@ -199,19 +205,10 @@ def _records(played: DataFrame, opening: DataFrame, break_no: int) -> DataFrame:
         *[F.coalesce(name, c).alias(name) for name, c in first.items()])
 
 
-def _regress(records: DataFrame, numbers: range, config: RatingConfig, breaks: dict, keep) -> DataFrame:
-    """Apply season breaks to every record; the events go to `keep`."""
-    for number in numbers:
-        day, instant = breaks[number]
-        mean = F.coalesce("mean", F.lit(config.initial_rating))
-        moved = records.withColumn("rating_before", F.col("rating")).withColumns({
-            "rating": formula.regress("rating", mean, config.season_regression),
-            "seq": F.col("seq") + 1, "break_no": F.lit(number)})
-        moved = written(moved, "round-break")
-        if keep is not None:
-            keep(moved.select(
-                "team", F.lit("regress").alias("event"), "seq", F.lit(day).alias("date"),
-                F.expr(f"timestamp_micros({instant})").alias("ts"), "rating_before",
-                F.col("rating").alias("rating_after")))
-        records = moved.drop("rating_before")
-    return records
+def _regress(records: DataFrame, number: int, day: str, instant: int, config: RatingConfig) -> DataFrame:
+    """Apply one season break to every record; `rating_before`, `day` and `ts` describe the event."""
+    mean = F.coalesce("mean", F.lit(config.initial_rating))
+    return records.select("team", *_RECORD).withColumn("rating_before", F.col("rating")).withColumns({
+        "rating": formula.regress("rating", mean, config.season_regression),
+        "seq": F.col("seq") + 1, "break_no": F.lit(number),
+        "day": F.lit(day), "ts": F.expr(f"timestamp_micros({instant})")})

@@ -65,3 +65,15 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("src_rank"),
         F.col("id").alias("ord"),
     )
+
+
+def player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matches between customers: one league and one pool of very many teams."""
+    customers = table(spark, sf_dir, "customer").count()
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c"))
+    other = (F.col("c") + 1 + (F.col("id") * 7919) % (customers - 1)) % customers
+    return matches(spark, sf_dir).join(keys, "id").withColumns({
+        "home": F.concat(F.lit("c"), F.col("c").cast("string")),
+        "away": F.concat(F.lit("c"), other.cast("string")),
+        "league": F.lit("PL"),
+    }).drop("c")

@@ -141,7 +141,36 @@ def flat_replay_delta(spark, sf_dir):
     return deltas.select("match_id", "side", r4("delta").alias("delta"))
 
 
-CHECK_NAMES = ["zero_sum", "two_sides", "matches", "wins", "losses", "wins_equal_losses", "finite_rating"]
+@register("fold_sliced", o.query(FOLD, f"""
+SELECT team, seq, event, date, match_id, side, round(rating_after, {DIGITS}) AS rating_after FROM events"""))
+def fold_sliced(spark, sf_dir):
+    """The fold with pools above the row limit, which are cut into four slices each."""
+    m = match_table(spark, sf_dir)
+    limit = max(1, m.count() // 20)
+    done = fold.rating_fold(m, CONFIG, max_group_rows=limit, wide=False)
+    return fold.rating_events(done).select(
+        "team", "seq", "event", "date", "match_id", "side", r4("rating_after").alias("rating_after"))
+
+
+PLAYERS = """
+cust AS (SELECT count(*) AS n FROM customer),
+players AS (
+  SELECT m.* REPLACE ('c' || CAST(o_custkey AS VARCHAR) AS home,
+    'c' || CAST((o_custkey + 1 + (id * 7919) % (n - 1)) % n AS VARCHAR) AS away, 'PL' AS league)
+  FROM matches m JOIN orders ON o_orderkey = id CROSS JOIN cust)
+"""
+
+
+@register("flat_replay_wide", o.query([o.MATCHES, o.CONFIG, PLAYERS, o.fold("", "players", flat=True)], f"""
+SELECT match_id, side, team, seq, round(rating_before, {DIGITS}) AS rating_before,
+  round(rating_after, {DIGITS}) AS rating_after FROM events"""))
+def flat_replay_wide(spark, sf_dir):
+    """The flat replay with customers as teams: one pool of many teams, folded in cluster-wide rounds."""
+    m = written(fixture.player_matches(spark, sf_dir), "players")
+    done = fold.rating_fold(m, CONFIG.flat(), max_group_rows=1000, wide=True)
+    return fold.rating_events(done).select(
+        "match_id", "side", "team", "seq", r4("rating_before").alias("rating_before"),
+        r4("rating_after").alias("rating_after"))
 
 
 @register("rating_checks", o.query(FOLD + [o.SIDES, """
