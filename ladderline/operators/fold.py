@@ -35,6 +35,7 @@ from ladderline.schema import MATCH_ORDER, RATING_EVENTS, TEAM_STATE
 from ladderline.session import new_path, shuffle_partitions, written
 
 MAX_GROUP_ROWS = 20_000_000
+TASK_ROWS = 5_000_000
 
 _INPUT = ["pool", "ts", "src_rank", "ord", "id", "date", "home", "away",
           "actual", "step", "home_base", "away_base", "break_no"]
@@ -111,14 +112,16 @@ def rating_fold(
         found_breaks = both.submit(inheritable_thread_target(spark)(_prepare_breaks), matches, config)
         found_pools = both.submit(inheritable_thread_target(spark)(sized_pools), matches, max_group_rows)
         spans, dated = found_breaks.result()
-        pooled, pools, oversized = found_pools.result()
+        pooled, found = found_pools.result()
     if spans is None:
         pooled = pooled.withColumn("break_no", F.lit(0))
     else:
         pooled = season.with_break_no(pooled, config, spans)
     rows = fold_input(pooled, config, registry)
-    # pools hash to tasks, so a few times more tasks than pools keeps them from sharing one
-    n = max(shuffle_partitions(spark), min(4 * pools, 10_000))
+    # pools hash to tasks: a few times more tasks than pools keeps them from sharing one while pools
+    # are few, and with many pools a task's share of rows decides
+    n = max(shuffle_partitions(spark), min(4 * found["pools"], 10_000), -(-found["rows"] // TASK_ROWS))
+    oversized = found["oversized"]
     if not oversized:
         return _run(rows, _task(config, dated, True, with_events), n)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ladderline.operators.perspective import team_names
@@ -50,8 +50,8 @@ def connected_components(edges: DataFrame, a: str = "home", b: str = "away") ->
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def sized_pools(matches: DataFrame, max_rows: int) -> tuple[DataFrame, int, list[str]]:
-    """Matches with their `pool`, the number of pools, and the pools of more than `max_rows` matches.
+def sized_pools(matches: DataFrame, max_rows: int) -> tuple[DataFrame, Row]:
+    """Matches with their `pool`, and a summary: pools, rows, and the pools of more than `max_rows` matches.
 
     Leagues already are pools when nobody plays in two of them and every match names one. That and
     the sizes come from one aggregation; only if it fails are the pools searched in the match graph.
@@ -66,17 +66,17 @@ def sized_pools(matches: DataFrame, max_rows: int) -> tuple[DataFrame, int, list
         F.floor(F.sum("n") / F.lit(2)).alias("rows"), F.max(stray.cast("int")).alias("stray"))
     found = _size_summary(by_league, max_rows, F.max("stray"))
     if not found["stray"]:
-        return matches.withColumn("pool", F.col("league")), found["pools"], found["oversized"]
+        return matches.withColumn("pool", F.col("league")), found
     roots = connected_components(matches.select("home", "away"))
     pooled = matches.join(roots.toDF("home", "pool"), "home")
     sizes = pooled.groupBy("pool").agg(F.count(F.lit(1)).alias("rows"))
-    found = _size_summary(sizes, max_rows, F.lit(0))
-    return pooled, found["pools"], found["oversized"]
+    return pooled, _size_summary(sizes, max_rows, F.lit(0))
 
 
-def _size_summary(sizes: DataFrame, max_rows: int, stray):
+def _size_summary(sizes: DataFrame, max_rows: int, stray) -> Row:
     return sizes.agg(
         F.count(F.lit(1)).alias("pools"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
         # at most (all rows / max_rows) entries
         F.collect_list(F.when(F.col("rows") > max_rows, F.col("pool"))).alias("oversized"),
         stray.alias("stray"),

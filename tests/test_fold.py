@@ -52,8 +52,8 @@ def test_matches_sequential_replay(spark, mixed):
 
 @pytest.mark.parametrize("wide", [False, True])
 def test_oversized_pools_give_the_same(spark, wide):
-    rows = random_rows(2, n=300, leagues=("PL", "SA"), teams=9)
-    done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=60, wide=wide)
+    rows = random_rows(2, n=160, leagues=("PL", "SA"), teams=9)
+    done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=40, wide=wide)
     check(written(done, "f"), rows, CONFIG)
 
 
@@ -67,8 +67,8 @@ def test_only_the_oversized_pool_is_cut(spark, wide):
 
 
 def test_wide_pool_without_leagues(spark):
-    rows = random_rows(12, n=150, leagues=("PL", "", "XX"), teams=12, mixed=True)
-    done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=50, wide=True)
+    rows = random_rows(12, n=100, leagues=("PL", "", "XX"), teams=12, mixed=True)
+    done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=40, wide=True)
     check(written(done, "f"), rows, CONFIG)
 
 

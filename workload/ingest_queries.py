@@ -102,11 +102,11 @@ def clean_required(spark, sf_dir):
 
 
 @register("parse_int", o.query(RAW, """
-SELECT id, g1 AS text, TRY_CAST(nullif(regexp_extract(g1, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT) AS value FROM raw
+SELECT id, g1 AS text, TRY_CAST(nullif(regexp_extract(g1, '^\\s*([+-]?[0-9]+)', 1), '') AS DOUBLE) AS value FROM raw
 """))
 def parse_int(spark, sf_dir):
     return landing.raw_rows(spark, sf_dir).select(
-        "id", F.col("FTHG").alias("text"), parse.leading_int(F.col("FTHG")).cast("long").alias("value"))
+        "id", F.col("FTHG").alias("text"), parse.leading_int(F.col("FTHG")).cast("double").alias("value"))
 
 
 DATED = """
@@ -126,13 +126,13 @@ isod AS (
 
 @register("parse_date", o.query(RAW + [DATED], """
 SELECT id, d AS text, iso AS date,
-  epoch_ms(CAST(substr(iso, 1, 8) || '01' AS TIMESTAMP) + to_days(CAST(dd AS INTEGER) - 1) + INTERVAL 15 HOUR)::BIGINT AS ms
+  epoch_ms(CAST(substr(iso, 1, 8) || '01' AS TIMESTAMP) + to_days(CAST(dd AS INTEGER) - 1) + INTERVAL 15 HOUR)::DOUBLE AS ms
 FROM isod
 """))
 def parse_date(spark, sf_dir):
     raw = landing.raw_rows(spark, sf_dir).withColumn("iso", parse.iso_from_day_first(F.col("Date")))
     return raw.select("id", F.col("Date").alias("text"), F.col("iso").alias("date"),
-                      F.unix_millis(parse.instant(F.col("iso"))).alias("ms"))
+                      F.unix_millis(parse.instant(F.col("iso"))).cast("double").alias("ms"))
 
 
 @register("canon_names", o.query([o.MATCHES, o.SIDES, landing.NAMES_SQL], """

@@ -9,7 +9,7 @@ from ladderline.functions import labels
 from ladderline.operators import agreement, fold, merge, rankings
 from workload import oracle_core as o
 from workload.merge_queries import REGISTRY_ROWS
-from workload.rating_queries import CONFIG, DIGITS, FOLD, final, match_table, r4
+from workload.rating_queries import CONFIG, DIGITS, FOLD, final, match_table, nullable, r4
 from workload.registry import register
 
 # every third team is left out of the registry
@@ -195,10 +195,11 @@ def local_rank(spark, sf_dir):
 
 
 @register("ref_compare", o.query(MATCHED, """
-SELECT g.ref_team, g.ref_rank, g.ref_elo, local_rank, floor(rating + 0.5)::BIGINT AS rating,
-  local_rank - g.ref_rank AS rank_diff FROM ranking g LEFT JOIN matched m ON m.ref_team = g.ref_team"""))
+SELECT g.ref_team, g.ref_rank, g.ref_elo, local_rank::DOUBLE AS local_rank, floor(rating + 0.5)::DOUBLE AS rating,
+  (local_rank - g.ref_rank)::DOUBLE AS rank_diff FROM ranking g LEFT JOIN matched m ON m.ref_team = g.ref_team"""))
 def ref_compare(spark, sf_dir):
-    return agreement.compare(*_matched(spark, sf_dir))
+    compared = agreement.compare(*_matched(spark, sf_dir))
+    return compared.select("ref_team", "ref_rank", "ref_elo", *nullable("local_rank", "rating", "rank_diff"))
 
 
 @register("rank_change_label", o.query(MATCHED, """

@@ -34,6 +34,11 @@ def r4(c):
     return F.round(c, DIGITS)
 
 
+def nullable(*names):
+    """Whole numbers that may be NULL are compared as doubles."""
+    return [F.col(c).cast("double").alias(c) for c in names]
+
+
 def final(spark, sf_dir):
     return fold.final_states(fold.rating_fold(match_table(spark, sf_dir), CONFIG, with_events=False))
 
@@ -118,11 +123,11 @@ def start_rating(spark, sf_dir):
 
 
 @register("rating_fold", o.query(FOLD, f"""
-SELECT team, seq, event, date, match_id, side, round(rating_before, {DIGITS}) AS rating_before,
+SELECT team, seq, event, date, match_id::DOUBLE AS match_id, side::DOUBLE AS side, round(rating_before, {DIGITS}) AS rating_before,
   round(rating_after, {DIGITS}) AS rating_after FROM events"""))
 def rating_fold(spark, sf_dir):
     return events(spark, sf_dir).select(
-        "team", "seq", "event", "date", "match_id", "side",
+        "team", "seq", "event", "date", *nullable("match_id", "side"),
         r4("rating_before").alias("rating_before"), r4("rating_after").alias("rating_after"))
 
 
@@ -142,14 +147,15 @@ def flat_replay_delta(spark, sf_dir):
 
 
 @register("fold_sliced", o.query(FOLD, f"""
-SELECT team, seq, event, date, match_id, side, round(rating_after, {DIGITS}) AS rating_after FROM events"""))
+SELECT team, seq, event, date, match_id::DOUBLE AS match_id, side::DOUBLE AS side,
+  round(rating_after, {DIGITS}) AS rating_after FROM events"""))
 def fold_sliced(spark, sf_dir):
     """The fold with pools above the row limit, which are cut into four slices each."""
     m = match_table(spark, sf_dir)
     limit = max(1, m.count() // 20)
     done = fold.rating_fold(m, CONFIG, max_group_rows=limit, wide=False)
     return fold.rating_events(done).select(
-        "team", "seq", "event", "date", "match_id", "side", r4("rating_after").alias("rating_after"))
+        "team", "seq", "event", "date", *nullable("match_id", "side"), r4("rating_after").alias("rating_after"))
 
 
 PLAYERS = """
@@ -238,11 +244,12 @@ def history_range(spark, sf_dir):
 
 
 @register("chart_bounds", o.query(FOLD + [RANGES], """
-SELECT team, "range", (floor(min(rating) FILTER (WHERE date >= start) / 10) * 10 - 20)::BIGINT AS axis_min,
-  (ceil(max(rating) FILTER (WHERE date >= start) / 10) * 10 + 20)::BIGINT AS axis_max
+SELECT team, "range", (floor(min(rating) FILTER (WHERE date >= start) / 10) * 10 - 20)::DOUBLE AS axis_min,
+  (ceil(max(rating) FILTER (WHERE date >= start) / 10) * 10 + 20)::DOUBLE AS axis_max
 FROM daily CROSS JOIN ranges GROUP BY ALL"""))
 def chart_bounds(spark, sf_dir):
-    return profiles.chart_bounds(profiles.daily_snapshot(events(spark, sf_dir)), AS_OF)
+    bounds = profiles.chart_bounds(profiles.daily_snapshot(events(spark, sf_dir)), AS_OF)
+    return bounds.select("team", "range", *nullable("axis_min", "axis_max"))
 
 
 @register("recent_form", o.query([o.MATCHES, o.CONFIG, o.fold(flat=True), o.SIDES], f"""
