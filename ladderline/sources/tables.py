@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ladderline import fixed_values as fv
 from ladderline.functions import parse
+from ladderline.operators.ordinal import with_ordinal
 from ladderline.schema import MATCHES, empty
 
 NAME_MAP = T.StructType([T.StructField("raw", T.StringType()), T.StructField("canonical", T.StringType())])
@@ -42,13 +43,17 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_match_json(spark: SparkSession, path: str, src_rank: int = 0, multi_line: bool = True) -> DataFrame:
-    """A JSON match list. `ord` follows the id, a list document has no other stable order in Spark."""
-    raw = spark.read.schema(_MATCH_JSON).option("multiLine", multi_line).json(path)
-    return raw.select(
+    """A JSON match list, whole or one match per line; `ord` is the place in the list."""
+    raw = (
+        spark.read.schema(_MATCH_JSON).option("multiLine", multi_line).json(path)
+        .select("*", F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    )
+    return with_ordinal(raw, ["file", "block", "place"], "ord", "match-list").select(
         "id", parse.instant(F.col("date")).alias("ts"), "date", "league", "season",
         F.col("homeTeam").alias("home"), F.col("awayTeam").alias("away"),
         F.col("homeGoals").alias("hg"), F.col("awayGoals").alias("ag"), "matchday",
-        F.lit(src_rank).alias("src_rank"), F.col("id").alias("ord"))
+        F.lit(src_rank).alias("src_rank"), "ord")
 
 
 def read_name_map(spark: SparkSession, path: str) -> DataFrame:

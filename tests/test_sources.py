@@ -135,6 +135,17 @@ def test_name_map_and_optional_inputs(spark, tmp_path):
     assert tables.default_name_map(spark).count() == len(fv.CLUB_NAMES)
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_match_lists_keep_their_order(spark, tmp_path, multi_line):
+    entries = [{"id": i * 7919 % 501, "date": "2020-02-31T15:00:00Z", "league": "PL", "season": "s", "homeTeam": "a",
+                "awayTeam": "b", "homeGoals": 1, "awayGoals": 2, "matchday": 0} for i in range(500)]
+    text = json.dumps(entries, indent=1) if multi_line else "\n".join(json.dumps(e) for e in entries)
+    (tmp_path / "m.json").write_text(text)
+    got = tables.read_match_json(spark, str(tmp_path / "m.json"), multi_line=multi_line).orderBy("ord").collect()
+    assert [r["id"] for r in got] == [e["id"] for e in entries]
+    assert got[0]["ord"] == 1 and str(got[0]["ts"])[:10] == "2020-03-02"
+
+
 def test_match_table_round_trip(spark, tmp_path):
     rows = [(1, "2016-02-31T15:00:00Z", "PL", "a", "b", 1, 0), (2, "2016-03-01T15:00:00Z", "SA", "c", "d", 1, 0)]
     m = table(spark, rows)
