@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderline.llm import simhash
+from ladderline.llm import archives, html_text, langid, mixing, packing, pii, quality, simhash
 from ladderline.llm.common import read_table
 
 QUERIES: dict = {}
@@ -22,7 +24,55 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_path() -> str:
+    """Place of the vocabulary file; LLM_TOKENIZER names another one."""
+    named = os.environ.get("LLM_TOKENIZER")
+    if named:
+        return named
+    import public_tokenizers  # only where the default is used
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_documents(read_table(spark, sf_dir, "labels"))
+    return quality.rules(read_table(spark, sf_dir, "documents"), trusted)
+
+
+@register("op2_mixing", mixing.ORACLE)
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op4_main_text")
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read_table(spark, sf_dir, "pages"))
+
+
 @register("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op7_pseudonyms")
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(read_table(spark, sf_dir, "documents"))
+
+
+@register("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(read_table(spark, sf_dir, "documents"))
+
+
+@register("op10_arc_to_warc")
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.archived(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
