@@ -66,6 +66,15 @@ def feistel(value: Column, a: Column | int, b: Column | int, key: str, form: str
     return done["l"] * b + done["r"]
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that it reads several times, worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _luhn(digits: Column) -> Column:
+    return F.call_function("luhn_check", digits)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
@@ -91,8 +100,10 @@ def _refilled(value: Column, digits: Column) -> Column:
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = _permuted(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(body, c.cast("string"))), F.luhn_check), 1)
-    return F.when(F.luhn_check(digits), _refilled(m, check)).otherwise(m)
+    # the one lambda argument keeps the permutation from being worked out for each candidate
+    checked = F.transform(F.array(body), lambda x: F.element_at(F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(x, c.cast("string"))), _luhn), 1))
+    return F.when(_luhn(digits), _once(F.element_at(checked, 1), lambda new: _refilled(m, new))).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -100,7 +111,7 @@ def _phone(m: Column, key: str) -> Column:
     digits = _digits(m)
     own = F.substring(digits, F.length(country) + 1, F.length(digits))
     valid = F.length(digits).between(8, 15) | ~m.startswith("+")
-    return F.when(valid, _refilled(m, F.concat(country, _permuted(own, key, "phone")))).otherwise(m)
+    return F.when(valid, _once(F.concat(country, _permuted(own, key, "phone")), lambda new: _refilled(m, new))).otherwise(m)
 
 
 def _address(m: Column, key: str) -> Column:
@@ -108,8 +119,9 @@ def _address(m: Column, key: str) -> Column:
     part = lambda i: F.element_at(parts, i).cast("long")
     value = ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
     new = feistel(value, 65536, 65536, key, "address")
-    octet = lambda shift: F.shiftright(new, shift).bitwiseAND(F.lit(255)).cast("string")
-    return F.when(F.forall(parts, lambda p: p.cast("int") <= 255), F.concat_ws(".", octet(24), octet(16), octet(8), octet(0))).otherwise(m)
+    octet = lambda x, shift: F.shiftright(x, shift).bitwiseAND(F.lit(255)).cast("string")
+    shown = _once(new, lambda x: F.concat_ws(".", *[octet(x, shift) for shift in (24, 16, 8, 0)]))
+    return F.when(F.forall(parts, lambda p: p.cast("int") <= 255), shown).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -118,11 +130,13 @@ def _ssn(m: Column, key: str) -> Column:
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
     at = area - 1 - F.when(area > 666, F.lit(1)).otherwise(F.lit(0))
     new = feistel(at * (99 * 9999) + (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
-    place = F.floor(new / (99 * 9999)).cast("long") + 1
-    shown = place + F.when(place >= 666, F.lit(1)).otherwise(F.lit(0))
-    rest = F.pmod(new, F.lit(99 * 9999))
-    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
-    return F.when(valid, F.concat_ws("-", pad(shown, 3), pad(F.floor(rest / 9999) + 1, 2), pad(F.pmod(rest, F.lit(9999)) + 1, 4))).otherwise(m)
+
+    def shown(x: Column) -> Column:
+        place, rest = F.floor(x / (99 * 9999)).cast("long") + 1, F.pmod(x, F.lit(99 * 9999))
+        parts = place + F.when(place >= 666, F.lit(1)).otherwise(F.lit(0)), F.floor(rest / 9999) + 1, F.pmod(rest, F.lit(9999)) + 1
+        return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4))])
+
+    return F.when(valid, _once(new, shown)).otherwise(m)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -136,10 +150,14 @@ def _date(m: Column, key: str) -> Column:
     day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.coalesce(day_first, month_first))
     number = F.datediff(day, F.to_date(F.lit(_CYCLE_START))).cast("long")
     new = F.date_add(F.to_date(F.lit(_CYCLE_START)), feistel(number, *_DATE_HALVES, key, "date").cast("int"))
-    shown = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(
-        day_first.isNotNull(), F.concat_ws(mark, F.date_format(new, "dd"), F.date_format(new, "MM"), F.date_format(new, "yyyy"))).otherwise(
-        F.concat_ws(mark, F.date_format(new, "MM"), F.date_format(new, "dd"), F.date_format(new, "yyyy")))
-    return F.when(number.between(0, _CYCLE_DAYS - 1), shown).otherwise(m)
+
+    def shown(x: Column) -> Column:
+        part = lambda form: F.date_format(x, form)
+        return F.when(iso, part("yyyy-MM-dd")).when(
+            day_first.isNotNull(), F.concat(part("dd"), mark, part("MM"), mark, part("yyyy"))).otherwise(
+            F.concat(part("MM"), mark, part("dd"), mark, part("yyyy")))
+
+    return F.when(number.between(0, _CYCLE_DAYS - 1), _once(new, shown)).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
