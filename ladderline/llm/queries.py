@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderline.llm import archives, html_text, langid, mixing, packing, pii, quality, simhash
+from ladderline.llm import archives, html_text, langid, mixing, packing, pii, quality, simhash, substrings
 from ladderline.llm.common import read_table
 
 QUERIES: dict = {}
@@ -72,6 +72,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(read_table(spark, sf_dir, "documents"))
 
 
+@register("op9_substrings")
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @register("op10_arc_to_warc")
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archives.archived(read_table(spark, sf_dir, "pages"))
