@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderline.llm import archives, html_text, langid, mixing, packing, pii, quality, simhash, substrings
+from ladderline.llm import archives, html_text, itq, langid, mixing, packing, pii, quality, simhash, substrings
 from ladderline.llm.common import read_table
 
 QUERIES: dict = {}
@@ -56,6 +56,11 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(read_table(spark, sf_dir, "pages"))
 
 
+@register("op5_itq")
+def op5_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 @register("op6_simhash")
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
