@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ladderline import fixed_values as fv
 from ladderline.functions import labels, parse
 from ladderline.operators.ordinal import with_ordinal
+from ladderline.operators.summary import side_by_side
 
 TOP = 10
 
@@ -98,10 +99,9 @@ def before_after(old: DataFrame, new: DataFrame, ranking: DataFrame, key_teams:
 
 
 def spearman_delta(old: DataFrame, new: DataFrame) -> DataFrame:
-    # two one-row tables
-    before = spearman(old).select(F.lit(1).alias("k"), F.col("spearman").alias("old_spearman"))
-    after = spearman(new).select(F.lit(1).alias("k"), F.col("spearman").alias("new_spearman"))
-    return before.join(after, "k").drop("k").withColumn(
+    before = spearman(old).select(F.col("spearman").alias("old_spearman"))
+    after = spearman(new).select(F.col("spearman").alias("new_spearman"))
+    return side_by_side(before, after).withColumn(
         "change", F.col("new_spearman") - F.col("old_spearman"))
 
 

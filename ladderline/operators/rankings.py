@@ -11,6 +11,7 @@ from ladderline.functions import parse, rating
 from ladderline.operators.fold import FIRST_SEEN
 from ladderline.operators.merge import country
 from ladderline.operators.ordinal import with_ordinal
+from ladderline.operators.summary import side_by_side
 from ladderline.session import written
 
 TOP = 20
@@ -105,13 +106,13 @@ def league_averages(registered: DataFrame, fill_missing: bool = True) -> DataFra
 
 def headline(states: DataFrame, matches: DataFrame, registry: DataFrame) -> DataFrame:
     """One row: teams, matches, leagues, seasons and the top team."""
-    # three one-row tables
     best = states.orderBy(*rating_order()).limit(1).select(
-        F.lit(1).alias("k"), F.col("team").alias("top_team"), parse.half_up(F.col("rating")).alias("top_rating"))
-    teams = states.agg(F.count(F.lit(1)).alias("teams_rated")).withColumn("k", F.lit(1))
+        F.col("team").alias("top_team"), parse.half_up(F.col("rating")).alias("top_rating"))
+    teams = states.agg(F.count(F.lit(1)).alias("teams_rated"))
     played = matches.agg(
         F.count(F.lit(1)).alias("matches_processed"), F.countDistinct("season").alias("seasons"),
         F.concat_ws("-", F.substring(F.min("season"), 1, 4), F.substring(F.max("season"), 6, 4)).alias("years"),
-    ).withColumn("k", F.lit(1))
-    leagues = registry.agg(F.countDistinct("league").alias("leagues")).withColumn("k", F.lit(1))
-    return teams.join(played, "k").join(leagues, "k").join(best, "k", "left").drop("k")
+    )
+    leagues = registry.agg(F.countDistinct("league").alias("leagues"))
+    return side_by_side(teams, played, leagues, best)
+

@@ -44,3 +44,11 @@ def date_range(matches: DataFrame) -> DataFrame:
 
 def distinct_teams(matches: DataFrame) -> DataFrame:
     return team_names(matches).agg(F.countDistinct("team").alias("teams"))
+
+
+def side_by_side(*tables: DataFrame) -> DataFrame:
+    """The columns of tables of at most one row each as one row, without joins."""
+    rows = tables[0]
+    for table in tables[1:]:
+        rows = rows.unionByName(table, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_own_folder: str | None = None
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -20,18 +18,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables.
 
-    Only a local session may fall back to a folder of its own; executors on other machines could
-    not read a machine-local path.
+    Without one, a local session uses a folder below its warehouse; a cluster session is refused, as
+    executors on other machines could not read a machine-local path.
     """
-    global _own_folder
     named = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="ladderline-")
-    return _own_folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ladderline-intermediate"
 
 
 def new_path(spark: SparkSession, label: str) -> str:

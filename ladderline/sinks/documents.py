@@ -2,8 +2,8 @@
 
 The documents are objects over all teams. Written as one value they would have to pass through one
 task, so they are cut into parts of bounded size: at most `PART_TEAMS` teams and, for histories,
-`PART_ENTRIES` entries per team. Each part is a document of the same form on its own line; with few
-teams and short histories there is exactly one, the whole document.
+`PART_ENTRIES` entries per team. Each part is a document of the same form in a file of its own; with
+few teams and short histories there is exactly one, the whole document.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ def _object(entries: Column) -> Column:
 
 
 def _write(documents: DataFrame, path: str) -> None:
-    """One document per line."""
-    documents.select("value").write.mode("overwrite").text(path)
+    """One document per file, at every size."""
+    documents.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_registry(registry: DataFrame, path: str, part_teams: int = PART_TEAMS) -> None:
@@ -48,9 +48,11 @@ def write_daily(ranked: DataFrame, daily: DataFrame, path: str, part_teams: int
                 part_entries: int = PART_ENTRIES) -> None:
     """Object team -> [{date, rating}], teams in rank order, days ascending.
 
-    Days are cut by calendar stretches no longer than `part_entries` days.
+    Days are cut by stretches of months of no more than `part_entries` days, at least one month. The
+    month is read off the text: a kept date such as 31 February is no calendar day.
     """
-    day_part = F.floor(F.datediff(F.to_date("date"), F.lit("1970-01-01")) / F.lit(part_entries)).cast("long")
+    month = F.substring("date", 1, 4).cast("int") * 12 + F.substring("date", 6, 2).cast("int")
+    day_part = F.floor(month / F.lit(max(1, part_entries // 31))).cast("long")
     per_team = (
         daily.join(ranked.select("team", "rank"), "team")
         .groupBy("team", "rank", day_part.alias("stretch"))

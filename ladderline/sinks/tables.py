@@ -20,3 +20,10 @@ def write_matches(matches: DataFrame, path: str) -> None:
         .sortWithinPartitions("season", *MATCH_ORDER)
         .write.mode("overwrite").partitionBy("season").parquet(path)
     )
+
+
+def write_match_json(matches: DataFrame, path: str) -> None:
+    """The match list as JSON lines in match order; files are in the order of their names."""
+    matches.orderBy(*MATCH_ORDER).select(
+        "id", "date", "league", "season", F.col("home").alias("homeTeam"), F.col("away").alias("awayTeam"),
+        F.col("hg").alias("homeGoals"), F.col("ag").alias("awayGoals"), "matchday").write.mode("overwrite").json(path)

@@ -1,7 +1,7 @@
 """JSON documents of ratings, daily ratings and the registry.
 
-A document is an object; a large one is written as several documents of the same form, one per line
-(see sinks/documents.py). Readers accept either: every line is a document of its own.
+A document is an object; a large one is written as several documents of the same form, one per file
+(see sinks/documents.py). Every file is read as one document, however it is laid out.
 """
 
 from __future__ import annotations
@@ -48,53 +48,54 @@ REGISTRY_ENTRY = T.StructType([
 ])
 
 
-def _texts(spark: SparkSession, path: str, whole: bool) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=whole)
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
 
 
-def read_registry(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """team, league, country, matches_played; no rows when absent."""
     if not exists(spark, path):
         return empty(spark, REGISTRY)
     kind = T.MapType(T.StringType(), REGISTRY_ENTRY)
     return (
-        _texts(spark, path, whole).select(F.explode(F.from_json("value", kind)).alias("team", "e"))
+        _texts(spark, path).select(F.explode(F.from_json("value", kind)).alias("team", "e"))
         .select("team", "e.league", "e.country", F.col("e.matchesPlayed").alias("matches_played")))
 
 
-def _ratings(spark: SparkSession, path: str, whole: bool) -> DataFrame:
-    return _texts(spark, path, whole).select(F.from_json("value", RATINGS_DOCUMENT).alias("d")).select("d.*")
+def _ratings(spark: SparkSession, path: str) -> DataFrame:
+    return _texts(spark, path).select(F.from_json("value", RATINGS_DOCUMENT).alias("d")).select("d.*")
 
 
-def read_ratings(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """Ranked teams; a team's place in the document is its rank."""
+def read_ratings(spark: SparkSession, path: str, run: bool = False) -> DataFrame:
+    """Ranked teams; a team's place in the document is its rank. `run` adds what its document says of the run."""
+    about = ["computedAt", "matchesProcessed"] if run else []
     first_rank = F.coalesce("firstRank", F.lit(1))
     return (
-        _ratings(spark, path, whole).where(F.coalesce("firstEntry", F.lit(1)) == 1)
-        .select(first_rank.alias("first_rank"), F.posexplode("teams").alias("pos", "t"))
+        _ratings(spark, path).where(F.coalesce("firstEntry", F.lit(1)) == 1)
+        .select(*about, first_rank.alias("first_rank"), F.posexplode("teams").alias("pos", "t"))
         .select((F.col("first_rank") + F.col("pos")).alias("rank"), "t.team", "t.rating", "t.matches", "t.wins",
-                "t.draws", "t.losses", F.col("t.lastUpdated").alias("last_updated")))
+                "t.draws", "t.losses", F.col("t.lastUpdated").alias("last_updated"), *about))
 
 
-def read_history(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+def read_history(spark: SparkSession, path: str) -> DataFrame:
     """team, seq, date, rating."""
     return (
-        _ratings(spark, path, whole)
+        _ratings(spark, path)
         .select(F.coalesce("firstEntry", F.lit(1)).alias("first"), F.explode("teams").alias("t"))
         .select("first", "t.team", F.posexplode("t.ratingHistory").alias("pos", "h"))
         .select("team", (F.col("first") + F.col("pos")).alias("seq"), "h.date", "h.rating"))
 
 
-def read_run(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+def read_run(spark: SparkSession, path: str) -> DataFrame:
     """config, computedAt and matchesProcessed of the run."""
-    return _ratings(spark, path, whole).where(
+    return _ratings(spark, path).where(
         (F.coalesce("firstRank", F.lit(1)) == 1) & (F.coalesce("firstEntry", F.lit(1)) == 1)
     ).select("config", "computedAt", "matchesProcessed")
 
 
-def read_daily(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
     """team, date, rating."""
     kind = T.MapType(T.StringType(), T.ArrayType(HISTORY_ENTRY))
     return (
-        _texts(spark, path, whole).select(F.explode(F.from_json("value", kind)).alias("team", "days"))
+        _texts(spark, path).select(F.explode(F.from_json("value", kind)).alias("team", "days"))
         .select("team", F.inline("days")))

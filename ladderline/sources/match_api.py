@@ -21,7 +21,8 @@ PAYLOAD = T.StructType([T.StructField("matches", T.ArrayType(T.StructType([
     T.StructField("score", T.StructType([T.StructField("fullTime", _GOALS)])),
 ])))])
 MIN_BYTES = 100
-_NAME = r"([A-Z]+[0-9]*)_([0-9]{4})"
+# the last such name on the path: the file's own, else the nearest folder's
+_NAME = r"(?s).*(?<![A-Za-z0-9])([A-Z]+[0-9]*)_([0-9]{4})(?![0-9])"
 
 
 def payload_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -32,7 +33,7 @@ def payload_rows(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
                 F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
         .where(F.col("size") > MIN_BYTES)
     )
-    return docs.select(
+    return docs.where(F.regexp_extract("file", _NAME, 1) != "").select(
         F.regexp_extract("file", _NAME, 1).alias("league"),
         F.regexp_extract("file", _NAME, 2).cast("int").alias("year"),
         "file", "block", "place", F.posexplode("matches").alias("pos", "m"))
@@ -53,9 +54,24 @@ def projected(entries: DataFrame) -> DataFrame:
             score["home"].alias("hg"), score["away"].alias("ag"),
             F.coalesce("m.matchday", F.lit(0)).alias("matchday"))
         .withColumn("ts", parse.instant(F.col("date")))
+        .where(F.col("ts").isNotNull())
     )
 
 
+def rejects(spark: SparkSession, path: str) -> DataFrame:
+    """file, reason, entries: payloads without a league and year in their name, and dropped entries."""
+    docs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    named = F.regexp_extract("path", _NAME, 1) != ""
+    whole = docs.select(F.col("path").alias("file"), F.when(F.col("length") <= MIN_BYTES, "too short").when(
+        ~named, "no league and year in the name").alias("reason"), F.lit(0).cast("long").alias("entries"))
+    score = F.col("m.score.fullTime")
+    why = F.when(score["home"].isNull() | score["away"].isNull() | score.isNull(), "no full-time score").when(
+        parse.instant(F.col("m.utcDate")).isNull(), "unreadable date")
+    dropped = payload_rows(spark, path).select("file", why.alias("reason")).groupBy("file", "reason").agg(
+        F.count(F.lit(1)).alias("entries"))
+    return whole.unionByName(dropped).where("reason IS NOT NULL")
+
+
 def read(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Payloads as a match table, ordered by league, season and place in the documents."""
     numbered = with_ordinal(

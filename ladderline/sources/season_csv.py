@@ -17,7 +17,8 @@ from ladderline.operators.ordinal import with_ordinal
 NEEDED = ["Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG"]
 MIN_BYTES = 100
 HTML_MARK = "<!DOCTYPE"
-_NAME = r"([A-Z]+[0-9]+)_([0-9]{4})"
+# the last such name on the path: the file's own, else the nearest folder's
+_NAME = r"(?s).*(?<![A-Za-z0-9])([A-Z]+[0-9]+)_([0-9]{4})(?![0-9])"
 
 
 def evaluated(columns: list[Column]) -> Column:
@@ -48,20 +49,44 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def files(source_lines: DataFrame) -> DataFrame:
     """One row per file: header text, line count, and why it is rejected (NULL when it is not)."""
     filled = parse.strip(F.col("line")) != ""
-    at = F.struct("block", "place")
+    competition = F.regexp_extract("file", _NAME, 1)
+    names = F.transform(F.split("header", ",", -1), parse.strip)
     reason = (
         F.when(F.col("size") < MIN_BYTES, "too short")
         .when(F.col("html"), "html")
+        .when(competition == "", "no competition and season in the name")
+        .when(rating.lookup(fv.COMPETITION_LEAGUE, competition, "string").isNull(), "unknown competition")
+        .when(F.col("header").isNull(), "no header")
+        .when(~F.forall(F.array(*[F.lit(c) for c in NEEDED]), lambda c: F.array_contains(names, c)), "missing columns")
     )
+    # numbers hash, lines would be sorted: the header is looked up among lines at the first filled place
+    facts = source_lines.groupBy("file").agg(
+        F.max("size").alias("size"), F.max(F.contains("line", F.lit(HTML_MARK))).alias("html"),
+        F.count_if(filled).alias("filled_lines"), F.min(F.when(filled, F.col("block"))).alias("first_block"))
+    places = source_lines.where(filled).groupBy("file", "block").agg(F.min("place").alias("first_place"))
+    first = facts.join(places.withColumnRenamed("block", "first_block"), ["file", "first_block"], "left")
+    heads = source_lines.select("file", F.col("place").alias("first_place"), F.col("line").alias("header"))
     return (
-        source_lines.groupBy("file")
-        .agg(F.max("size").alias("size"), F.max(F.contains("line", F.lit(HTML_MARK))).alias("html"),
-             F.count_if(filled).alias("filled_lines"),
-             F.min(F.when(filled, F.struct(at.alias("at"), "line"))).alias("first"))
-        .select("file", "size", "filled_lines", F.col("first.line").alias("header"), reason.alias("reason"))
+        first.join(heads, ["file", "first_place"], "left")
+        .select("file", "size", "filled_lines", "header", reason.alias("reason"), "first_block", "first_place")
     )
 
 
+def rejects(source_lines: DataFrame) -> DataFrame:
+    """file, reason, lines: files that aren't read, and counts of rows that are dropped from the others."""
+    found = files(source_lines)
+    whole = found.where("reason IS NOT NULL").select("file", "reason", F.col("filled_lines").alias("lines"))
+    text = _rows(source_lines, found.where("reason IS NULL"), NEEDED)
+    why = (
+        F.when(~_complete(), "a needed column is empty")
+        .when(parse.leading_int(F.col("FTHG")).isNull() | parse.leading_int(F.col("FTAG")).isNull(), "unreadable score")
+        .when(parse.instant(parse.iso_from_day_first(F.col("Date"))).isNull(), "unreadable date")
+    )
+    rows_ = text.withColumn("reason", why).where("reason IS NOT NULL").groupBy("file", "reason").agg(
+        F.count(F.lit(1)).alias("lines"))
+    return whole.unionByName(rows_)
+
+
 def _field(name: str) -> Column:
     """The value under the last header called `name` that the row reaches; NULL when there is none."""
     reached = F.slice("names", 1, F.least(F.size("names"), F.size("fields")))
@@ -73,17 +98,22 @@ def _field(name: str) -> Column:
 def rows(spark: SparkSession, path: str, columns: list[str] = NEEDED) -> DataFrame:
     """Data rows of all accepted files with the named columns as text."""
     source_lines = lines(spark, path)
+    return _rows(source_lines, files(source_lines).where("reason IS NULL"), columns)
+
+
+def _rows(source_lines: DataFrame, accepted: DataFrame, columns: list[str]) -> DataFrame:
     # one row per file; what a file says about all its lines is worked out once per file, and the
     # join is split when one file holds most lines
-    headers = files(source_lines).where(F.col("reason").isNull() & F.col("header").isNotNull()).select(
-        "file", "header",
+    headers = accepted.select(
+        "file", "first_block", "first_place",
         F.regexp_extract("file", _NAME, 1).alias("competition"),
         F.regexp_extract("file", _NAME, 2).alias("season_code"),
         F.transform(F.split("header", ",", -1), parse.strip).alias("names"))
     return (
         source_lines.where(parse.strip(F.col("line")) != "")
         .join(headers, "file")
-        .where(F.col("line") != F.col("header"))
+        # the header line itself; a later line of the same text is a row
+        .where((F.col("block") != F.col("first_block")) | (F.col("place") != F.col("first_place")))
         .withColumn("fields", F.split("line", ",", -1))
         .select("file", "block", "place", "competition", "season_code", evaluated([_field(c) for c in columns]))
     )
@@ -101,10 +131,14 @@ def canonical(matches: DataFrame, name_map: DataFrame, columns: tuple[str, ...]
 
 def complete(csv_rows: DataFrame) -> DataFrame:
     """Rows in which every needed column holds text."""
+    return csv_rows.where(_complete())
+
+
+def _complete() -> Column:
     keep = F.lit(True)
     for c in NEEDED:
         keep = keep & (F.coalesce(c, F.lit("")) != "")
-    return csv_rows.where(keep)
+    return keep
 
 
 def parsed(csv_rows: DataFrame) -> DataFrame:
@@ -121,6 +155,7 @@ def parsed(csv_rows: DataFrame) -> DataFrame:
         .where(F.col("league").isNotNull() & F.col("hg").isNotNull() & F.col("ag").isNotNull()
                & F.col("iso_date").isNotNull())
         .withColumn("ts", parse.instant(F.col("iso_date")))
+        .where(F.col("ts").isNotNull())
         .withColumnRenamed("iso_date", "date")
     )
 

@@ -66,6 +66,22 @@ def test_only_the_oversized_pool_is_cut(spark, wide):
     check(written(done, "f"), rows, CONFIG)
 
 
+def test_size_alone_never_changes_the_result(spark):
+    rows = random_rows(4, n=200, leagues=("PL",) * 9 + ("SA",))
+    m = written(table(spark, rows), "m")
+    whole = sorted(map(tuple, fold.rating_events(fold.rating_fold(m, CONFIG)).collect()), key=repr)
+    for limit in (30, 70):
+        cut = fold.rating_events(fold.rating_fold(m, CONFIG, max_group_rows=limit))
+        assert sorted(map(tuple, cut.collect()), key=repr) == whole
+
+
+def test_a_match_without_an_instant_raises(spark):
+    rows = random_rows(5, n=20)
+    m = table(spark, rows).withColumn("ts", F.when(F.col("id") != rows[7][0], F.col("ts")))
+    with pytest.raises(Exception, match="match without an instant"):
+        fold.rating_fold(m, CONFIG).count()
+
+
 def test_wide_pool_without_leagues(spark):
     rows = random_rows(12, n=100, leagues=("PL", "", "XX"), teams=12, mixed=True)
     done = fold.rating_fold(table(spark, rows), CONFIG, max_group_rows=40, wide=True)

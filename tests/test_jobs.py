@@ -42,7 +42,7 @@ def test_landed_files_to_views(spark, tmp_path):
     m = ingest.build_match_table(spark, str(csv), str(api), str(tmp_path / "m"), str(tmp_path / "reg"))
     assert m.count() in (60, 61)
     assert m.where("id = 77").first()["season"] == "2023-2024"
-    registry = documents.read_registry(spark, str(tmp_path / "reg"), whole=False)
+    registry = documents.read_registry(spark, str(tmp_path / "reg"))
     assert "Arsenal FC" in {r["team"] for r in registry.collect()}
 
     done = rate.rate(m)
@@ -51,7 +51,7 @@ def test_landed_files_to_views(spark, tmp_path):
     expected, _ = replay(rows, RatingConfig())
     assert {r["team"]: r["rating"] for r in done.ranked.collect()} == pytest.approx(expected)
     rate.publish(done, "now", str(tmp_path / "ratings"), str(tmp_path / "daily"))
-    assert documents.read_ratings(spark, str(tmp_path / "ratings"), whole=False).count() == len(expected)
+    assert documents.read_ratings(spark, str(tmp_path / "ratings")).count() == len(expected)
 
     shown = views.rankings_view(done, registry, league="PL", limit=2)
     assert [r["rank"] for r in shown["ranking"].collect()] == [1, 2]

@@ -189,17 +189,17 @@ def test_written_documents_hold_everything(spark, tmp_path, part_teams, part_ent
     doc_sink.write_ratings(ranked, events, m.count(), "t", config, path, part_teams, part_entries)
     expected = {(r["rank"], r["team"], r["rating"], r["wins"], r["last_updated"]) for r in ranked.collect()}
     assert {(r["rank"], r["team"], r["rating"], r["wins"], r["last_updated"])
-            for r in documents.read_ratings(spark, path, whole=False).collect()} == expected
+            for r in documents.read_ratings(spark, path).collect()} == expected
     history = {(r["team"], r["seq"], r["date"], r["rating_after"]) for r in events.collect()}
-    assert {tuple(r) for r in documents.read_history(spark, path, whole=False).collect()} == history
-    assert documents.read_run(spark, path, whole=False).count() == 1
+    assert {tuple(r) for r in documents.read_history(spark, path).collect()} == history
+    assert documents.read_run(spark, path).count() == 1
     daily = profiles.daily_snapshot(events)
     doc_sink.write_daily(ranked, daily, str(tmp_path / "daily"), part_teams, part_entries)
-    assert ({tuple(r) for r in documents.read_daily(spark, str(tmp_path / "daily"), whole=False).collect()}
+    assert ({tuple(r) for r in documents.read_daily(spark, str(tmp_path / "daily")).collect()}
             == {tuple(r) for r in daily.collect()})
     registry = merge.registry(m)
     doc_sink.write_registry(registry, str(tmp_path / "reg"), part_teams)
-    back = documents.read_registry(spark, str(tmp_path / "reg"), whole=False)
+    back = documents.read_registry(spark, str(tmp_path / "reg"))
     assert back.schema.fieldNames() == REGISTRY.fieldNames()
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in registry.drop("first_seen").collect()}
     if part_teams == 200:
@@ -207,3 +207,55 @@ def test_written_documents_hold_everything(spark, tmp_path, part_teams, part_ent
         assert len(texts) == 1
         assert [t["team"] for t in json.loads(texts[0][0])["teams"]] == [
             r["team"] for r in ranked.orderBy("rank").collect()]
+
+
+def test_names_come_from_the_end_of_the_path(spark, tmp_path):
+    folder = tmp_path / "RUN1_2024"
+    folder.mkdir()
+    files(folder, E0_1516=PAD + "E0,08/08/2015,Arsenal,Chelsea,1,2,x\n")
+    assert [(r["competition"], r["season_code"]) for r in season_csv.rows(spark, str(folder)).collect()] == [("E0", "1516")]
+    (folder / "PL_2023.json").write_text(json.dumps({"matches": [{
+        "id": 1, "utcDate": "2023-08-01T20:00:00Z", "homeTeam": {"name": "a"}, "awayTeam": {"name": "b"},
+        "score": {"fullTime": {"home": 4, "away": 0}}}]}))
+    found = match_api.read(spark, str(folder / "PL_2023.json")).collect()
+    assert [(r["league"], r["season"]) for r in found] == [("PL", "2023-2024")]
+
+
+def test_rejects_have_reasons(spark, tmp_path):
+    good = "E0,08/08/2015,Arsenal,Chelsea,1,2,x\n"
+    path = files(tmp_path, E0_1516=PAD + good + "E0,31/13/2015,A,B,1,2\nE0,09/08/2015,A,B,x,2\nE0,09/08/2015,,B,1,2\n",
+                 X9_1516=PAD + good, nameless=PAD + good, E0_1617="Div,Day" + "," * 120 + "\nE0,1\n", E0_1718="x", E0_1819="<!DOCTYPE html>" + " " * 120)
+    found = season_csv.rejects(season_csv.lines(spark, path)).collect()
+    got = sorted((r["file"].rsplit("/", 1)[1].removesuffix(".csv"), r["reason"], r["lines"]) for r in found)
+    assert got == sorted([
+        ("E0_1516", "unreadable date", 1), ("E0_1516", "unreadable score", 1), ("E0_1516", "a needed column is empty", 1),
+        ("X9_1516", "unknown competition", 2), ("nameless", "no competition and season in the name", 2),
+        ("E0_1617", "missing columns", 2), ("E0_1718", "too short", 1), ("E0_1819", "html", 1)])
+
+
+def test_a_later_line_equal_to_the_header_is_a_row(spark, tmp_path):
+    path = files(tmp_path, E0_1516=PAD + "E0,08/08/2015,A,B,1,2\n" + PAD + "E0,09/08/2015,A,B,1,2\n")
+    assert len(rows_of(spark, path)) == 3
+
+
+def test_large_documents_by_default_settings(spark, tmp_path):
+    teams = spark.range(450).select(
+        F.concat(F.lit("t"), F.col("id")).alias("team"), F.lit("PL").alias("league"), F.lit("ENG").alias("country"),
+        F.col("id").alias("matches_played"), F.col("id").alias("first_seen"))
+    doc_sink.write_registry(teams, str(tmp_path / "reg"))
+    assert documents.read_registry(spark, str(tmp_path / "reg")).distinct().count() == 450
+    ranked = teams.limit(2).select(
+        "team", (F.col("matches_played") + 1).alias("rank"), F.lit(1.0).alias("rating"), *[F.lit(1).cast("long").alias(c) for c in ("matches", "wins", "draws", "losses")],
+        F.lit("d").alias("last_updated"))
+    events = spark.range(1, 6001).select(
+        F.lit("t0").alias("team"), F.col("id").alias("seq"), F.col("id").cast("string").alias("date"), F.col("id").cast("double").alias("rating_after"))
+    doc_sink.write_ratings(ranked, events, 6000, "t", RatingConfig(), str(tmp_path / "ratings"))
+    assert documents.read_history(spark, str(tmp_path / "ratings")).distinct().count() == 6000
+    assert documents.read_ratings(spark, str(tmp_path / "ratings")).count() == 2
+
+
+def test_a_day_that_is_no_calendar_day_is_published(spark, tmp_path):
+    daily = spark.createDataFrame([("a", "2020-02-31", 1.0), ("a", "2020-03-01", 2.0)], "team string, date string, rating double")
+    ranked = spark.createDataFrame([("a", 1)], "team string, rank long")
+    doc_sink.write_daily(ranked, daily, str(tmp_path / "daily"))
+    assert {tuple(r) for r in documents.read_daily(spark, str(tmp_path / "daily")).collect()} == {tuple(r) for r in daily.collect()}

@@ -72,8 +72,8 @@ def api_project(spark, sf_dir):
     return _wide(match_api.projected(entries))
 
 
-def _wide(m):
-    return m.select("id", "date", "league", "season", "home", "away", F.col("hg").cast("long").alias("hg"),
+def _wide(m, *more):
+    return m.select(*more, "id", "date", "league", "season", "home", "away", F.col("hg").cast("long").alias("hg"),
                     F.col("ag").cast("long").alias("ag"), F.col("matchday").cast("long").alias("matchday"))
 
 
@@ -91,7 +91,7 @@ def src_matches(spark, sf_dir):
         "id", "date", "league", "season", F.col("home").alias("homeTeam"), F.col("away").alias("awayTeam"),
         F.col("hg").alias("homeGoals"), F.col("ag").alias("awayGoals"), "matchday").write.json(path)
     m = tables.read_match_json(spark, path, multi_line=False)
-    return _wide(m).join(m.select("id", F.unix_millis("ts").alias("ms")), "id")
+    return _wide(m, F.unix_millis("ts").alias("ms"))
 
 
 @register("clean_required", o.query(RAW, """

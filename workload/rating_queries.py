@@ -272,12 +272,9 @@ SELECT rank, team, round(rating, {DIGITS}) AS rating, matches, wins, draws, loss
   last_updated || 'T00:00:00Z' AS last_updated, (SELECT count(*) FROM matches) AS matches_processed,
   '{COMPUTED_AT}' AS computed_at FROM ranked"""))
 def src_ratings_doc(spark, sf_dir):
-    path = _write_ratings(spark, sf_dir, part_teams=doc_sink.PART_TEAMS)
-    run = documents.read_run(spark, path, whole=False).select(
-        F.lit(1).alias("k"), F.col("matchesProcessed").alias("matches_processed"), F.col("computedAt").alias("computed_at"))
-    teams = documents.read_ratings(spark, path, whole=False).withColumn("rating", r4("rating"))
-    # one run per document
-    return teams.withColumn("k", F.lit(1)).join(run, "k").drop("k")
+    path = _write_ratings(spark, sf_dir, part_teams=40)
+    teams = documents.read_ratings(spark, path, run=True).withColumn("rating", r4("rating"))
+    return teams.withColumnsRenamed({"matchesProcessed": "matches_processed", "computedAt": "computed_at"})
 
 
 @register("sink_ratings", o.query(FOLD, f"""
@@ -285,7 +282,7 @@ SELECT team, seq, date, round(rating_after, {DIGITS}) AS rating FROM events"""))
 def sink_ratings(spark, sf_dir):
     """Histories read back from documents of 40 teams and 100 entries each."""
     path = _write_ratings(spark, sf_dir, part_teams=40, part_entries=100)
-    return documents.read_history(spark, path, whole=False).withColumn("rating", r4("rating"))
+    return documents.read_history(spark, path).withColumn("rating", r4("rating"))
 
 
 def _write_ratings(spark, sf_dir, **sizes):
@@ -304,13 +301,13 @@ def _write_daily(spark, sf_dir, **sizes):
 
 @register("src_daily_doc", o.query(FOLD + [DAILY], f"SELECT team, date, round(rating, {DIGITS}) AS rating FROM daily"))
 def src_daily_doc(spark, sf_dir):
-    return documents.read_daily(spark, _write_daily(spark, sf_dir), whole=False).withColumn("rating", r4("rating"))
+    return documents.read_daily(spark, _write_daily(spark, sf_dir, part_teams=40, part_entries=365)).withColumn("rating", r4("rating"))
 
 
 @register("sink_daily", o.query(FOLD + [DAILY], """
 SELECT team, count(*) AS days, min(date) AS first_day, max(date) AS last_day FROM daily GROUP BY team"""))
 def sink_daily(spark, sf_dir):
-    """Documents of 40 teams and stretches of 365 days, summed up after reading back."""
+    """Documents of 40 teams and stretches of 11 months, summed up after reading back."""
     path = _write_daily(spark, sf_dir, part_teams=40, part_entries=365)
-    return documents.read_daily(spark, path, whole=False).groupBy("team").agg(
+    return documents.read_daily(spark, path).groupBy("team").agg(
         F.count(F.lit(1)).alias("days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
