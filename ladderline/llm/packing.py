@@ -13,6 +13,8 @@ A queue must be worth a token per window for that; smaller sources share one que
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -28,7 +30,9 @@ from ladderline.session import new_path
 
 WINDOW = 2048
 END_ID = 1
-_KNOWN_WORDS = 400_000  # memory of a worker's word cache, not a limit of the vocabulary
+_KNOWN = 400_000  # memory of each of a worker's two caches, not a limit of the vocabulary
+# letters, then marks: the vocabulary's own rule cuts there, and sees the letters in lower case
+_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 _TOKENS = pa.schema([("part", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()),
                      ("before", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -41,28 +45,36 @@ def encoder(path: str) -> Callable[[str], bytes]:
     """Text -> little-endian 32-bit ids. Kept per worker.
 
     The vocabulary drops white space and never joins over it, so text is cut at blanks and every
-    distinct word is encoded once.
+    distinct word is looked up; a new one of letters and marks is put together from its two parts.
     """
     if path not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # before the import that reads it
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         known: dict[str, bytes] = {"": b""}
+        parts: dict[str, bytes] = {"": b""}
+
+        def learn(new: list[str]) -> None:
+            if len(parts) > _KNOWN:
+                parts.clear()
+                parts[""] = b""
+            cut = [(m[1].lower(), m[2]) if (m := _LETTERS_MARKS.fullmatch(w)) else (w, "") for w in new]
+            missing = list({p for pair in cut for p in pair if p not in parts})
+            for part, found in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+                parts[part] = np.array(found.ids, "<u4").tobytes()
+            for word, (a, b) in zip(new, cut):
+                known[word] = parts[a] + parts[b]
 
         def encode(text: str) -> bytes:
             cut = text.replace("\n", " ").split(" ")
             try:
                 return b"".join(map(known.__getitem__, cut))
             except KeyError:
-                if len(known) > _KNOWN_WORDS:
+                if len(known) > _KNOWN:
                     known.clear()
                     known[""] = b""
-                new = list({w for w in cut if w not in known})
-                for word, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[word] = np.array(found.ids, "<u4").tobytes()
+                learn(list({w for w in cut if w not in known}))
                 return b"".join(map(known.__getitem__, cut))
 
         _encoders[path] = encode
