@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import unused
+from ladderline.llm.common import once, unused
 
 KEY = "ladderline-pseudonyms-1"
 ROUNDS = 8
@@ -34,7 +34,12 @@ ROUNDS = 8
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}+"
 _SECRET = r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?[A-Za-z0-9_/+-]{16,128}"""
 _ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-_PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+(])\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
+# a number after it must not be taken for a further group, so the ten digits after +1 come first
+_PHONE = (
+    r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d|\.\d)"
+    r"|(?<![\d+(])\(?[2-9]\d\d\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"
+)
 _CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?!\d)"
 _SSN = r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])"
 _DATE = r"(?<!\d)(?:\d{4}-\d\d-\d\d|\d{1,2}([/.])\d{1,2}\1\d{4})(?!\d)"
@@ -66,11 +71,6 @@ def feistel(value: Column, a: Column | int, b: Column | int, key: str, form: str
     return done["l"] * b + done["r"]
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that it reads several times, worked out once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
@@ -103,7 +103,7 @@ def _card(m: Column, key: str) -> Column:
     # the one lambda argument keeps the permutation from being worked out for each candidate
     checked = F.transform(F.array(body), lambda x: F.element_at(F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(x, c.cast("string"))), _luhn), 1))
-    return F.when(_luhn(digits), _once(F.element_at(checked, 1), lambda new: _refilled(m, new))).otherwise(m)
+    return F.when(_luhn(digits), once(F.element_at(checked, 1), lambda new: _refilled(m, new))).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -111,7 +111,7 @@ def _phone(m: Column, key: str) -> Column:
     digits = _digits(m)
     own = F.substring(digits, F.length(country) + 1, F.length(digits))
     valid = F.length(digits).between(8, 15) | ~m.startswith("+")
-    return F.when(valid, _once(F.concat(country, _permuted(own, key, "phone")), lambda new: _refilled(m, new))).otherwise(m)
+    return F.when(valid, once(F.concat(country, _permuted(own, key, "phone")), lambda new: _refilled(m, new))).otherwise(m)
 
 
 def _address(m: Column, key: str) -> Column:
@@ -120,7 +120,7 @@ def _address(m: Column, key: str) -> Column:
     value = ((part(1) * 256 + part(2)) * 256 + part(3)) * 256 + part(4)
     new = feistel(value, 65536, 65536, key, "address")
     octet = lambda x, shift: F.shiftright(x, shift).bitwiseAND(F.lit(255)).cast("string")
-    shown = _once(new, lambda x: F.concat_ws(".", *[octet(x, shift) for shift in (24, 16, 8, 0)]))
+    shown = once(new, lambda x: F.concat_ws(".", *[octet(x, shift) for shift in (24, 16, 8, 0)]))
     return F.when(F.forall(parts, lambda p: p.cast("int") <= 255), shown).otherwise(m)
 
 
@@ -136,7 +136,7 @@ def _ssn(m: Column, key: str) -> Column:
         parts = place + F.when(place >= 666, F.lit(1)).otherwise(F.lit(0)), F.floor(rest / 9999) + 1, F.pmod(rest, F.lit(9999)) + 1
         return F.concat_ws("-", *[F.lpad(x.cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4))])
 
-    return F.when(valid, _once(new, shown)).otherwise(m)
+    return F.when(valid, once(new, shown)).otherwise(m)
 
 
 def _date(m: Column, key: str) -> Column:
@@ -157,7 +157,7 @@ def _date(m: Column, key: str) -> Column:
             day_first.isNotNull(), F.concat(part("dd"), mark, part("MM"), mark, part("yyyy"))).otherwise(
             F.concat(part("MM"), mark, part("dd"), mark, part("yyyy")))
 
-    return F.when(number.between(0, _CYCLE_DAYS - 1), _once(new, shown)).otherwise(m)
+    return F.when(number.between(0, _CYCLE_DAYS - 1), once(new, shown)).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
