@@ -24,6 +24,7 @@ HEADLINE = [
     "peak_low", "rating_history", "dedup_anti", "merge_matches", "chrono_sort", "registry", "team_record",
     "season_breaks", "league_avg", "spearman", "before_after", "src_csv", "match_id", "src_api_json", "sink_matches",
     "elo_update", "team_match_long",
+    "fold_sliced",
 ]
 
 
