@@ -17,8 +17,13 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 def words(text: str | Column) -> Column:
     """Maximal runs without space, tab, newline, vertical tab, form feed or return; none for null."""
-    filled = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return F.filter(F.split(filled, SPACES), lambda w: w != F.lit(""))
+    filled = F.btrim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(filled == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(filled, SPACES))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that it reads several times, worked out once: a lambda's argument is a value."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

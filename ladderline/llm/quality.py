@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import unused, words
+from ladderline.llm.common import once, unused, words
+from ladderline.sources.season_csv import evaluated
 
 BINS = 1 << 16
 THRESHOLD = -0.35
 SMOOTHING = 1.0
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-_SYMBOLS = r"[^#*$%&|<>]+"
+_SYMBOLS = r"[#*$%&|<>]"
 
 
 def _long(column: Column) -> Column:
@@ -32,27 +33,42 @@ def _after(values: Column, n: int) -> Column:
 
 
 def _pairs(values: Column, make) -> Column:
-    """`make` of every two neighbours. Lambdas never hold an array: it would be built anew for each element."""
+    """`make` of every two neighbours, without naming the array inside, where it would be built for each element."""
     return F.zip_with(F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))), _after(values, 1), make)
 
 
-def window_hashes(found: Column) -> Column:
-    """64-bit hashes of the 3-word windows: among the n of one text a false match has a chance of n * n / 2^65."""
-    two = _pairs(found, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    n = F.greatest(F.size(found) - 2, F.lit(0))
-    return F.zip_with(F.slice(two, F.lit(1), n), _after(found, 2), lambda x, c: F.xxhash64(x["a"], x["b"], c))
+def _chained(left: Column, right: Column) -> Column:
+    """Of two 64-bit hashes one that depends on their order; cheap, as it runs for every word."""
+    return F.shiftleft(left, 1).bitwiseXOR(right)
+
+
+def word_hashes(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(w))
+
+
+def pair_hashes(one: Column) -> Column:
+    """Hashes of the word bigrams, from the words' hashes."""
+    return _pairs(one, _chained)
+
+
+def window_hashes(one: Column, two: Column) -> Column:
+    """64-bit hashes of the 3-word windows: among the n of one text a false match has a chance of n * n / 2^63."""
+    n = F.greatest(F.size(one) - 2, F.lit(0))
+    return F.zip_with(F.slice(two, F.lit(1), n), _after(one, 2), _chained)
 
 
 def covered_words(hashes: Column) -> Column:
     """Words in 3-word windows that occur twice or more; windows are sorted with their places."""
     placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = _pairs(placed, lambda a, b: a["h"] == b["h"])  # one less than windows
-    twice = F.zip_with(F.concat(same, F.array(F.lit(False))), F.concat(F.array(F.lit(False)), same), lambda a, b: a | b)
-    marked = F.zip_with(placed, twice, lambda x, t: F.struct(x["i"].alias("i"), t.alias("t")))
-    starts = F.sort_array(F.transform(F.filter(marked, lambda x: x["t"]), lambda x: x["i"]))
-    return F.aggregate(
-        starts, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
-        lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")))["n"]
+
+    def covered(p: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(p, i)["h"] == x["h"], F.lit(False))
+        starts = F.sort_array(F.transform(F.filter(p, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
+        return F.aggregate(
+            starts, F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
+            lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")))["n"]
+
+    return once(placed, covered)
 
 
 def base_rules(found: str, hashes: str) -> dict[str, Column]:
@@ -62,32 +78,34 @@ def base_rules(found: str, hashes: str) -> dict[str, Column]:
     return {
         "n_words": _long(F.size(found)),
         "word_chars": _long(F.length(F.array_join(found, ""))),
-        "n_symbols": _long(F.length(F.regexp_replace(text, _SYMBOLS, ""))),
+        "n_symbols": _long(F.regexp_count(text, F.lit(_SYMBOLS))),
         "n_dup_lines": _long(F.size(lines) - F.size(F.array_distinct(lines))),
         # few texts repeat a window, and only those are sorted
         "n_repeat_words": _long(F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered_words(F.col(hashes))).otherwise(F.lit(0))),
     }
 
 
-def bins(found: str | Column, n: int = BINS) -> Column:
-    """The bins of a text's word unigrams and bigrams, repeats included."""
-    found = F.col(found) if isinstance(found, str) else found
-    one = F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(n)).cast("int"))
-    return F.concat(one, _pairs(found, lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(n)).cast("int")))
+def _bin(h: Column, n: int) -> Column:
+    return h.bitwiseAND(F.lit(n - 1).cast("long"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BINS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row with `ratios`, log(trusted / raw) for bins 0 to n - 1; null if no trusted document has a word.
 
-    `trusted` holds doc_ids, repeats and nulls allowed.
+    `trusted` holds doc_ids, repeats and nulls allowed. n is a power of two.
     """
     mark = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct()
-    rows = docs.select("doc_id", "text").join(mark, F.col("doc_id") == F.col("_trusted"), "left")
+    # labels grow with the documents: sorted and merged at every size, never broadcast
+    rows = docs.select("doc_id", "text").join(mark.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
+    hashed = rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), word_hashes(words("text")).alias("one"))
+    hashed = hashed.withColumn("both", F.concat("one", pair_hashes(F.col("one"))))
     counted = (
-        rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(bins(words("text"), n)).alias("bin"))
+        # outer: for an inner one the optimizer would test the array's size and build it several times over
+        hashed.select("t", F.explode_outer("both").alias("h")).where("h IS NOT NULL")
+        .select("t", _bin(F.col("h"), n).alias("bin"))
         .groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     )
-    filled = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("bin")).join(counted, "bin", "left").select(
+    filled = docs.sparkSession.range(n).select(F.col("id").alias("bin")).join(counted, "bin", "left").select(
         "bin", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     table = filled.agg(F.sum("raw").alias("r"), F.sum("target").alias("t"),
                        F.array_sort(F.collect_list(F.struct("bin", "raw", "target"))).alias("all"))
@@ -96,19 +114,23 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BINS, smoothing: fl
     return table.select(F.when(F.col("t") > 0, ratios).alias("ratios"))
 
 
-def score(found: str, ratios: Column) -> Column:
-    """Mean log ratio over a text's n-grams; null without words or without ratios."""
-    total = F.aggregate(bins(found), F.lit(0.0), lambda a, b: a + F.element_at(ratios, b + 1))
-    return F.when(F.size(found) > 0, total / (2 * F.size(found) - 1))
+def score(one: str, two: str, ratios: Column, n: int = BINS) -> Column:
+    """Mean log ratio over a text's words and bigrams; null without words or without ratios."""
+    add = lambda total, h: total + ratios[_bin(h, n)]
+    total = F.aggregate(two, F.aggregate(one, F.lit(0.0), add), add)
+    return F.when(F.size(one) > 0, total / (2 * F.size(one) - 1))
 
 
 def _judged(docs: DataFrame, trusted: DataFrame, threshold: float) -> tuple[DataFrame, dict[str, str]]:
-    found, hashes, ratios, names = unused(docs, "words"), unused(docs, "hashes"), unused(docs, "ratios"), {}
+    found, one, two, hashes, ratios = (unused(docs, x) for x in ("words", "one", "two", "hashes", "ratios"))
+    names = {}
     table = docs.withColumn(found, words("text"))
-    table = table.withColumn(hashes, window_hashes(F.col(found)))
+    table = table.withColumn(one, word_hashes(F.col(found)))
+    table = table.withColumn(two, pair_hashes(F.col(one)))
+    table = table.withColumn(hashes, window_hashes(F.col(one), F.col(two)))
     # a scalar subquery: the optimizer moves it into the one expression that reads it
     table = table.withColumn(ratios, log_ratios(docs, trusted).scalar())
-    for name, value in {**base_rules(found, hashes), "llr": score(found, F.col(ratios))}.items():
+    for name, value in {**base_rules(found, hashes), "llr": score(one, two, F.col(ratios))}.items():
         names[name] = unused(docs, name)
         table = table.withColumn(names[name], value)
     n_words, repeat, llr = (F.col(names[k]) for k in ("n_words", "n_repeat_words", "llr"))
@@ -134,7 +156,10 @@ def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
 def accepted(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that `rules` keeps, same columns."""
     table, names = _judged(docs, trusted, threshold)
-    return table.where(F.col(names["kept"])).select(*docs.columns)
+    kept = unused(docs, "accepted")
+    # as a generator's output the verdict is a value to the filter, not an expression to repeat below
+    judged = table.select(*docs.columns, evaluated([F.col(names["kept"]).alias(kept)]))
+    return judged.where(F.col(kept)).select(*docs.columns)
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
