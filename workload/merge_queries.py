@@ -9,7 +9,7 @@ from ladderline.functions import labels
 from ladderline.functions.rating import actual_home
 from ladderline.operators import breaks, merge, perspective, profiles, summary
 from ladderline.operators.ordinal import with_ordinal
-from ladderline.schema import MATCH_ORDER
+from ladderline.schema import MATCH_ORDER, MATCHES
 from ladderline.session import new_path
 from ladderline.sinks import documents as doc_sink
 from ladderline.sinks.tables import write_match_json, write_matches
@@ -125,7 +125,8 @@ SELECT league, count(*) AS matches, 0::BIGINT AS registered FROM matches GROUP B
 def src_optional(spark, sf_dir):
     """Inputs that aren't there give empty tables: no registry and no second source beside the matches."""
     gone = new_path(spark, "absent")
-    m = merge.merged(fixture.matches(spark, sf_dir), tables.read_matches(spark, gone))
+    absent = tables.optional(spark, gone, tables.read_matches, MATCHES)
+    m = merge.merged(fixture.matches(spark, sf_dir), absent)
     known = documents.read_registry(spark, gone).groupBy("league").agg(F.count(F.lit(1)).alias("registered"))
     return m.groupBy("league").agg(F.count(F.lit(1)).alias("matches")).join(known, "league", "left").select(
         "league", "matches", F.coalesce("registered", F.lit(0)).alias("registered"))
