@@ -86,7 +86,7 @@ def write_arc(pages: DataFrame, path: str) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
     # text files hold bytes as they come; a record ends with a line end
     (rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\n").text(path))
+     .write.option("compression", "gzip").option("lineSep", "\n").text(path))
 
 
 class Bytes:
@@ -243,7 +243,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         yield from arrow_batches(rows(), pa.schema([("value", pa.binary())]), weigh=lambda r: len(r[0]))
 
     (records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-     .write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("lineSep", "\r\n\r\n").text(path))
+     .write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path))
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
