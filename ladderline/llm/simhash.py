@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import components
+from ladderline.llm.common import components, unused
 from ladderline.session import written
 
 SHINGLE = 3
@@ -48,16 +48,16 @@ def fingerprint(text: bytes | None) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint `fp` of every row; the text stays where it is."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, the columns `more` and the fingerprint `fp` of every row; the text stays where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(x.as_py()) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*batch.schema.names[:-1], "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -74,6 +74,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS))
 
 
+def _classes(found: DataFrame) -> DataFrame:
+    """fp, root (one fingerprint of the component) and component_id for the distinct fingerprints of `found`."""
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    linked = components(links(distinct), "simhash-round")
+    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable over links, itself included) for every row.
 
@@ -83,22 +93,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     found = written(fingerprints(docs), "simhash-fp")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    linked = components(links(distinct), "simhash-round")
-    rooted = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return found.join(_classes(found), "fp").select("doc_id", "fp", "component_id")
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its component, one row per doc_id, same columns.
+    """Exactly one row of `docs` for every component, same columns: a row of its smallest doc_id.
 
-    Rows with a null doc_id can't be told apart from others and stay only where no numbered document
-    has a linked fingerprint.
+    Rows, not doc_ids, are chosen, by doc_id and a 128-bit hash of the text: rows that share a doc_id
+    or have none stay side by side where their texts aren't linked. A row with a null doc_id stays
+    only where no numbered document has a linked fingerprint. Of several rows with the smallest
+    doc_id, or of only unnumbered ones, the least hash decides; null text counts as empty.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_kept"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = written(fingerprints(docs, _digest("text").alias("digest")), "simhash-fp")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+    chosen = found.join(_classes(found), "fp").groupBy("root").agg(least)
+    kept = chosen.select(F.col("least.doc_id").alias("_kept"), F.col("least.digest").alias("_digest"))
+    # a text has one fingerprint, so doc_id and hash belong to one component
+    own, number = unused(docs, "digest"), unused(docs, "number")
+    rows = docs.withColumn(own, _digest("text")).withColumn(number, F.col("doc_id").cast("long"))
+    same = F.col(number).eqNullSafe(F.col("_kept")) & (F.col(own) == F.col("_digest"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([number, own]).select(*docs.columns)

@@ -1,6 +1,7 @@
 """Quality rules, mixing, packing, SimHash, pseudonyms, language and passages against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -222,6 +223,18 @@ def test_near_duplicates_and_keep_one(spark):
     assert simhash.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_keep_one_chooses_rows_not_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (cases.prose(rng, 120) for _ in range(5))
+    found = [(None, a), (None, b), (None, c), (None, c + " tail"), (None, c), (7, d), (7, e), (7, e), (8, d), (9, a)]
+    docs = cases.table(spark, [(i, t, "en", "s") for i, t in found])
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()), key=str)
+    some = [t for i, t in kept if i is None and t.startswith(c)]
+    assert len(some) == (1 if bin(simhash.fingerprint(c.encode()) ^ simhash.fingerprint((c + " tail").encode())).count("1") <= 2 else 2)
+    assert [x for x in kept if x[1] not in some] == sorted([(None, b), (7, d), (7, e), (9, a)], key=str)
+    assert simhash.keep_one(cases.empty(spark)).count() == 0
+
+
 # pseudonyms
 
 TEXTS = [
