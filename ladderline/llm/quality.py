@@ -1,10 +1,12 @@
 """Quality rules: base counts of every text, then a hashed n-gram log-likelihood ratio.
 
-Word unigrams and bigrams are hashed into a fixed number of bins. Two multinomials over the bins are
-counted over all documents: the raw corpus, and the trusted documents among them. A document's score
-is the mean of log(trusted / raw) over its n-grams; it is kept at a score of `THRESHOLD` or more.
-The table of log ratios has one entry per bin whatever the input, so it reaches the scoring scan as a
-scalar, and scoring needs no shuffle. Everything is DataFrame functions.
+Word unigrams and bigrams are hashed into bins, whose number grows with the words of the table. Two
+multinomials over the bins are counted over all documents: the raw corpus, and the trusted documents
+among them. A document's score is the mean of log(trusted / raw) over its n-grams; it is kept at a
+score of `THRESHOLD` or more. The most frequent bin of each of `HEAD` slots reaches the scoring scan
+as a scalar of one size; all other n-grams of a text are joined to their bins by a sort-merge join
+and summed per text. Ratios are whole numbers of 2^-32, so sums don't depend on their order.
+Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -13,9 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ladderline.llm.common import once, unused, words
+from ladderline.session import written
 from ladderline.sources.season_csv import evaluated
 
-BINS = 1 << 16
+BINS = 1 << 16  # at least
+WORDS_PER_BIN = 5  # at most: with fuller bins junk words share theirs with good ones
+HEAD = 1 << 16
+_UNIT = 1 << 32
 THRESHOLD = -0.35
 SMOOTHING = 1.0
 MIN_WORDS = 50
@@ -89,8 +95,17 @@ def _bin(h: Column, n: int) -> Column:
     return h.bitwiseAND(F.lit(n - 1).cast("long"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BINS, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row with `ratios`, log(trusted / raw) for bins 0 to n - 1; null if no trusted document has a word.
+def bins(n_words: int) -> int:
+    """The least power of two that gives a bin at most WORDS_PER_BIN words, BINS at least."""
+    return max(BINS, 1 << max(0, -(-n_words // WORDS_PER_BIN) - 1).bit_length())
+
+
+def _grams(one: Column, two: Column, n: int) -> Column:
+    return F.transform(F.concat(one, two), lambda h: _bin(h, n))
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, n: int, smoothing: float = SMOOTHING) -> DataFrame | None:
+    """bin, raw and `ratio`, log(trusted / raw) in 1 / _UNIT, of the bins that occur; None if no trusted document has a word.
 
     `trusted` holds doc_ids, repeats and nulls allowed. n is a power of two.
     """
@@ -99,40 +114,84 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, n: int = BINS, smoothing: fl
     rows = docs.select("doc_id", "text").join(mark.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
     hashed = rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), word_hashes(words("text")).alias("one"))
     hashed = hashed.withColumn("both", F.concat("one", pair_hashes(F.col("one"))))
-    counted = (
+    counted = written(
         # outer: for an inner one the optimizer would test the array's size and build it several times over
         hashed.select("t", F.explode_outer("both").alias("h")).where("h IS NOT NULL")
         .select("t", _bin(F.col("h"), n).alias("bin"))
-        .groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
-    )
-    filled = docs.sparkSession.range(n).select(F.col("id").alias("bin")).join(counted, "bin", "left").select(
-        "bin", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    table = filled.agg(F.sum("raw").alias("r"), F.sum("target").alias("t"),
-                       F.array_sort(F.collect_list(F.struct("bin", "raw", "target"))).alias("all"))
-    part = lambda count, total: F.log((count + F.lit(smoothing)) / (total + F.lit(smoothing * n)))
-    ratios = F.transform("all", lambda x: part(x["target"], F.col("t")) - part(x["raw"], F.col("r")))
-    return table.select(F.when(F.col("t") > 0, ratios).alias("ratios"))
+        .groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")), "quality-bins")
+    total = counted.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
+    if not total.t:
+        return None
+    part = lambda count, whole: F.log((F.col(count) + F.lit(smoothing)) / F.lit(whole + smoothing * n))
+    ratio = F.round((part("target", total.t) - part("raw", total.r)) * _UNIT).cast("long")
+    return counted.select("bin", "raw", ratio.alias("ratio"))
+
 
+def _head(ratios: DataFrame) -> DataFrame:
+    """One row with `head`: for each slot, the low bits of a bin, its most frequent bin and that one's ratio."""
+    slot = F.col("bin").bitwiseAND(F.lit(HEAD - 1).cast("long"))
+    best = ratios.groupBy(slot.alias("slot")).agg(F.max(F.struct("raw", "bin", "ratio")).alias("best"))
+    filled = ratios.sparkSession.range(HEAD).select(F.col("id").alias("slot")).join(best.hint("merge"), "slot", "left").select(
+        "slot", F.coalesce("best.bin", F.lit(-1)).alias("bin"), F.coalesce("best.ratio", F.lit(0)).alias("ratio"))
+    table = filled.agg(F.array_sort(F.collect_list(F.struct("slot", "bin", "ratio"))).alias("all"))
+    pick = lambda name: F.transform("all", lambda x: x[name]).alias(name)
+    return table.select(F.struct(pick("bin"), pick("ratio")).alias("head"))
 
-def score(one: str, two: str, ratios: Column, n: int = BINS) -> Column:
-    """Mean log ratio over a text's words and bigrams; null without words or without ratios."""
-    add = lambda total, h: total + ratios[_bin(h, n)]
-    total = F.aggregate(two, F.aggregate(one, F.lit(0.0), add), add)
-    return F.when(F.size(one) > 0, total / (2 * F.size(one) - 1))
+
+def _in_head(head: Column, gram: Column) -> tuple[Column, Column]:
+    """Whether a bin is its slot's, and the slot's ratio."""
+    slot = gram.bitwiseAND(F.lit(HEAD - 1).cast("long"))
+    return head["bin"][slot] == gram, head["ratio"][slot]
+
+
+def _rest(docs: DataFrame, ratios: DataFrame, head: DataFrame, n: int) -> DataFrame:
+    """key, total and grams: sum of ratios and number of the n-grams outside the head, of all texts with a key.
+
+    Equal texts have equal keys, 64-bit hashes, and count together; their mean is that of each.
+    """
+    one = docs.select(F.xxhash64("text").alias("key"), word_hashes(words("text")).alias("one"))
+    grams = one.select("key", _grams(F.col("one"), pair_hashes(F.col("one")), n).alias("grams")).withColumn("head", head.scalar())
+    outside = grams.select("key", F.explode_outer(F.filter("grams", lambda g: ~_in_head(F.col("head"), g)[0])).alias("bin")).where("bin IS NOT NULL")
+    joined = outside.join(ratios.select("bin", "ratio").hint("merge"), "bin")
+    return joined.groupBy("key").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("grams"))
 
 
 def _judged(docs: DataFrame, trusted: DataFrame, threshold: float) -> tuple[DataFrame, dict[str, str]]:
-    found, one, two, hashes, ratios = (unused(docs, x) for x in ("words", "one", "two", "hashes", "ratios"))
+    found, one, two, hashes, sums, key = (unused(docs, x) for x in ("words", "one", "two", "hashes", "sums", "key"))
     names = {}
+    n = bins(docs.agg(F.sum(F.size(words("text")).cast("long"))).first()[0] or 0)
+    ratios = log_ratios(docs, trusted, n)
     table = docs.withColumn(found, words("text"))
     table = table.withColumn(one, word_hashes(F.col(found)))
     table = table.withColumn(two, pair_hashes(F.col(one)))
     table = table.withColumn(hashes, window_hashes(F.col(one), F.col(two)))
-    # a scalar subquery: the optimizer moves it into the one expression that reads it
-    table = table.withColumn(ratios, log_ratios(docs, trusted).scalar())
-    for name, value in {**base_rules(found, hashes), "llr": score(one, two, F.col(ratios))}.items():
+    for name, value in base_rules(found, hashes).items():
         names[name] = unused(docs, name)
         table = table.withColumn(names[name], value)
+    names["llr"] = unused(docs, "llr")
+    kept_columns = [*docs.columns, *[v for k, v in names.items() if k != "llr"]]
+    if ratios is None:
+        table = table.select(*kept_columns, F.lit(None).cast("double").alias(names["llr"]))
+    else:
+        head = written(_head(ratios), "quality-head")
+        inside = unused(docs, "head")
+        table = table.withColumn(inside, head.scalar())
+
+        def add(state: Column, g: Column) -> Column:
+            own, ratio = _in_head(F.col(inside), g)
+            return F.struct((state["total"] + F.when(own, ratio).otherwise(F.lit(0))).alias("total"),
+                            (state["outside"] + F.when(own, F.lit(0)).otherwise(F.lit(1))).alias("outside"))
+
+        start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("outside"))
+        both = F.aggregate(_grams(F.col(one), F.col(two), n), start, add)
+        table = table.select(*kept_columns, both.alias(sums), F.xxhash64("text").alias(key))
+        rest = _rest(docs, ratios, head, n).select(F.col("key").alias("_key"), F.col("total").alias("_total"), F.col("grams").alias("_grams"))
+        joined = table.join(rest.hint("merge"), F.col(key) == F.col("_key"), "left")
+        outside = F.col("_total") / (F.col("_grams") / F.col(sums)["outside"])
+        total = (F.col(sums)["total"] + F.when(F.col(sums)["outside"] > 0, outside).otherwise(F.lit(0.0))) / F.lit(float(_UNIT))
+        n_words = F.col(names["n_words"])
+        llr = F.when(n_words > 0, total / (2 * n_words - 1))
+        table = joined.select(*kept_columns, llr.alias(names["llr"]))
     n_words, repeat, llr = (F.col(names[k]) for k in ("n_words", "n_repeat_words", "llr"))
     names["base_failed"], names["kept"] = unused(docs, "failed"), unused(docs, "kept")
     table = table.withColumn(names["base_failed"], (n_words < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n_words))

@@ -74,6 +74,40 @@ def test_quality_without_trust_and_empty(spark):
     assert kept.columns == cases.table(spark).columns and kept.count() == sum(r.kept for r in got)
 
 
+def test_quality_bins_grow_with_the_words(spark):
+    assert [quality.bins(n) for n in (0, 327_680, 327_681, 4_013_836, 5 << 30)] == [1 << 16, 1 << 16, 1 << 17, 1 << 20, 1 << 30]
+    rng = random.Random(3)
+    text = lambda k: " ".join(f"w{int(rng.paretovariate(0.3)) % 10**9}" for _ in range(k))
+    found = [(i, text(2_000), "en", "s") for i in range(200)]
+    found += [(500, found[3][1], "en", "s"), (None, found[3][1], "en", "s"), (501, None, "en", "s")]
+    got = quality.rules(cases.table(spark, found), spark.createDataFrame([(i,) for i in range(100)], "doc_id long")).collect()
+    one = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
+    n, a = 1 << 17, quality.SMOOTHING
+    grams = lambda w: [one(x) % n for x in w] + [(2 * one(x) ^ one(y)) % n for x, y in zip(w, w[1:])]
+    own = {t: grams(words(t)) for _, t, _, _ in found if t}
+    raw = Counter(g for r in found for g in own.get(r[1], ()))
+    target = Counter(g for r in found[:100] for g in own[r[1]])
+    part = lambda c, t: np.log((c + a) / (t + a * n))
+    of_target, of_raw = sum(target.values()), sum(raw.values())
+    ratio = {g: part(target[g], of_target) - part(raw[g], of_raw) for g in raw}
+    texts = {r[0]: r[1] for r in found}
+    assert len(got) == len(found)
+    for r in got:
+        if texts[r.doc_id]:
+            assert r.llr == pytest.approx(np.mean([ratio[g] for g in own[texts[r.doc_id]]]), abs=1e-9)
+        else:
+            assert r.llr is None
+
+
+def test_quality_threshold_on_labelled_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    got = quality.rules(docs, quality.trusted_documents(labels)).where("NOT base_failed")
+    marked = got.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("least"), F.max("toxic").alias("toxic")), "doc_id")
+    assert marked.where("quality = 0 AND kept").count() == 0
+    assert marked.where("least = 1 AND coalesce(toxic, 0) = 0 AND NOT kept").count() == 0
+
+
 # mixing
 
 def test_mixing_matches_sql_and_budgets(spark):
