@@ -7,6 +7,10 @@ strings, keeping the smallest and largest doc_id, so copies and common passages
 bucket only minimisers of two or more documents are unpacked; their windows are sorted and compared
 word by word. What goes back is, per packed string, which windows start in which smaller document,
 joined to the strings' places in the documents by a 128-bit hash.
+
+A minimiser of very many words, as of a license line with other words around it in each document, is
+no group of one bucket: its windows go one by one as 128-bit hashes through an aggregation of the
+smallest and largest doc_id, which combines before its shuffle and spreads over all tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ _RUN = 256  # windows of one packed string at most; a longer run is cut, which l
 _HELD = 48 << 20  # bytes of packed strings a task holds before it sends them off
 _BUCKET = 32 << 20  # bytes of packed strings that a bucket should get
 _CHUNK = 400_000  # words unpacked at a time in a bucket
+_HOT = 1_000_000  # words with one minimiser, above which its windows go as hashes
+_UNSEEN = 2_000  # a task leaves out minimisers of fewer than this part of _HOT words when it looks for hot ones
 _EXPANSION = 3
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -58,23 +64,80 @@ def minimisers(h: np.ndarray) -> np.ndarray:
     return np.minimum(low[:len(low) - (reach - width)], low[reach - width:])
 
 
-def packed(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """(minimiser, first window, windows, words as one string) of every super-k-mer of a text."""
+def _cuts(low: np.ndarray) -> list[int]:
+    return [0, *(np.flatnonzero(low[1:] != low[:-1]) + 1).tolist(), len(low)]
+
+
+def packed(text: bytes, hot: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, bytes]]:
+    """(minimiser, first window, windows, words as one string) of every super-k-mer of a text whose minimiser isn't hot."""
     found = text.split()
     if len(found) < WINDOW:
         return
     low = minimisers(_hashes(found))
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    change = np.flatnonzero(low[1:] != low[:-1]) + 1
-    cuts = [0, *change.tolist(), len(low)]
+    cuts = _cuts(low)
     for a, b in zip(cuts, cuts[1:]):
+        if hot and int(low[a]) in hot:
+            continue
         for first in range(a, b, _RUN):
             last = min(b, first + _RUN)
             start = int(ends[first - 1]) + 1 if first else 0
             yield int(low[first]), first, last - first, joined[start:int(ends[last + WINDOW - 2])]
 
 
+def hot_windows(text: bytes, hot: frozenset[int]) -> Iterator[tuple[int, bytes]]:
+    """(window, its words as one string) of every window whose minimiser is hot."""
+    found = text.split()
+    if len(found) < WINDOW:
+        return
+    low = minimisers(_hashes(found))
+    cuts = _cuts(low)
+    chosen = [(a, b) for a, b in zip(cuts, cuts[1:]) if int(low[a]) in hot]
+    if not chosen:
+        return
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    for a, b in chosen:
+        for i in range(a, b):
+            yield i, joined[int(ends[i - 1]) + 1 if i else 0:int(ends[i + WINDOW - 1])]
+
+
+def hot_minimisers(texts: DataFrame) -> frozenset[int]:
+    """Minimisers with more than _HOT words in their super-k-mers: one at most for each _HOT words that travel."""
+    least = max(1, _HOT // _UNSEEN)
+    schema = pa.schema([("low", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(lows: list[np.ndarray], sizes: list[np.ndarray]) -> Iterator[tuple]:
+            names, at = np.unique(np.concatenate(lows), return_inverse=True)
+            n = np.bincount(at, np.concatenate(sizes)).astype(np.int64)
+            yield from zip(names[n >= least].view(np.int64).tolist(), n[n >= least].tolist())
+
+        def rows() -> Iterator[tuple]:
+            lows, sizes, held = [], [], 0
+            for batch in batches:
+                for text in batch.column(2):
+                    found = text.as_py().split()
+                    if len(found) < WINDOW:
+                        continue
+                    low = minimisers(_hashes(found))
+                    cuts = np.array(_cuts(low))
+                    lows.append(low[cuts[:-1]])
+                    sizes.append(np.diff(cuts) + WINDOW - 1)
+                    held += len(cuts) - 1
+                    if held > 1 << 20:
+                        yield from counted(lows, sizes)
+                        lows, sizes, held = [], [], 0
+            if lows:
+                yield from counted(lows, sizes)
+
+        yield from arrow_batches(rows(), schema, limit_rows=50_000)
+
+    found = texts.mapInArrow(run, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") > _HOT)
+    return frozenset(row.low % (1 << 64) for row in found.select("low").toLocalIterator())
+
+
 def _key(string: bytes) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(string)
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -95,7 +158,7 @@ def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return column(0, "<u8"), column(1, "<i8"), column(2, "<i8"), column(3, "<i8"), data[8 + 32 * n:]
 
 
-def _sent(texts: DataFrame, buckets: int) -> DataFrame:
+def _sent(texts: DataFrame, buckets: int, hot: frozenset[int] = frozenset()) -> DataFrame:
     """bucket, blob: the packed strings of all documents, equal ones merged as far as a task sees them."""
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
@@ -112,7 +175,7 @@ def _sent(texts: DataFrame, buckets: int) -> DataFrame:
             for batch in batches:
                 for doc, text in zip(batch.column(0), batch.column(2)):
                     doc_id = doc.as_py()
-                    for low, _, _, string in packed(text.as_py()):
+                    for low, _, _, string in packed(text.as_py(), hot):
                         old = held.get(string)
                         if old is None:
                             held[string] = (low, doc_id, doc_id)
@@ -205,7 +268,7 @@ def _bucket(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in columns], schema=kinds)
 
 
-def _occurrences(texts: DataFrame) -> DataFrame:
+def _occurrences(texts: DataFrame, hot: frozenset[int] = frozenset()) -> DataFrame:
     """k1, k2, doc_id, text_hash, start of every packed string of every document."""
     schema = pa.schema([(n, pa.int64()) for n in ("k1", "k2", "doc_id", "text_hash", "start")])
 
@@ -214,7 +277,7 @@ def _occurrences(texts: DataFrame) -> DataFrame:
             for batch in batches:
                 for doc, text_hash, text in zip(*batch.columns):
                     doc_id, mark = doc.as_py(), text_hash.as_py()
-                    for _, start, _, string in packed(text.as_py()):
+                    for _, start, _, string in packed(text.as_py(), hot):
                         yield *_key(string), doc_id, mark, start
 
         yield from arrow_batches(rows(), schema, limit_rows=50_000)
@@ -222,6 +285,27 @@ def _occurrences(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "k1 long, k2 long, doc_id long, text_hash long, start long")
 
 
+def _hot_spans(texts: DataFrame, hot: frozenset[int]) -> DataFrame:
+    """doc_id, text_hash, span of the windows with hot minimisers that a smaller document has too."""
+    schema = pa.schema([(n, pa.int64()) for n in ("k1", "k2", "doc_id", "text_hash", "start")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, text_hash, text in zip(*batch.columns):
+                    doc_id, mark = doc.as_py(), text_hash.as_py()
+                    for start, string in hot_windows(text.as_py(), hot):
+                        yield *_key(string), doc_id, mark, start
+
+        yield from arrow_batches(rows(), schema, limit_rows=50_000)
+
+    windows = written(texts.mapInArrow(run, "k1 long, k2 long, doc_id long, text_hash long, start long"), "hot-windows")
+    first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    shared = first.where("first_doc < last_doc").select("k1", "k2", "first_doc")
+    return windows.join(shared, ["k1", "k2"]).where("first_doc < doc_id").select(
+        "doc_id", "text_hash", F.struct(F.col("start").alias("a"), (F.col("start") + WINDOW - 1).alias("b")).alias("span"))
+
+
 def kept_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[list[bytes], int]:
     """The words outside `spans` (first and last word), and the number of all words."""
     found = text.split()
@@ -241,10 +325,13 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * shuffle_partitions(docs.sparkSession), -(-_EXPANSION * size // _BUCKET))
-    runs = written(_sent(texts, buckets).groupBy("bucket").applyInArrow(
+    hot = hot_minimisers(texts)
+    runs = written(_sent(texts, buckets, hot).groupBy("bucket").applyInArrow(
         _bucket, "k1 long, k2 long, w_from long, w_to long, first_doc long"), "super-k-mers")
-    spans = _occurrences(texts).join(runs, ["k1", "k2"]).where("first_doc < doc_id").select(
+    spans = _occurrences(texts, hot).join(runs, ["k1", "k2"]).where("first_doc < doc_id").select(
         "doc_id", "text_hash", F.struct((F.col("start") + F.col("w_from")).alias("a"), (F.col("start") + F.col("w_to") + WINDOW - 1).alias("b")).alias("span"))
+    if hot:
+        spans = spans.unionByName(_hot_spans(texts, hot))
     # a set: a repeated row finds the same spans again
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans"))
 

@@ -366,6 +366,23 @@ def test_passages_against_brute_force(spark):
     assert substrings.deduplicated(cases.empty(spark)).count() == 0
 
 
+def test_windows_of_hot_minimisers_leave_the_buckets(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = cases.prose(rng, 48)
+    found = [(i, f"{i} {i + 100} {passage} {i + 200} {i + 300}", "en", "s") for i in range(60)]
+    found += [(70, found[5][1] + " end", "en", "s"), (71, found[5][1], "en", "s"), (71, found[5][1], "en", "s")]
+    docs = cases.table(spark, found)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    assert not substrings.hot_minimisers(texts)
+    usual = sorted(substrings.deduplicated(docs).collect())
+    monkeypatch.setattr(substrings, "_HOT", 2_000)
+    hot = substrings.hot_minimisers(texts)
+    assert hot
+    for row in substrings._sent(texts, 4, hot).collect():
+        assert not hot & set(substrings._unblob(row.blob)[0].tolist())
+    assert sorted(substrings.deduplicated(docs).collect()) == usual and sum(r.n_removed for r in usual) > 100
+
+
 def test_equal_window_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(substrings, "_mixed", lambda h: h * np.uint64(0))
     a, b = (" ".join(f"{c}{i}" for i in range(52)).encode() for c in "ab")
