@@ -6,8 +6,10 @@ nearest enclosing section-like element. Lines of parts that say what they are (m
 and footers, sidebars, notices, adverts, forms, scripts, reader comments) never count as text. The
 text-to-tag ratios of the lines are smoothed by a Gaussian along the page and clustered around a
 threshold, the pooled mean between the two clusters; a region with a line above it is content, and
-gives all its lines in page order, so that short paragraphs and headings of an article stay. Marked
-articles always are content where a page has any.
+gives all its lines in page order, so that short paragraphs and headings of an article stay. That
+decides on every page. A marked article only bounds the choice, unless the regions chosen outside of
+it hold more characters, as a body in plain elements beside teaser cards does. Where it bounds,
+regions outside go, and marked regions stay unless links make up most of their characters.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 SIGMA = 1.5
 MAX_LINK_SHARE = 0.5
+MIN_UNMARKED = 100  # characters chosen outside a marked article that may outweigh it
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = {
@@ -186,8 +189,14 @@ def main_text(html: str | None) -> str:
     ratio = smoothed(chars / (1 + np.array([x[1] for x in lines], float)))
     good = (ratio >= min(threshold(ratio), float(ratio.max()))) & (linked <= MAX_LINK_SHARE * chars)
     chosen = {x[3] for x, ok in zip(lines, good) if ok}
-    marked = any(x[4] for x in lines)
-    return "\n".join(x[0] for x in lines if (x[4] if marked else x[3] in chosen))
+    regions = np.array([x[3] for x in lines])
+    inside = np.array([x[4] for x in lines])
+    taken = np.isin(regions, list(chosen))
+    if inside.any() and chars[taken & ~inside].sum() < max(MIN_UNMARKED, chars[taken & inside].sum()):
+        # inside the marks a region goes only as a list of links; its ratio may be low beside a longer one
+        total, links = np.bincount(regions, chars), np.bincount(regions, linked)
+        taken = inside & (taken | (links <= MAX_LINK_SHARE * total)[regions])
+    return "\n".join(x[0] for x, ok in zip(lines, taken) if ok)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

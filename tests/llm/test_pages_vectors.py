@@ -37,6 +37,19 @@ def test_unmarked_page_by_ratio():
     assert found[0] == "Head" and len(found) == 6
 
 
+def test_teaser_articles_beside_a_body_in_plain_elements():
+    body = "".join(f"<p>{'words of a long paragraph ' * 12}{i}</p>" for i in range(6))
+    teasers = "".join(f'<article><h3><a href="/{i}">Teaser {i}</a></h3><p>Short text {i}.</p></article>' for i in range(4))
+    for page in (f"<body><div><h1>Head</h1>{body}</div><div>{teasers}</div></body>", f"<body><div>{teasers}</div><div><h1>Head</h1>{body}</div></body>"):
+        found = html_text.main_text(page).split("\n")
+        assert [x for x in found if "Teaser" not in x and "Short text" not in x][0] == "Head"
+        assert sum("long paragraph" in x for x in found) == 6 and not any("Teaser" in x for x in found)
+    links = "".join(f'<li><a href="/{i}">Topic number {i}</a></li>' for i in range(12))
+    page = f"<body><article><h1>Head</h1>{body}<div><ul>{links}</ul></div></article></body>"
+    found = html_text.main_text(page).split("\n")
+    assert found[0] == "Head" and len(found) == 7
+
+
 def test_deep_and_long_pages_are_linear():
     assert html_text.main_text("<div>" * 50_000 + "text" + "</p>" * 50_000) == "text"
     assert len(html_text.main_text("<article>" + "<p>a</p>" * 100_000)) == 199_999
