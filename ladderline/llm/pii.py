@@ -13,7 +13,8 @@ Forms (everything else stays as it is, numbers that don't validate too):
   ssn      ddd-dd-dddd with valid parts
   date     yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy, mm/dd/yyyy that exist, years 1800 to 2199
   email    no number: local part and domain become a keyed digest, the form of an address stays
-  secret   value after token, secret, password, api key: keyed digest of equal length and case
+  secret   value of 16 characters or more after token, secret, password, api key, to its end, dots inside
+           included: keyed digest of equal length and case; shorter values stay
 
 A document is cut at its matches and put together again in one projection, by DataFrame functions.
 """
@@ -32,7 +33,8 @@ ROUNDS = 8
 
 # Every branch starts at a place where no longer run of its characters is cut, so no text is slow.
 _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}+"
-_SECRET = r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?[A-Za-z0-9_/+-]{16,128}"""
+_SECRET_NAME = r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?"""
+_SECRET = _SECRET_NAME + r"(?=[A-Za-z0-9_/+.=-]{16})[A-Za-z0-9_/+=-]++(?:\.[A-Za-z0-9_/+=-]++)*+"
 _ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 # a number after it must not be taken for a further group, so the ten digits after +1 come first
 _PHONE = (
@@ -166,8 +168,11 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, "[A-Za-z0-9_/+-]{16,128}$", 0)
-    digest = F.substring(F.sha2(F.concat_ws(":", F.lit(key), F.lit("secret"), value), 512), F.lit(1), F.length(value))
+    value = F.regexp_extract(m, f"^{_SECRET_NAME}(.*)$", 1)
+    # 128 digits a block; all but the first are numbered
+    block = lambda i: F.sha2(F.concat_ws(":", F.lit(key), F.lit("secret"), value, F.when(i > 0, i.cast("string"))), 512)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 128).cast("int")), block)
+    digest = F.substring(F.array_join(blocks, ""), F.lit(1), F.length(value))
     shown = F.when(value == F.upper(value), F.upper(digest)).otherwise(digest)
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), shown)
 

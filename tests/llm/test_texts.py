@@ -304,6 +304,15 @@ def test_pseudonyms(spark):
     assert pii.pseudonymized(cases.empty(spark)).count() == 0
 
 
+def test_secrets_go_whole(spark):
+    values = ["ab12" * 75, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4", "c2VjcmV0c2VjcmV0cw=="]
+    docs = cases.table(spark, [(i, f"token: {v} end, password={v}.", "en", "s") for i, v in enumerate(values)])
+    for r in pii.pseudonymized(docs).collect():
+        value = values[r.doc_id]
+        new = re.fullmatch(r"token: ([0-9a-fA-F]+) end, password=([0-9a-fA-F]+)\.", r.text)
+        assert new and new[1] == new[2] != value and len(new[1]) == len(value) and r.n_replaced == 2
+
+
 @pytest.mark.parametrize("a, b", [(10, 10), (189, 7), (1, 50), (898, 3)])
 def test_feistel_is_a_permutation(spark, a, b):
     found = spark.range(a * b).select(pii.feistel(F.col("id"), a, b, "key", "form").alias("v")).collect()
