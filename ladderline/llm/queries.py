@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderline.llm import archives, html_text, itq, langid, mixing, packing, pii, quality, simhash, substrings
+from ladderline.llm import alignment, archives, collision, html_text, itq, langid, mixing, packing, pii, quality, simhash, spelling, substrings
 from ladderline.llm.common import read_table
 
 QUERIES: dict = {}
@@ -24,14 +24,19 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
-    """Place of the vocabulary file; LLM_TOKENIZER names another one."""
-    named = os.environ.get("LLM_TOKENIZER")
+def vocabulary(setting: str, default: str) -> str:
+    """Place of a vocabulary file; the environment variable `setting` names another one."""
+    named = os.environ.get(setting)
     if named:
         return named
-    import public_tokenizers  # only where the default is used
+    import public_tokenizers  # only where a default is used
+
+    return public_tokenizers.path(default)
 
-    return public_tokenizers.path("word_bpe_49k.json")
+
+def tokenizer_path() -> str:
+    """Vocabulary of the packing operator; LLM_TOKENIZER names another one."""
+    return vocabulary("LLM_TOKENIZER", "word_bpe_49k.json")
 
 
 @register("op1_quality_rules")
@@ -87,3 +92,18 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archives.archived(read_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op11_collisions")
+def op11_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@register("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+@register("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"), vocabulary("LLM_BYTE_BPE", "byte_bpe_50k.json"), vocabulary("LLM_PIECE_BPE", "piece_bpe_32k.model"))
