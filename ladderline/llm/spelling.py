@@ -34,6 +34,7 @@ FORM_FACTOR = 10  # a form occurs at least so many times as often as the word
 MAX_BLOCK = 32_768  # words of one block that one task compares
 BUCKET_ROWS = 65_536
 TILE = 512  # rows of one matrix product
+_WIDTH = 48  # letters compared as arrays; longer words one by one
 _FLUSH = 200_000  # distinct words a counting task holds
 _RUNS = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST_LENGTH)
 _LETTERS = np.r_[ord("a"):ord("z") + 1, 0xC0:0x100]
@@ -132,21 +133,29 @@ def _blocked(words: DataFrame, k: int) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "key long, pick int, word string, n long")
 
 
-def _one_edit(left: list[str], right: list[str]) -> np.ndarray:
-    """Whether the words differ by exactly one letter inserted, deleted or replaced."""
-    found = np.zeros(len(left), bool)
-    for i, (a, b) in enumerate(zip(left, right)):
-        if len(a) > len(b):
-            a, b = b, a
-        at = next((p for p, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-        found[i] = a[at + 1:] == b[at + 1:] if len(a) == len(b) else a[at:] == b[at + 1:]
-    return found
+def _letters(words: list[str]) -> np.ndarray:
+    """The first _WIDTH letters of every word, zeros behind its end."""
+    return np.array([w.encode("latin-1") for w in words], f"S{_WIDTH}").view(np.uint8).reshape(len(words), _WIDTH)
+
+
+def _one_edit(a: np.ndarray, b: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Whether rows of letters, b a letter longer where not `equal` long, differ by exactly one edit."""
+    differ = a != b
+    at = differ.argmax(axis=1)
+    without = np.where(np.arange(_WIDTH - 1) < at[:, None], b[:, :-1], b[:, 1:])
+    return np.where(equal, differ.sum(axis=1) == 1, (without == a[:, :-1]).all(axis=1))
+
+
+def _one_edit_of_long(a: str, b: str) -> bool:
+    at = next((p for p, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[at + 1:] == b[at + 1:] if len(a) == len(b) else a[at:] == b[at + 1:]
 
 
 def near_pairs(words: list[str], key: np.ndarray, pick: np.ndarray, part: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places i, j of the near pairs of rows that share a key and a pick. `part` is 0, or 1 and 2 for the two parts
     of a large block that meet here: then only pairs across them count."""
     counts, lengths = letter_counts(words)
+    letters = _letters(words)
     order = np.lexsort((lengths, pick, key))
     counts, lengths, key, pick, part = (x[order] for x in (counts, lengths, key, pick, part))
     own, picks = _class_of(k), np.full((k, k), -1)
@@ -181,9 +190,13 @@ def near_pairs(words: list[str], key: np.ndarray, pick: np.ndarray, part: np.nda
         low, high = touched.argmax(axis=1), k - 1 - touched[:, ::-1].argmax(axis=1)
         keep = touched.any(axis=1) & (picks[low, high] == pick[i])
         i, j = i[keep], j[keep]
-        keep = _one_edit([words[p] for p in order[i].tolist()], [words[p] for p in order[j].tolist()])
+        # rows lie in order of length, so j's word is never the shorter one
+        u, v, equal = order[i], order[j], lengths[i] == lengths[j]
+        keep = _one_edit(letters[u], letters[v], equal)
+        for p in np.flatnonzero(lengths[j] >= _WIDTH).tolist():
+            keep[p] = _one_edit_of_long(words[u[p]], words[v[p]])
         if keep.any():
-            found.append((order[i[keep]], order[j[keep]]))
+            found.append((u[keep], v[keep]))
 
     at = 0
     while at < len(ends) - 1:
