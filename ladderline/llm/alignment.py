@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,8 @@ class Tokenizers:
         bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         self.bytes_a, self.bytes_b = ([table.get(i, b"") for i in range(max(table) + 1)] for table in (bytes_a, bytes_b))
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
+        self.sizes_a, self.sizes_b = self.size_a.tolist(), self.size_b.tolist()
+        self.name = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
         self.blank_a, self.blank_b = (np.array([x[:1] == b" " for x in table]) for table in (self.bytes_a, self.bytes_b))
 
     def ids_a(self, text: str) -> list[int]:
@@ -100,26 +103,37 @@ def loaded(path_a: str, path_b: str) -> Tokenizers:
     return _loaded[path_a, path_b]
 
 
-def aligned(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, list[int]]:
-    """(groups as text, number of groups, linked pairs as a << 32 | b) of ids that cover the same bytes."""
-    groups, links = [], []
-    i = j = first_a = first_b = 0
-    end_a, end_b = size_a[0], size_b[0]
+def aligned(a: list[int], b: list[int], size_a: list[int], size_b: list[int], name: list[str]) -> tuple[str, int, list[int]]:
+    """(groups as text, number of groups, linked pairs as a << 32 | b) of ids that cover the same bytes.
+
+    size_a and size_b are the bytes of every id, name is the text of every number below the ids' sizes.
+    """
+    groups, links = "", []
+    own_a, own_b = name[a[0]], name[b[0]]
+    ahead = size_a[a[0]] - size_b[b[0]]  # bytes that a's tokens reach beyond b's
+    links.append(a[0] << 32 | b[0])
+    n, i, j, last = 1, 0, 0, len(a) - 1
     while True:
-        links.append(a[i] << 32 | b[j])
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            if i == len(a):
-                return ";".join(groups), len(groups), links
-            first_a, first_b = i, j
-            end_a, end_b = end_a + size_a[i], end_b + size_b[j]
-        elif end_a < end_b:
+        if ahead == 0:
+            groups += own_a + "|" + own_b
+            if i == last:
+                return groups, n, links
+            i, j, n = i + 1, j + 1, n + 1
+            x, y = a[i], b[j]
+            groups += ";"
+            own_a, own_b = name[x], name[y]
+            ahead = size_a[x] - size_b[y]
+        elif ahead < 0:
             i += 1
-            end_a += size_a[i]
+            x = a[i]
+            own_a += "," + name[x]
+            ahead += size_a[x]
         else:
             j += 1
-            end_b += size_b[j]
+            y = b[j]
+            own_b += "," + name[y]
+            ahead -= size_b[y]
+        links.append(a[i] << 32 | b[j])
 
 
 class Windows:
@@ -133,12 +147,10 @@ class Windows:
         self.links: list[list[int]] = []
         self.ids = 0
 
-    def learn(self, keys: list[tuple[bytes, bytes]]) -> None:
+    def learn(self, keys: set[tuple[bytes, bytes]]) -> None:
         for key in keys:
-            if key in self.place:
-                continue
-            a, b = (np.frombuffer(x, "<u4") for x in key)
-            text, groups, links = aligned(a.tolist(), b.tolist(), self.t.size_a[a].tolist(), self.t.size_b[b].tolist())
+            a, b = (array("I", x).tolist() for x in key)
+            text, groups, links = aligned(a, b, self.t.sizes_a, self.t.sizes_b, self.t.name)
             self.place[key] = len(self.text)
             self.text.append(text)
             self.groups.append(groups)
@@ -160,7 +172,7 @@ class Windows:
         try:
             return list(map(self.place.__getitem__, keys))
         except KeyError:
-            self.learn(keys)
+            self.learn(set(keys).difference(self.place))
             return list(map(self.place.__getitem__, keys))
 
     def table(self, times: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:

@@ -6,6 +6,7 @@ import random
 import re
 import string
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -151,7 +152,7 @@ def spelling_rows(seed=3):
                 w = edited(w)
             found.append(w.upper() if rng.random() < 0.1 else w)
         rows.append((d, " ".join(found)))
-    rows += [(300 + d, "chainword " * 90 + "chainwore " * 9 + "chainwure") for d in range(9)]
+    rows += [(300 + d, "chainword " * 300 + "chainwore " * 18 + "chainwure") for d in range(9)]
     rows += [(100, None), (101, ""), (102, "x" * 30_000 + " " + "x" * 30_000), (103, "x" * 30_001 + ", " + "x" * 30_001), (None, base[0] + " " + base[1]), (5, rows[5][1]), (5, rows[5][1])]
     return rows
 
@@ -232,7 +233,7 @@ def brute_alignment(rows):
                 links += [(a[i], b[j]) for j in sorted({owner[x] for x in range(at_a[i], at_a[i + 1])})]
             shared = sorted(set(at_a) & set(at_b)) if a else []
             for low, high in zip(shared, shared[1:]):
-                own = [",".join(str(x) for x, s in zip(ids, at) if low <= s < high) for ids, at in ((a, at_a), (b, at_b))]
+                own = [",".join(map(str, ids[bisect_left(at, low):bisect_left(at, high)])) for ids, at in ((a, at_a), (b, at_b))]
                 groups.append("|".join(own))
         counts.update(links)
         docs.append((doc_id, a, b, groups, links))
@@ -269,7 +270,7 @@ def test_alignment_of_small_chunks(spark, monkeypatch):
     for _, text in rows:
         a, b = t.ids(text)
         if a:
-            text_, groups, links = alignment.aligned(a, b, t.size_a[a].tolist(), t.size_b[b].tolist())
+            text_, groups, links = alignment.aligned(a, b, t.sizes_a, t.sizes_b, t.name)
             places = windows.of(a, b)
             assert ";".join(windows.text[p] for p in places) == text_
             assert [c for p in places for c in windows.links[p]] == links and sum(windows.groups[p] for p in places) == groups
