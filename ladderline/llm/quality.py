@@ -1,28 +1,39 @@
 """Quality rules: base counts of every text, then a hashed n-gram log-likelihood ratio.
 
-Word unigrams and bigrams are hashed into bins, whose number grows with the words of the table. Two
-multinomials over the bins are counted over all documents: the raw corpus, and the trusted documents
-among them. A document's score is the mean of log(trusted / raw) over its n-grams; it is kept at a
-score of `THRESHOLD` or more. The most frequent bin of each of `HEAD` slots reaches the scoring scan
-as a scalar of one size; all other n-grams of a text are joined to their bins by a sort-merge join
-and summed per text. Ratios are whole numbers of 2^-32, so sums don't depend on their order.
+Word unigrams and bigrams are hashed into bins whose numbers grow with the text of the table: unigrams
+into one bin per BYTES_PER_BIN bytes, bigrams, of which nearly all are rare, into a number that grows
+with the square root. Two multinomials over all bins are counted: the raw corpus from all documents,
+the target from the trusted ones. A document's score is the mean of log(target / raw) over its n-grams;
+it is kept at a score of `THRESHOLD` or more.
+
+Texts stay where they are but for trusted ones: a bit table of fixed size lets few others through to
+the exact join with the trusted doc_ids. The most frequent bin of each of a fixed number of slots
+reaches the scoring scan as a scalar of one size; the few n-grams in other bins are joined to theirs
+and summed per row. Ratios are whole numbers of 2^-32, so sums don't depend on their order.
 Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import once, unused, words
+from ladderline.llm.common import digest, once, unused, words
 from ladderline.session import written
-from ladderline.sources.season_csv import evaluated
 
-BINS = 1 << 16  # at least
-WORDS_PER_BIN = 5  # at most: with fuller bins junk words share theirs with good ones
-HEAD = 1 << 16
+BYTES_PER_BIN = 128  # about twenty words; with fuller bins junk words share theirs with good ones
+UNIGRAM_BINS = 1 << 16  # at least
+BIGRAM_BINS = 1 << 14  # at least
+BIGRAM_ROOT = 4  # bigram bins per square root of the words
+UNIGRAM_SLOTS = 1 << 20
+BIGRAM_SLOTS = 1 << 18
+_SLOTS = UNIGRAM_SLOTS + BIGRAM_SLOTS
+_SLOT_GROUP = 1 << 10
+TRUST_BITS = 1 << 24  # of the table that spares other texts the join
 _UNIT = 1 << 32
-THRESHOLD = -0.35
+THRESHOLD = -0.22
 SMOOTHING = 1.0
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -91,112 +102,123 @@ def base_rules(found: str, hashes: str) -> dict[str, Column]:
     }
 
 
-def _bin(h: Column, n: int) -> Column:
+def bins(n_bytes: int) -> tuple[int, int]:
+    """(unigram bins, bigram bins), powers of two, for texts of so many bytes."""
+    power = lambda least, x: max(least, 1 << max(0, math.ceil(x) - 1).bit_length())
+    return power(UNIGRAM_BINS, n_bytes / BYTES_PER_BIN), power(BIGRAM_BINS, BIGRAM_ROOT * math.sqrt(n_bytes / BYTES_PER_BIN * 20))
+
+
+def _masked(h: Column, n: int) -> Column:
     return h.bitwiseAND(F.lit(n - 1).cast("long"))
 
 
-def bins(n_words: int) -> int:
-    """The least power of two that gives a bin at most WORDS_PER_BIN words, BINS at least."""
-    return max(BINS, 1 << max(0, -(-n_words // WORDS_PER_BIN) - 1).bit_length())
+def _grams(one: Column, two: Column, size: tuple[int, int]) -> Column:
+    """Bins of all unigrams, then of all bigrams, which lie behind the unigrams' bins."""
+    return F.concat(F.transform(one, lambda h: _masked(h, size[0])),
+                    F.transform(two, lambda h: _masked(h, size[1]) + F.lit(size[0]).cast("long")))
+
+
+def _slot(gram: Column, size: tuple[int, int]) -> Column:
+    return F.when(gram < size[0], _masked(gram, UNIGRAM_SLOTS)).otherwise(
+        _masked(gram - size[0], BIGRAM_SLOTS) + F.lit(UNIGRAM_SLOTS).cast("long"))
+
+
+def _arrays(rows: DataFrame, slots: int, names: list[str]) -> DataFrame:
+    """One row of arrays of `slots` places: the values of `names` (slot, ...; absent ones -1 and 0) in order of slot."""
+    every = rows.sparkSession.range(slots).select(F.col("id").alias("slot")).join(rows.hint("merge"), "slot", "left")
+    filled = every.select("slot", *[F.coalesce(n, F.lit(-1 if n == "bin" else 0).cast("long")).alias(n) for n in names])
+    # arrays of a group of slots first, so that one task only joins arrays together
+    part = filled.groupBy(F.shiftright("slot", _SLOT_GROUP.bit_length() - 1).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("slot", *names))).alias("all"))
+    pick = lambda n: F.transform("all", lambda x: x[n])
+    whole = part.select("part", *[pick(n).alias(n) for n in names]).agg(F.array_sort(F.collect_list(F.struct("part", *names))).alias("all"))
+    return whole.select(F.struct(*[F.flatten(pick(n)).alias(n) for n in names]).alias("head"))
+
+
+def _trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """text of the trusted rows of `docs`."""
+    mark = written(trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("_trusted")).distinct(), "quality-trusted")
+    place = lambda c: _masked(F.xxhash64(c), TRUST_BITS)
+    bit = lambda c: place(c).bitwiseAND(F.lit(63).cast("long")).cast("int")
+    slot = lambda c: F.shiftright(place(c), 6)
+    power = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))
+    rows = mark.select(slot("_trusted").alias("slot"), power("_trusted").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    table = written(_arrays(rows, TRUST_BITS // 64, ["bits"]), "quality-trusted-bits")
+    own = docs.select(F.col("doc_id").cast("string").alias("_own"), "text").where("_own IS NOT NULL")
+    maybe = own.where(F.get(table.scalar()["bits"], slot("_own").cast("int")).bitwiseAND(power("_own")) != 0)
+    # labels grow with the documents: sorted and merged at every size, never broadcast
+    return maybe.join(mark.hint("merge"), F.col("_own") == F.col("_trusted"), "left_semi").select("text")
 
 
-def _grams(one: Column, two: Column, n: int) -> Column:
-    return F.transform(F.concat(one, two), lambda h: _bin(h, n))
+def _counted(texts: DataFrame, size: tuple[int, int], name: str) -> DataFrame:
+    """bin and `name`, the n-grams of all texts in each bin."""
+    one = texts.select(word_hashes(words("text")).alias("one"))
+    grams = one.select(_grams(F.col("one"), pair_hashes(F.col("one")), size).alias("grams"))
+    # outer: for an inner one the optimizer would test the array's size and build it several times over
+    return grams.select(F.explode_outer("grams").alias("bin")).where("bin IS NOT NULL").groupBy("bin").agg(F.count(F.lit(1)).alias(name))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, n: int, smoothing: float = SMOOTHING) -> DataFrame | None:
-    """bin, raw and `ratio`, log(trusted / raw) in 1 / _UNIT, of the bins that occur; None if no trusted document has a word.
+def log_ratios(docs: DataFrame, trusted: DataFrame, size: tuple[int, int], smoothing: float = SMOOTHING) -> DataFrame | None:
+    """bin, raw and `ratio`, log(target / raw) in 1 / _UNIT, of the bins that occur; None if no trusted document has a word.
 
-    `trusted` holds doc_ids, repeats and nulls allowed. n is a power of two.
+    `trusted` holds doc_ids, repeats and nulls allowed.
     """
-    mark = trusted.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_trusted")).distinct()
-    # labels grow with the documents: sorted and merged at every size, never broadcast
-    rows = docs.select("doc_id", "text").join(mark.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
-    hashed = rows.select(F.col("_trusted").isNotNull().cast("long").alias("t"), word_hashes(words("text")).alias("one"))
-    hashed = hashed.withColumn("both", F.concat("one", pair_hashes(F.col("one"))))
-    counted = written(
-        # outer: for an inner one the optimizer would test the array's size and build it several times over
-        hashed.select("t", F.explode_outer("both").alias("h")).where("h IS NOT NULL")
-        .select("t", _bin(F.col("h"), n).alias("bin"))
-        .groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")), "quality-bins")
+    raw = _counted(docs.select("text"), size, "raw")
+    target = _counted(_trusted(docs, trusted), size, "target")
+    counted = written(raw.join(target.hint("merge"), "bin", "left").select("bin", "raw", F.coalesce("target", F.lit(0)).alias("target")), "quality-bins")
     total = counted.agg(F.sum("raw").alias("r"), F.sum("target").alias("t")).first()
     if not total.t:
         return None
-    part = lambda count, whole: F.log((F.col(count) + F.lit(smoothing)) / F.lit(whole + smoothing * n))
+    part = lambda count, whole: F.log((F.col(count) + F.lit(smoothing)) / F.lit(whole + smoothing * sum(size)))
     ratio = F.round((part("target", total.t) - part("raw", total.r)) * _UNIT).cast("long")
     return counted.select("bin", "raw", ratio.alias("ratio"))
 
 
-def _head(ratios: DataFrame) -> DataFrame:
-    """One row with `head`: for each slot, the low bits of a bin, its most frequent bin and that one's ratio."""
-    slot = F.col("bin").bitwiseAND(F.lit(HEAD - 1).cast("long"))
-    best = ratios.groupBy(slot.alias("slot")).agg(F.max(F.struct("raw", "bin", "ratio")).alias("best"))
-    filled = ratios.sparkSession.range(HEAD).select(F.col("id").alias("slot")).join(best.hint("merge"), "slot", "left").select(
-        "slot", F.coalesce("best.bin", F.lit(-1)).alias("bin"), F.coalesce("best.ratio", F.lit(0)).alias("ratio"))
-    table = filled.agg(F.array_sort(F.collect_list(F.struct("slot", "bin", "ratio"))).alias("all"))
-    pick = lambda name: F.transform("all", lambda x: x[name]).alias(name)
-    return table.select(F.struct(pick("bin"), pick("ratio")).alias("head"))
-
-
-def _in_head(head: Column, gram: Column) -> tuple[Column, Column]:
-    """Whether a bin is its slot's, and the slot's ratio."""
-    slot = gram.bitwiseAND(F.lit(HEAD - 1).cast("long"))
-    return head["bin"][slot] == gram, head["ratio"][slot]
+def _head(ratios: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """One row with `head`: for each slot its most frequent bin and that one's ratio."""
+    best = ratios.groupBy(_slot(F.col("bin"), size).alias("slot")).agg(F.max(F.struct("raw", "bin", "ratio")).alias("best"))
+    return _arrays(best.select("slot", "best.bin", "best.ratio"), _SLOTS, ["bin", "ratio"])
 
 
-def _rest(docs: DataFrame, ratios: DataFrame, head: DataFrame, n: int) -> DataFrame:
-    """key, total and grams: sum of ratios and number of the n-grams outside the head, of all texts with a key.
+def _scores(texts: DataFrame, ratios: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """_digest and llr of every distinct text with words.
 
-    Equal texts have equal keys, 64-bit hashes, and count together; their mean is that of each.
+    Copies of a text count together; their mean is that of each.
     """
-    one = docs.select(F.xxhash64("text").alias("key"), word_hashes(words("text")).alias("one"))
-    grams = one.select("key", _grams(F.col("one"), pair_hashes(F.col("one")), n).alias("grams")).withColumn("head", head.scalar())
-    outside = grams.select("key", F.explode_outer(F.filter("grams", lambda g: ~_in_head(F.col("head"), g)[0])).alias("bin")).where("bin IS NOT NULL")
-    joined = outside.join(ratios.select("bin", "ratio").hint("merge"), "bin")
-    return joined.groupBy("key").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("grams"))
-
-
-def _judged(docs: DataFrame, trusted: DataFrame, threshold: float) -> tuple[DataFrame, dict[str, str]]:
-    found, one, two, hashes, sums, key = (unused(docs, x) for x in ("words", "one", "two", "hashes", "sums", "key"))
-    names = {}
-    n = bins(docs.agg(F.sum(F.size(words("text")).cast("long"))).first()[0] or 0)
-    ratios = log_ratios(docs, trusted, n)
-    table = docs.withColumn(found, words("text"))
-    table = table.withColumn(one, word_hashes(F.col(found)))
-    table = table.withColumn(two, pair_hashes(F.col(one)))
-    table = table.withColumn(hashes, window_hashes(F.col(one), F.col(two)))
-    for name, value in base_rules(found, hashes).items():
-        names[name] = unused(docs, name)
-        table = table.withColumn(names[name], value)
-    names["llr"] = unused(docs, "llr")
-    kept_columns = [*docs.columns, *[v for k, v in names.items() if k != "llr"]]
+    head = written(_head(ratios, size), "quality-head").scalar()
+    at = lambda name: F.get(head[name], _slot(F.col("bin"), size).cast("int"))
+    hashed = texts.select(digest("text").alias("_digest"), word_hashes(words("text")).alias("one"))
+    grams = hashed.select("_digest", _grams(F.col("one"), pair_hashes(F.col("one")), size).alias("grams"))
+    every = grams.select("_digest", F.explode_outer("grams").alias("bin")).where("bin IS NOT NULL")
+    inside = every.groupBy("_digest").agg(F.sum(F.when(at("bin") == F.col("bin"), at("ratio"))).alias("inside"), F.count(F.lit(1)).alias("grams"))
+    outside = every.where(at("bin") != F.col("bin"))
+    rest = (outside.join(ratios.select("bin", "ratio").hint("merge"), "bin").groupBy(F.col("_digest").alias("_own"))
+            .agg(F.sum("ratio").alias("outside")))
+    total = F.coalesce("inside", F.lit(0)) + F.coalesce("outside", F.lit(0))
+    return inside.join(rest.hint("merge"), F.col("_digest") == F.col("_own"), "left").select(
+        "_digest", (total / F.lit(float(_UNIT)) / F.col("grams")).alias("llr"))
+
+
+def _judged(docs: DataFrame, trusted: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, digest (of the text), the base counts, llr, base_failed and kept for every row."""
+    size = bins(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    ratios = log_ratios(own, trusted, size)
+    table = own.withColumn("found", words("text"))
+    table = table.withColumn("one", word_hashes(F.col("found")))
+    table = table.withColumn("hashes", window_hashes(F.col("one"), pair_hashes(F.col("one"))))
+    counts = base_rules("found", "hashes")
+    for name, value in counts.items():
+        table = table.withColumn(name, value)
+    table = table.select("doc_id", digest("text").alias("digest"), *counts)
     if ratios is None:
-        table = table.select(*kept_columns, F.lit(None).cast("double").alias(names["llr"]))
+        table = table.withColumn("llr", F.lit(None).cast("double"))
     else:
-        head = written(_head(ratios), "quality-head")
-        inside = unused(docs, "head")
-        table = table.withColumn(inside, head.scalar())
-
-        def add(state: Column, g: Column) -> Column:
-            own, ratio = _in_head(F.col(inside), g)
-            return F.struct((state["total"] + F.when(own, ratio).otherwise(F.lit(0))).alias("total"),
-                            (state["outside"] + F.when(own, F.lit(0)).otherwise(F.lit(1))).alias("outside"))
-
-        start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("outside"))
-        both = F.aggregate(_grams(F.col(one), F.col(two), n), start, add)
-        table = table.select(*kept_columns, both.alias(sums), F.xxhash64("text").alias(key))
-        rest = _rest(docs, ratios, head, n).select(F.col("key").alias("_key"), F.col("total").alias("_total"), F.col("grams").alias("_grams"))
-        joined = table.join(rest.hint("merge"), F.col(key) == F.col("_key"), "left")
-        outside = F.col("_total") / (F.col("_grams") / F.col(sums)["outside"])
-        total = (F.col(sums)["total"] + F.when(F.col(sums)["outside"] > 0, outside).otherwise(F.lit(0.0))) / F.lit(float(_UNIT))
-        n_words = F.col(names["n_words"])
-        llr = F.when(n_words > 0, total / (2 * n_words - 1))
-        table = joined.select(*kept_columns, llr.alias(names["llr"]))
-    n_words, repeat, llr = (F.col(names[k]) for k in ("n_words", "n_repeat_words", "llr"))
-    names["base_failed"], names["kept"] = unused(docs, "failed"), unused(docs, "kept")
-    table = table.withColumn(names["base_failed"], (n_words < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n_words))
-    verdict = ~F.col(names["base_failed"]) & F.coalesce(llr >= F.lit(threshold), F.lit(True))
-    return table.withColumn(names["kept"], verdict), names
+        scores = _scores(own, written(ratios, "quality-ratios"), size)
+        table = table.join(scores.hint("merge"), F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.lit(threshold), F.lit(True))
+    return table.withColumn("base_failed", failed).withColumn("kept", verdict)
 
 
 def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -207,18 +229,16 @@ def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     are judged each; a null doc_id is never trusted but judged like any other. Other columns are
     ignored. An empty table gives no rows.
     """
-    table, names = _judged(docs, trusted, threshold)
-    order = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"]
-    return table.select("doc_id", *[F.col(names[n]).alias(n) for n in order])
+    return _judged(docs, trusted, threshold).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that `rules` keeps, same columns."""
-    table, names = _judged(docs, trusted, threshold)
-    kept = unused(docs, "accepted")
-    # as a generator's output the verdict is a value to the filter, not an expression to repeat below
-    judged = table.select(*docs.columns, evaluated([F.col(names["kept"]).alias(kept)]))
-    return judged.where(F.col(kept)).select(*docs.columns)
+    """The rows of `docs` that `rules` keeps, same columns. The verdict is the text's, known by a 128-bit hash."""
+    kept = _judged(docs, trusted, threshold).where("kept").select(F.col("digest").alias("_digest")).distinct()
+    own = unused(docs, "digest")
+    rows = docs.withColumn(own, digest("text"))
+    return rows.join(kept, F.col(own) == F.col("_digest"), "left_semi").select(*docs.columns)
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import components, unused
+from ladderline.llm.common import components, digest, unused
 from ladderline.session import written
 
 SHINGLE = 3
@@ -96,10 +96,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(_classes(found), "fp").select("doc_id", "fp", "component_id")
 
 
-def _digest(text: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))))
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """Exactly one row of `docs` for every component, same columns: a row of its smallest doc_id.
 
@@ -108,12 +104,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     only where no numbered document has a linked fingerprint. Of several rows with the smallest
     doc_id, or of only unnumbered ones, the least hash decides; null text counts as empty.
     """
-    found = written(fingerprints(docs, _digest("text").alias("digest")), "simhash-fp")
+    found = written(fingerprints(docs, digest("text").alias("digest")), "simhash-fp")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
     chosen = found.join(_classes(found), "fp").groupBy("root").agg(least)
     kept = chosen.select(F.col("least.doc_id").alias("_kept"), F.col("least.digest").alias("_digest"))
     # a text has one fingerprint, so doc_id and hash belong to one component
     own, number = unused(docs, "digest"), unused(docs, "number")
-    rows = docs.withColumn(own, _digest("text")).withColumn(number, F.col("doc_id").cast("long"))
+    rows = docs.withColumn(own, digest("text")).withColumn(number, F.col("doc_id").cast("long"))
     same = F.col(number).eqNullSafe(F.col("_kept")) & (F.col(own) == F.col("_digest"))
     return rows.join(kept, same, "left_semi").dropDuplicates([number, own]).select(*docs.columns)

@@ -44,11 +44,11 @@ def test_quality_against_brute_force(spark):
     assert len(got) == len(found)
     by_text = {r[0]: r[1] for r in found}
     one = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
-    n, a = quality.BINS, quality.SMOOTHING
-    grams = lambda w: [one(x) % n for x in w] + [(2 * one(x) ^ one(y)) % n for x, y in zip(w, w[1:])]
+    (n, m), a = quality.bins(0), quality.SMOOTHING
+    grams = lambda w: [one(x) % n for x in w] + [n + (2 * one(x) ^ one(y)) % m for x, y in zip(w, w[1:])]
     raw = Counter(g for r in found for g in grams(words(r[1])))
     target = Counter(g for r in found if r[0] in (0, 1, 2) for g in grams(words(r[1])))
-    part = lambda c, t: np.log((c + a) / (t + a * n))
+    part = lambda c, t: np.log((c + a) / (t + a * (n + m)))
     ratio = {g: part(target[g], sum(target.values())) - part(raw[g], sum(raw.values())) for g in raw}
     for r in got:
         if r.doc_id is None:
@@ -74,20 +74,27 @@ def test_quality_without_trust_and_empty(spark):
     assert kept.columns == cases.table(spark).columns and kept.count() == sum(r.kept for r in got)
 
 
-def test_quality_bins_grow_with_the_words(spark):
-    assert [quality.bins(n) for n in (0, 327_680, 327_681, 4_013_836, 5 << 30)] == [1 << 16, 1 << 16, 1 << 17, 1 << 20, 1 << 30]
+def test_quality_bins_grow_with_the_text(spark, monkeypatch):
+    assert [quality.bins(n) for n in (0, 1 << 23, (1 << 23) + 1, 1 << 30, 1 << 40)] == [
+        (1 << 16, 1 << 14), (1 << 16, 1 << 14), (1 << 17, 1 << 14), (1 << 23, 1 << 16), (1 << 33, 1 << 21)]
+    # fewer slots than bins, so that many bins are joined, and a small bit table
+    monkeypatch.setattr(quality, "BYTES_PER_BIN", 16)
+    monkeypatch.setattr(quality, "UNIGRAM_SLOTS", 1 << 11)
+    monkeypatch.setattr(quality, "BIGRAM_SLOTS", 1 << 11)
+    monkeypatch.setattr(quality, "_SLOTS", 1 << 12)
+    monkeypatch.setattr(quality, "TRUST_BITS", 1 << 7)
     rng = random.Random(3)
     text = lambda k: " ".join(f"w{int(rng.paretovariate(0.3)) % 10**9}" for _ in range(k))
     found = [(i, text(2_000), "en", "s") for i in range(200)]
     found += [(500, found[3][1], "en", "s"), (None, found[3][1], "en", "s"), (501, None, "en", "s")]
     got = quality.rules(cases.table(spark, found), spark.createDataFrame([(i,) for i in range(100)], "doc_id long")).collect()
     one = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
-    n, a = 1 << 17, quality.SMOOTHING
-    grams = lambda w: [one(x) % n for x in w] + [(2 * one(x) ^ one(y)) % n for x, y in zip(w, w[1:])]
+    (n, m), a = quality.bins(sum(len(r[1] or "") for r in found)), quality.SMOOTHING
+    grams = lambda w: [one(x) % n for x in w] + [n + (2 * one(x) ^ one(y)) % m for x, y in zip(w, w[1:])]
     own = {t: grams(words(t)) for _, t, _, _ in found if t}
     raw = Counter(g for r in found for g in own.get(r[1], ()))
     target = Counter(g for r in found[:100] for g in own[r[1]])
-    part = lambda c, t: np.log((c + a) / (t + a * n))
+    part = lambda c, t: np.log((c + a) / (t + a * (n + m)))
     of_target, of_raw = sum(target.values()), sum(raw.values())
     ratio = {g: part(target[g], of_target) - part(raw[g], of_raw) for g in raw}
     texts = {r[0]: r[1] for r in found}
@@ -196,8 +203,13 @@ def test_word_by_word_encoding_equals_whole_texts():
     from tokenizers import Tokenizer
 
     whole, encode = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
-    for text in ["", " ", "It's  a\ttest\n\nÉTÉ é <|endoftext|> x<|startoftext|>y", "a b c 12345 !!! İ ẞ", "\x00 \x1c\x1d z", "don't WE'LL ' s"]:
-        assert encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = ["", " ", "It's  a\ttest\n\nÉTÉ é <|endoftext|> x<|startoftext|>y", "a b c 12345 !!! İ ẞ", "\x00 \x1c\x1d z", "don't WE'LL ' s"]
+    wanted = [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert encode(texts) == wanted
+    few = packing.Encoder(tokenizer_path())
+    few._words.limit = few._parts.limit = 500  # generations change all the time
+    for _ in range(3):
+        assert [few([text])[0] for text in texts] == wanted
 
 
 # SimHash
