@@ -6,7 +6,7 @@ With x tokens filled so far and S_j tokens in the first j queues of T, the first
 floor(x * S_j / T), so what queue j spends by any window is a difference of two such floors. The
 carried deficits are the remainders, exact across windows, tasks and partitions, and all windows but
 the last one are full. A document needs only its queue's S_(j-1), S_j and its own place in the queue
-to cut itself, so tokens never move between tasks.
+to cut itself: only a plan of one row per task and source is joined to the ids.
 
 A queue must be worth a token per window for that; smaller sources share one queue.
 """
@@ -16,7 +16,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderline.llm.common import arrow_batches
-from ladderline.session import new_path
+from ladderline.session import new_path, written
 
 WINDOW = 2048
 END_ID = 1
-_KNOWN = 400_000  # memory of each of a worker's two caches, not a limit of the vocabulary
+_KNOWN = 24 << 20  # bytes of words and ids in one generation of a worker's caches, not a limit of the vocabulary
+_BATCH = 1 << 20  # characters looked up at a time
 # letters, then marks: the vocabulary's own rule cuts there, and sees the letters in lower case
 _LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -38,46 +41,70 @@ _TOKENS = pa.schema([("part", pa.int64()), ("place", pa.int64()), ("doc_id", pa.
                      ("before", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 _PIECES = pa.schema([(n, pa.int64()) for n in (
     "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length")])
-_encoders: dict[str, Callable[[str], bytes]] = {}
+_encoders: dict[str, "Encoder"] = {}
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """Text -> little-endian 32-bit ids. Kept per worker.
+class Generations(dict):
+    """A cache of two generations: entries used again outlive the clearing of the older one."""
+
+    def __init__(self, limit: int):
+        super().__init__({"": b""})
+        self.limit, self.size, self.older = limit, 0, {}
+
+    def keep(self, word: str, ids: bytes) -> None:
+        self[word] = ids
+        self.size += len(word) + len(ids) + 100  # about what two small objects and a slot take besides
+
+    def absent(self, wanted: set[str]) -> list[str]:
+        """Those of `wanted` that neither generation holds; the others are in the younger one afterwards."""
+        if self.size > self.limit:
+            self.older, self.size = dict(self), 0
+            self.clear()
+            self[""] = b""
+        missing = wanted.difference(self)
+        if not self.older:
+            return list(missing)
+        for word in missing.intersection(self.older):
+            self.keep(word, self.older[word])
+        return list(missing.difference(self.older))
+
+
+class Encoder:
+    """Texts -> little-endian 32-bit ids. Kept per worker.
 
     The vocabulary drops white space and never joins over it, so text is cut at blanks and every
     distinct word is looked up; a new one of letters and marks is put together from its two parts.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # before the import that reads it
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {"": b""}
-        parts: dict[str, bytes] = {"": b""}
-
-        def learn(new: list[str]) -> None:
-            if len(parts) > _KNOWN:
-                parts.clear()
-                parts[""] = b""
-            cut = [(m[1].lower(), m[2]) if (m := _LETTERS_MARKS.fullmatch(w)) else (w, "") for w in new]
-            missing = list({p for pair in cut for p in pair if p not in parts})
-            for part, found in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                parts[part] = np.array(found.ids, "<u4").tobytes()
-            for word, (a, b) in zip(new, cut):
-                known[word] = parts[a] + parts[b]
-
-        def encode(text: str) -> bytes:
-            cut = text.replace("\n", " ").split(" ")
-            try:
-                return b"".join(map(known.__getitem__, cut))
-            except KeyError:
-                if len(known) > _KNOWN:
-                    known.clear()
-                    known[""] = b""
-                learn(list({w for w in cut if w not in known}))
-                return b"".join(map(known.__getitem__, cut))
-
-        _encoders[path] = encode
+        self._tokenizer = Tokenizer.from_file(path)
+        self._words, self._parts = Generations(_KNOWN), Generations(_KNOWN)
+
+    def _learn(self, new: list[str]) -> None:
+        cut = [(m[1].lower(), m[2]) if (m := _LETTERS_MARKS.fullmatch(w)) else (w, "") for w in new]
+        parts = self._parts
+        missing = parts.absent({p for pair in cut for p in pair})
+        for part, found in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            parts.keep(part, array("I", found.ids).tobytes())
+        for word, (a, b) in zip(new, cut):
+            self._words.keep(word, parts[a] + parts[b])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text; all words of the texts are looked up together."""
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        new = self._words.absent(set(chain.from_iterable(cut)))
+        if new:
+            self._learn(new)
+        known = self._words.__getitem__
+        return [b"".join(map(known, words)) for words in cut]
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
@@ -91,13 +118,21 @@ def tokenized(docs: DataFrame, tokenizer: str, label: str = "pack-ids") -> DataF
         def rows() -> Iterator[tuple]:
             place = 0
             for batch in batches:
-                for doc_id, text, source in zip(*batch.columns):
-                    source = source.as_py()
-                    ids = encode(text.as_py() or "") + ending
-                    count, before = len(ids) // 4, so_far.get(source, 0)
-                    yield part, place, doc_id.as_py(), source, before, count, ids
-                    so_far[source] = before + count
-                    place += 1
+                docs_, texts, sources = (column.to_pylist() for column in batch.columns)
+                at = 0
+                while at < len(texts):
+                    upto, weight = at, 0
+                    while upto < len(texts) and weight < _BATCH:
+                        weight += len(texts[upto] or "")
+                        upto += 1
+                    found = encode([text or "" for text in texts[at:upto]])
+                    for doc_id, source, ids in zip(docs_[at:upto], sources[at:upto], found):
+                        ids += ending
+                        count, before = len(ids) // 4, so_far.get(source, 0)
+                        yield part, place, doc_id, source, before, count, ids
+                        so_far[source] = before + count
+                        place += 1
+                    at = upto
 
         yield from arrow_batches(rows(), _TOKENS, weigh=lambda r: len(r[6]))
 
@@ -170,7 +205,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     columns are ignored. An empty table gives no rows.
     """
     tokens = tokenized(docs, tokenizer)
-    plan = queues(tokens, window)
+    # a row per task and source: written, so that its size is known and decides how it is joined
+    plan = written(queues(tokens, window), "pack-plan")
     joined = tokens.join(
         plan, (tokens["part"] == plan["q_part"]) & tokens["source"].eqNullSafe(plan["q_source"])
     ).select("doc_id", "doc_tokens", "ids", (F.col("offset") + F.col("before")).alias("first"), "low", "high", "total")
@@ -178,10 +214,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                doc, count, ids, *numbers = batch.columns
-                for i in range(batch.num_rows):
-                    first, low, high, total = (c[i].as_py() for c in numbers)
-                    doc_id, n, data = doc[i].as_py(), count[i].as_py(), memoryview(ids[i].as_py())
+                ids = batch.column(2)
+                plain = zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)))
+                for i, (doc_id, n, first, low, high, total) in enumerate(plain):
+                    data = memoryview(ids[i].as_buffer())
                     for at, length, sequence, offset in cuts(first, n, low, high, total, window):
                         start = at - first
                         filled = min(window, total - window * sequence)
