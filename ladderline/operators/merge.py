@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ladderline import fixed_values as fv
 from ladderline.functions import parse, rating
+from ladderline.operators.extremes import order_number
+from ladderline.operators.ordinal import with_time_ordinal
 from ladderline.operators.perspective import team_names
 from ladderline.schema import MATCH_ORDER
 
@@ -36,18 +38,31 @@ def chronological(matches: DataFrame) -> DataFrame:
     return matches.orderBy(*MATCH_ORDER)
 
 
+def numbered(matches: DataFrame, name: str) -> DataFrame:
+    """Matches with their place in chronological order."""
+    return with_time_ordinal(matches, name, "chronological")
+
+
 def dedup_stats(historical: DataFrame, preferred: DataFrame) -> DataFrame:
-    """source, rows, kept, removed."""
-    kept = merged(historical, preferred).groupBy(F.col("src_rank").alias("s")).agg(
-        F.count(F.lit(1)).alias("kept"))
-    total = (
-        historical.select(F.lit(0).alias("s")).unionByName(preferred.select(F.lit(1).alias("s")))
-        .groupBy("s").agg(F.count(F.lit(1)).alias("rows"))
-    )
-    kept_rows = F.coalesce("kept", F.lit(0))
-    return total.join(kept, "s", "left").select(
-        F.when(F.col("s") == 0, "historical").otherwise("api").alias("source"),
-        "rows", kept_rows.alias("kept"), (F.col("rows") - kept_rows).alias("removed"))
+    """source, rows, kept, removed.
+
+    Each source is read once and counted by day and teams; a full join of the counts says which
+    historical rows are covered.
+    """
+    keys = ["day", "home", "away"]
+    counted = lambda df, n: _keyed(df).groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    own = counted(historical, "h")
+    other = counted(preferred, "p").select(*[F.col(k).alias(f"_{k}") for k in keys], "p")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    none = F.lit(0).cast("long")
+    both = own.join(other, same, "full").agg(
+        F.coalesce(F.sum("h"), none).alias("h"), F.coalesce(F.sum(F.when(F.col("p").isNull(), F.col("h"))), none).alias("kept"),
+        F.coalesce(F.sum("p"), none).alias("p"))
+    line = lambda name, rows, kept: F.struct(F.lit(name).alias("source"), F.col(rows).alias("rows"), F.col(kept).alias("kept"))
+    return both.select(F.explode(F.array(line("historical", "h", "kept"), line("api", "p", "p"))).alias("x")).where("x.rows > 0").select(
+        "x.*", (F.col("x.rows") - F.col("x.kept")).alias("removed"))
 
 
 def country(league: Column | str) -> Column:
@@ -56,10 +71,11 @@ def country(league: Column | str) -> Column:
 
 def registry(matches: DataFrame) -> DataFrame:
     """team, league of its first match, country, matches played, and the order of first appearance."""
-    first = F.struct(*MATCH_ORDER, "side")
+    # by team and league first: the order of a match is one number, so this hashes, and few rows are left
+    leagues = team_names(matches).groupBy("team", "league").agg(
+        F.min(order_number("side")).alias("at"), F.count(F.lit(1)).alias("n"))
     return (
-        team_names(matches).groupBy("team")
-        .agg(F.min(F.struct(first.alias("at"), "league")).alias("f"), F.count(F.lit(1)).alias("matches_played"))
+        leagues.groupBy("team").agg(F.min(F.struct("at", "league")).alias("f"), F.sum("n").alias("matches_played"))
         .select("team", "f.league", country("f.league").alias("country"), "matches_played",
                 F.col("f.at").alias("first_seen"))
     )

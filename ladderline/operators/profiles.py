@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ladderline.config import RatingConfig
 from ladderline.functions import parse, rating
+from ladderline.operators.extremes import rows_at
 from ladderline.operators.fold import rating_events, rating_fold
 from ladderline.operators.perspective import team_matches
 from ladderline.schema import MATCH_ORDER
+from ladderline.session import written
 
 FORM_LENGTH = 10
 HISTORY_PAGE = 5_000
@@ -21,16 +23,17 @@ RANGES = {"3M": 3, "6M": 6, "1Y": 12, "All": 0}
 
 def team_record(matches: DataFrame) -> DataFrame:
     """Wins, draws, losses and the date of the last match, without ratings."""
-    last = F.max(F.struct(*MATCH_ORDER, "date"))
-    return (
-        team_matches(matches).groupBy("team")
-        .agg(F.count(F.lit(1)).alias("matches"),
-             F.count_if(F.col("result") == "W").alias("wins"),
-             F.count_if(F.col("result") == "D").alias("draws"),
-             F.count_if(F.col("result") == "L").alias("losses"),
-             last.alias("l"))
-        .select("team", "matches", "wins", "draws", "losses", F.col("l.date").alias("last_updated"))
-    )
+    seen = team_matches(matches)
+    figures = ["matches", "wins", "draws", "losses"]
+    counted = seen.groupBy("team").agg(
+        F.count(F.lit(1)).alias("matches"),
+        F.count_if(F.col("result") == "W").alias("wins"),
+        F.count_if(F.col("result") == "D").alias("draws"),
+        F.count_if(F.col("result") == "L").alias("losses"),
+        F.max("ts").alias("last_ts"))
+    last = rows_at(seen.select("team", *MATCH_ORDER, "date"), counted, "team", F.col("ts") == F.col("last_ts"), "team-record")
+    return last.groupBy("team", *figures).agg(F.max_by("date", F.struct("src_rank", "ord")).alias("last_updated")).select(
+        "team", *figures, "last_updated")
 
 
 def win_rate(records: DataFrame) -> DataFrame:
@@ -46,9 +49,11 @@ def start_ratings(registry: DataFrame, config: RatingConfig = RatingConfig()) ->
 def peak_low(states: DataFrame, events: DataFrame) -> DataFrame:
     """Highest and lowest rating with their days; the first occurrence counts."""
     after = F.col("rating_after")
-    extremes = events.groupBy("team").agg(
-        F.max(after).alias("hi"), F.max_by("date", F.struct(after, -F.col("seq"))).alias("hi_day"),
-        F.min(after).alias("lo"), F.min_by("date", F.struct(after, F.col("seq"))).alias("lo_day"))
+    bounds = events.groupBy("team").agg(F.max(after).alias("hi"), F.min(after).alias("lo"))
+    high, low = after == F.col("hi"), after == F.col("lo")
+    reached = rows_at(events.select("team", "seq", "date", "rating_after"), bounds, "team", high | low, "peak-low")
+    extremes = reached.groupBy("team", "hi", "lo").agg(
+        F.min_by("date", F.when(high, F.col("seq"))).alias("hi_day"), F.min_by("date", F.when(low, F.col("seq"))).alias("lo_day"))
     blank = F.lit("")
     return states.join(extremes, "team", "left").select(
         "team",
@@ -127,7 +132,7 @@ def recent_form(matches: DataFrame, config: RatingConfig = RatingConfig(), lengt
     seen = team_matches(matches).where(~((F.col("side") == 1) & (F.col("team") == F.col("opponent"))))
     newest_first = W.partitionBy("team").orderBy(*[F.desc(c) for c in MATCH_ORDER])
     # the rank limit is applied before the shuffle too, so a team sends at most `length` rows per task
-    last = seen.withColumn("back", F.row_number().over(newest_first)).where(F.col("back") <= length)
+    last = written(seen.withColumn("back", F.row_number().over(newest_first)).where(F.col("back") <= length), "recent-form")
     events = rating_events(rating_fold(matches, config.flat()))
     needed = last.select(F.col("id").alias("match_id")).distinct()
     deltas = _last_per_id(events.join(needed, "match_id", "left_semi"))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_SHARED_FILES_KEY = "spark.ladderline.sharedFiles"
+SIDE_ROWS = 200_000  # rows up to which a written table is broadcast
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -23,12 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if named:
+        _refuse_local(spark, named)
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ladderline-intermediate"
 
 
+def _refuse_local(spark: SparkSession, path: str) -> None:
+    """On several machines a `file:` folder is each machine's own, unless the cluster says it is mounted everywhere."""
+    master = spark.sparkContext.master
+    if master.startswith("local") or spark.conf.get(_SHARED_FILES_KEY, "false") == "true":
+        return
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
+        raise RuntimeError(f"{_CHECKPOINT_KEY} is {path}: set {_SHARED_FILES_KEY} to true if all machines mount it")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -43,3 +56,18 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a superseded intermediate table through the file system it lies in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def side(table: DataFrame, label: str, limit: int = SIDE_ROWS) -> DataFrame:
+    """`table`, written, as the side of a join: built from all of it up to `limit` rows, else left to the optimizer.
+
+    For tables of a row per file, block or team. Both ways join alike.
+    """
+    kept = written(table, label)
+    return kept.hint("broadcast") if kept.count() <= limit else kept

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ladderline.functions import parse
-from ladderline.operators.ordinal import with_ordinal
+from ladderline.operators.ordinal import with_block_ordinal
 from ladderline.sources.season_csv import league_position
 
 _TEAM = T.StructType([T.StructField("name", T.StringType())])
@@ -74,8 +74,8 @@ def rejects(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Payloads as a match table, ordered by league, season and place in the documents."""
-    numbered = with_ordinal(
+    numbered = with_block_ordinal(
         projected(payload_rows(spark, path, multi_line)).withColumn("league_pos", league_position("league")),
-        ["league_pos", "league", "year", "file", "block", "place", "pos"], "ord", "api-order")
+        ["league_pos", "league", "year", "file", "block"], "ord", "api-order")
     return numbered.select("id", "ts", "date", "league", "season", "home", "away", "hg", "ag", "matchday",
                            F.lit(1).alias("src_rank"), "ord")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ladderline import fixed_values as fv
 from ladderline.functions import parse
-from ladderline.operators.ordinal import with_ordinal
+from ladderline.operators.ordinal import with_block_ordinal
 from ladderline.schema import MATCHES, empty
 
 NAME_MAP = T.StructType([T.StructField("raw", T.StringType()), T.StructField("canonical", T.StringType())])
@@ -47,9 +47,9 @@ def read_match_json(spark: SparkSession, path: str, src_rank: int = 0, multi_lin
     raw = (
         spark.read.schema(_MATCH_JSON).option("multiLine", multi_line).json(path)
         .select("*", F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+                F.col("_metadata.file_block_start").alias("block"))
     )
-    return with_ordinal(raw, ["file", "block", "place"], "ord", "match-list").select(
+    return with_block_ordinal(raw, ["file", "block"], "ord", "match-list").select(
         "id", parse.instant(F.col("date")).alias("ts"), "date", "league", "season",
         F.col("homeTeam").alias("home"), F.col("awayTeam").alias("away"),
         F.col("homeGoals").alias("hg"), F.col("awayGoals").alias("ag"), "matchday",

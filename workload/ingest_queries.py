@@ -14,17 +14,32 @@ from workload.registry import register
 
 RAW = [o.MATCHES, landing.RAW_SQL]
 
+DATED = """
+dated AS (
+  SELECT *, string_split(d, '/') AS p FROM raw),
+parts AS (
+  SELECT *, CASE WHEN length(p[1]) < 2 THEN '0' || p[1] ELSE p[1] END AS dd,
+    CASE WHEN length(p[2]) < 2 THEN '0' || p[2] ELSE p[2] END AS mm,
+    CASE WHEN length(p[3]) = 2 THEN CASE WHEN CAST(p[3] AS INTEGER) > 50 THEN '19' ELSE '20' END || p[3] ELSE p[3] END AS yy
+  FROM dated),
+isod AS (
+  SELECT *, CASE WHEN len(p) = 3 AND CAST(dd AS INTEGER) BETWEEN 1 AND 31 AND CAST(mm AS INTEGER) BETWEEN 1 AND 12
+    AND CAST(yy AS INTEGER) >= 2000 THEN yy || '-' || mm || '-' || dd || 'T15:00:00Z' END AS iso
+  FROM parts)
+"""
+
+PARSED_LINES = """
+judged AS (
+  SELECT l.*, i.iso, TRY_CAST(nullif(regexp_extract(l.g1, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT) AS gh,
+    TRY_CAST(nullif(regexp_extract(l.g2, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT) AS ga
+  FROM landed l JOIN isod i USING (id))
+"""
 
-@register("src_csv", o.query(RAW, """
-SELECT competition, season_code, d AS date, h AS home, a AS away, g1 AS fthg, g2 AS ftag FROM raw
--- a file under 100 bytes is refused
-WHERE (competition, season_code) IN (
-  SELECT (competition, season_code) FROM (
-    SELECT competition, season_code, any_value(odd) AS odd, sum(length(line)) AS n, count(*) AS c FROM (
-      SELECT competition, season_code, odd, CASE WHEN odd = 1
-        THEN d || ',15:00,' || a || ',' || h || ',' || g2 || ',' || g1
-        ELSE competition || ',' || d || ',' || h || ',' || a || ',' || g1 || ',' || g2 || ',D,,' END AS line FROM raw)
-    GROUP BY 1, 2) WHERE n + CASE WHEN odd = 1 THEN 2 * c + 39 ELSE c + 43 END >= 100)
+
+@register("src_csv", o.query(RAW + [landing.LINES_SQL, landing.FILES_SQL], """
+SELECT competition, season_code, d AS date, h AS home, a AS away, g1 AS fthg, g2 AS ftag
+FROM landed JOIN landed_files USING (competition, season_code, shard)
+WHERE bytes >= 100 -- a file under 100 bytes is refused
 """))
 def src_csv(spark, sf_dir):
     path = landing.write_lines(landing.season_lines(landing.raw_rows(spark, sf_dir)), "season-files")
@@ -33,11 +48,10 @@ def src_csv(spark, sf_dir):
         F.col("AwayTeam").alias("away"), F.col("FTHG").alias("fthg"), F.col("FTAG").alias("ftag"))
 
 
-@register("src_valid_files", o.query(RAW + [landing.LINES_SQL], """
-SELECT competition, season_code,
-  CASE WHEN odd = 1 THEN sum(length(line) + 2) + 39 ELSE sum(length(line) + 1) + 43 END::BIGINT AS bytes,
-  CASE WHEN bytes < 100 THEN 'too short' ELSE 'accepted' END AS status
-FROM landed GROUP BY competition, season_code, odd
+@register("src_valid_files", o.query(RAW + [landing.LINES_SQL, landing.FILES_SQL], """
+SELECT competition, season_code, sum(bytes)::BIGINT AS bytes,
+  max(CASE WHEN bytes < 100 THEN 'too short' ELSE 'accepted' END) AS status
+FROM landed_files GROUP BY competition, season_code
 UNION ALL SELECT DISTINCT competition, '0001', 116, 'html' FROM raw
 UNION ALL SELECT DISTINCT competition, '0002', 14, 'too short' FROM raw
 """))
@@ -52,6 +66,26 @@ def src_valid_files(spark, sf_dir):
     ).agg(F.sum("size").alias("bytes"), F.max(F.coalesce("reason", F.lit("accepted"))).alias("status"))
 
 
+@register("src_rejects", o.query(RAW + [landing.LINES_SQL, landing.FILES_SQL, DATED, PARSED_LINES], """
+SELECT competition, season_code, 'too short' AS reason, line FROM landed_files f JOIN landed l USING (competition, season_code, shard) WHERE bytes < 100
+UNION ALL SELECT competition, season_code, 'too short', header FROM landed_files WHERE bytes < 100
+UNION ALL SELECT competition, season_code,
+  CASE WHEN d = '' OR h = '' OR a = '' OR g1 = '' OR g2 = '' THEN 'a needed column is empty'
+    WHEN gh IS NULL OR ga IS NULL THEN 'unreadable score' ELSE 'unreadable date' END, line
+FROM judged JOIN landed_files USING (competition, season_code, shard)
+WHERE bytes >= 100 AND (d = '' OR h = '' OR a = '' OR g1 = '' OR g2 = '' OR gh IS NULL OR ga IS NULL OR iso IS NULL)
+UNION ALL SELECT DISTINCT competition, '0001', 'html', '<!DOCTYPE html>' || repeat(' ', 100) FROM raw
+UNION ALL SELECT DISTINCT competition, '0002', 'too short', 'Date,HomeTeam' FROM raw
+"""))
+def src_rejects(spark, sf_dir):
+    """Every line of the landing zone that gives no match, with its reason."""
+    raw = landing.raw_rows(spark, sf_dir)
+    path = landing.write_lines(landing.season_lines(raw).unionByName(landing.rejects(raw)), "landing")
+    name = r"file=([A-Z0-9]+)_([0-9]{4})"
+    return season_csv.ledger(season_csv.lines(spark, path)).select(
+        F.regexp_extract("file", name, 1).alias("competition"), F.regexp_extract("file", name, 2).alias("season_code"), "reason", "line")
+
+
 API_ROWS = """
 SELECT id, date, league, season, coalesce(home_name, 'Unknown') AS home, coalesce(away_name, 'Unknown') AS away,
   h AS hg, a AS ag, coalesce(md, 0) AS matchday
@@ -109,21 +143,6 @@ def parse_int(spark, sf_dir):
         "id", F.col("FTHG").alias("text"), parse.leading_int(F.col("FTHG")).cast("double").alias("value"))
 
 
-DATED = """
-dated AS (
-  SELECT *, string_split(d, '/') AS p FROM raw),
-parts AS (
-  SELECT *, CASE WHEN length(p[1]) < 2 THEN '0' || p[1] ELSE p[1] END AS dd,
-    CASE WHEN length(p[2]) < 2 THEN '0' || p[2] ELSE p[2] END AS mm,
-    CASE WHEN length(p[3]) = 2 THEN CASE WHEN CAST(p[3] AS INTEGER) > 50 THEN '19' ELSE '20' END || p[3] ELSE p[3] END AS yy
-  FROM dated),
-isod AS (
-  SELECT *, CASE WHEN len(p) = 3 AND CAST(dd AS INTEGER) BETWEEN 1 AND 31 AND CAST(mm AS INTEGER) BETWEEN 1 AND 12
-    AND CAST(yy AS INTEGER) >= 2000 THEN yy || '-' || mm || '-' || dd || 'T15:00:00Z' END AS iso
-  FROM parts)
-"""
-
-
 @register("parse_date", o.query(RAW + [DATED], """
 SELECT id, d AS text, iso AS date,
   epoch_ms(CAST(substr(iso, 1, 8) || '01' AS TIMESTAMP) + to_days(CAST(dd AS INTEGER) - 1) + INTERVAL 15 HOUR)::DOUBLE AS ms
@@ -180,7 +199,7 @@ SELECT id AS line, 999999 + row_number() OVER (
 def match_id(spark, sf_dir):
     rows = season_csv.parsed(landing.raw_rows(spark, sf_dir)).withColumnRenamed("id", "place").withColumns({
         "file": F.concat_ws("_", "competition", "season_code"), "block": F.lit(0)})
-    return season_csv.with_match_ids(rows).select(F.col("place").alias("line"), F.col("id").alias("match_id"))
+    return season_csv.with_match_ids(rows, as_read=False).select(F.col("place").alias("line"), F.col("id").alias("match_id"))
 
 
 @register("league_lookup", o.query([o.MATCHES, o.SIDES, o.COUNTRY], """

@@ -77,12 +77,20 @@ ODD_HEADER = "Date,Time,AwayTeam,HomeTeam,FTAG,FTHG"
 # the same lines in SQL, for file sizes
 LINES_SQL = f"""
 landed AS (
-  SELECT competition, season_code, '{ODD_HEADER}' AS header, odd,
+  SELECT *, id // {ROWS_PER_FILE} AS shard, CASE WHEN odd = 1 THEN '{ODD_HEADER}' ELSE '{EVEN_HEADER}' END AS header,
     CASE WHEN odd = 1 THEN d || ',15:00,' || a || ',' || h || ',' || g2 || ',' || g1
          ELSE competition || ',' || d || ',' || h || ',' || a || ',' || g1 || ',' || g2 || ',D,,' END AS line
   FROM raw)
 """
 
+# odd files end their lines with two bytes
+FILES_SQL = """
+landed_files AS (
+  SELECT competition, season_code, shard, any_value(header) AS header,
+    sum(length(line) + 1 + odd) + any_value(length(header) + 1 + odd) AS bytes
+  FROM landed GROUP BY competition, season_code, shard)
+"""
+
 
 def season_lines(raw: DataFrame) -> DataFrame:
     line = F.when(

@@ -9,7 +9,7 @@ from ladderline.functions import labels
 from ladderline.functions.rating import actual_home
 from ladderline.operators import breaks, merge, perspective, profiles, summary
 from ladderline.operators.ordinal import with_ordinal
-from ladderline.schema import MATCH_ORDER, MATCHES
+from ladderline.schema import MATCHES
 from ladderline.session import new_path
 from ladderline.sinks import documents as doc_sink
 from ladderline.sinks.tables import write_match_json, write_matches
@@ -52,7 +52,7 @@ def merge_matches(spark, sf_dir):
 @register("chrono_sort", o.query(MERGED, """
 SELECT row_number() OVER (ORDER BY ts, src_rank, ord) AS position, id FROM merged"""))
 def chrono_sort(spark, sf_dir):
-    return with_ordinal(merge.merged(*sources(spark, sf_dir)), MATCH_ORDER, "position").select("position", "id")
+    return merge.numbered(merge.merged(*sources(spark, sf_dir)), "position").select("position", "id")
 
 
 @register("dedup_stats", o.query(MERGED, """
