@@ -13,10 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ladderline.llm.common import unused, words
-from ladderline.session import written
+from ladderline.operators.ordinal import prefix_sums, with_ordinal
+from ladderline.session import shuffle_partitions, side, written
 
 SEED = "mix-1"
 MAX_EPOCHS = 3
+STRETCH = 100_000  # copies of a row that one task numbers
+BUCKET_ROWS = 1_000  # rows of one doc_id, source and size that are numbered together, on average
 WEIGHTS = (1, 2, 3)
 _KEY_HEX = 15  # 60 bits of the key
 _HALF = 30
@@ -36,22 +39,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     """
     totals = sizes.groupBy("source").agg(
         F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("rows"))
-    # one row per source from here on
-    place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
+    # one row per source from here on; sources may be many, so both orders are range-partitioned sorts
+    placed = with_ordinal(written(totals, "mix-sources"), [F.col("source").isNull(), "source"], "place", "mix-sources")
     cycle = F.array(*[F.lit(w) for w in weights])
-    ranked = totals.withColumn("weight", F.element_at(cycle, (place % len(weights) + 1).cast("int")).cast("long"))
-    ranked = ranked.withColumn("cap", F.col("source_size") * max_epochs)
-    order = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    upto = order.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(upto), F.lit(0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0)))
-    levelled = ranked.withColumn("level", level)
+    weight = F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long")
+    ranked = placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_epochs)
+    order = [F.col("cap") / F.col("weight"), F.col("source").isNull(), "source"]
+    by_cap = prefix_sums(ranked, order, "cap", "caps", "mix-caps")
+    levelled = written(prefix_sums(by_cap, order, "weight", "weights", "mix-weights"), "mix-levels")
+    whole = levelled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(whole.size or 0) - F.col("caps")) / (F.lit(whole.weight or 0) - F.col("weights"))
     # the first source in this order that doesn't reach its cap sets the level for all after it
-    settled = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(whole)
-    share = settled["level"] * F.col("weight")
-    return levelled.select("source", "source_size", "rows",
-                           F.coalesce(F.least(F.col("cap").cast("double"), share), F.col("cap").cast("double")).alias("target"))
+    settled = levelled.withColumn("level", level).where(F.col("cap") > F.col("level") * F.col("weight")).agg(
+        F.min(F.struct(F.col("cap") / F.col("weight"), F.col("level"))).alias("first")).first().first
+    cap = F.col("cap").cast("double")
+    share = F.least(cap, F.lit(settled.level) * F.col("weight")) if settled else cap
+    return levelled.select("source", "source_size", "rows", share.alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -80,25 +83,50 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
                           F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("_offset"))
     placed = inside.join(
         offsets, inside["source"].eqNullSafe(offsets["_source"]) & (inside["range"] == offsets["_range"]))
-    rows = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    # copies are numbered in stretches of bounded size, dealt anew, so that no task expands all of a row's
+    stretches = placed.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {STRETCH}"))))
+    many = stretches.where(F.col("copies") > STRETCH).repartition(
+        shuffle_partitions(docs.sparkSession), "doc_id", "source", "size", "stretch")
+    start, end = F.col("stretch") * STRETCH, F.least((F.col("stretch") + 1) * STRETCH, F.col("copies")) - 1
+    rows = (stretches.where(F.col("copies") <= STRETCH).unionByName(many)
+            .withColumn("copy", F.explode(F.sequence(start, end))).drop("stretch"))
     position = F.col("_offset") + F.col("inside") + F.col("copy") * F.col("size")
     allowed = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     part = F.least(F.col("size"), F.greatest(F.lit(0), allowed - epochs * F.col("source_size") - position))
     taken = (epochs * F.col("size") + part).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "copy")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "copy", "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mixture itself: rows of `docs` once per epoch taken, the one at the cut shortened; same columns.
 
-    A doc_id is taken as the key of a row: of rows that repeat one, each is taken as often as the
-    first of them in the mix.
+    Each row is taken as often as `mix` says of one row of its doc_id, source and size. Rows that share
+    all three, for instance rows without a doc_id, are numbered by their text's hash in ranges of about
+    a thousand, and each takes the number of one copy.
     """
-    taken, size = unused(docs, "taken"), unused(docs, "size")
-    plan = (mix(docs, weights, max_epochs).where("taken > 0").groupBy(F.col("doc_id").alias("_doc"))
-            .agg(F.max("taken").alias(taken), F.max("size").alias(size)))
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    taken, size, copy, hashed, bucket = (unused(docs, x) for x in ("taken", "size", "copy", "hash", "bucket"))
+    plan = written(mix(docs, weights, max_epochs).select(
+        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+        F.col("copy").alias("_copy"), "copies", F.col("taken").alias(taken)), "mix-plan")
+    named = docs.withColumn(size, F.size(words("text")).cast("long"))
+    of = {"_doc": "doc_id", "_source": "source", "_size": size}
+    same = F.lit(True)
+    for key, name in of.items():
+        same = same & F.col(name).eqNullSafe(F.col(key))
+    several = side(plan.where("_copy = 0 AND copies > 1").select(*of, "copies"), "mix-several")
+    alone = named.join(several, same, "left_anti").withColumn(copy, F.lit(0).cast("long"))
+    shared = written(named.join(several, same).withColumn(hashed, F.xxhash64("text", F.monotonically_increasing_id()))
+                     .withColumn(bucket, F.pmod(F.col(hashed), F.ceil(F.col("copies") / F.lit(BUCKET_ROWS))))
+                     .select(*docs.columns, size, hashed, bucket), "mix-shared")
+    of_bucket = shared.groupBy(*[F.col(name).alias(key) for key, name in of.items()], F.col(bucket).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*of).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = of_bucket.select(*of, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = W.partitionBy(*of.values(), bucket).orderBy(hashed)
+    numbered = (shared.withColumn(copy, F.row_number().over(inside) - 1).join(starts, same & (F.col(bucket) == F.col("_bucket")))
+                .withColumn(copy, F.col(copy) + F.col("_start")))
+    every = alone.select(*docs.columns, size, copy).unionByName(numbered.select(*docs.columns, size, copy))
+    joined = every.join(plan.where(F.col(taken) > 0).drop("copies"), same & (F.col(copy) == F.col("_copy")))
     full, rest = F.expr(f"`{taken}` div `{size}`"), F.expr(f"`{taken}` % `{size}`")
     pieces = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")),
                       F.when(rest > 0, F.array(rest)).otherwise(F.expr("cast(array() as array<bigint>)")))

@@ -134,16 +134,29 @@ def test_mixing_matches_sql_and_budgets(spark):
     assert mixing.mix(cases.empty(spark)).count() == 0
 
 
-def test_mixed_texts_have_the_words_taken(spark):
-    docs = cases.table(spark, [r for r in cases.rows() if r[0] != 29])
-    plan = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
-    got = Counter()
+def test_mixed_texts_have_the_words_taken(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
+    monkeypatch.setattr(mixing, "STRETCH", 2)
+    # repeated rows, and rows without a doc_id of one size: some of one text, some of others
+    found = cases.rows() + [(None, f"{w} b c", "en", "s1") for w in "aaaaefgh"] + [(None, f"x y {w}", "en", None) for w in "pqr"] + [(7, "a b", "en", "s0"), (7, "c d", "en", "s0")]
+    docs = cases.table(spark, found)
+    wanted, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        wanted[r.doc_id, r.source] += r.taken
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     for r in out.collect():
-        got[r.doc_id] += len(words(r.text))
+        got[r.doc_id, r.source] += len(words(r.text))
         assert r.n_chars == len(r.text)
-    assert got == Counter({k: v for k, v in plan.items() if v})
+    assert got == Counter({k: v for k, v in wanted.items() if v})
+    assert mixing.mixed(cases.empty(spark)).count() == 0
+
+
+def test_equal_rows_are_numbered_by_many_tasks(spark):
+    docs = spark.range(300_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))
+    rows = mixing.mix(docs)
+    assert rows.groupBy("copy").count().where("count > 1").isEmpty() and rows.agg(F.sum("taken")).first()[0] == 600_000
+    assert rows.select(F.spark_partition_id()).distinct().count() > 1
 
 
 # packing
