@@ -27,8 +27,8 @@ BYTES_PER_BIN = 128  # about twenty words; with fuller bins junk words share the
 UNIGRAM_BINS = 1 << 16  # at least
 BIGRAM_BINS = 1 << 14  # at least
 BIGRAM_ROOT = 4  # bigram bins per square root of the words
-UNIGRAM_SLOTS = 1 << 20
-BIGRAM_SLOTS = 1 << 18
+UNIGRAM_SLOTS = 1 << 19
+BIGRAM_SLOTS = 1 << 17
 _SLOTS = UNIGRAM_SLOTS + BIGRAM_SLOTS
 _SLOT_GROUP = 1 << 10
 TRUST_BITS = 1 << 24  # of the table that spares other texts the join
@@ -190,12 +190,15 @@ def _scores(texts: DataFrame, ratios: DataFrame, size: tuple[int, int]) -> DataF
     hashed = texts.select(digest("text").alias("_digest"), word_hashes(words("text")).alias("one"))
     grams = hashed.select("_digest", _grams(F.col("one"), pair_hashes(F.col("one")), size).alias("grams"))
     every = grams.select("_digest", F.explode_outer("grams").alias("bin")).where("bin IS NOT NULL")
-    inside = every.groupBy("_digest").agg(F.sum(F.when(at("bin") == F.col("bin"), at("ratio"))).alias("inside"), F.count(F.lit(1)).alias("grams"))
-    outside = every.where(at("bin") != F.col("bin"))
-    rest = (outside.join(ratios.select("bin", "ratio").hint("merge"), "bin").groupBy(F.col("_digest").alias("_own"))
-            .agg(F.sum("ratio").alias("outside")))
+    # per text one row for all n-grams in the slots, and one for every other bin
+    own = at("bin") == F.col("bin")
+    counted = written(every.groupBy("_digest", F.when(~own, F.col("bin")).alias("rest")).agg(
+        F.sum(F.when(own, at("ratio"))).alias("inside"), F.count(F.lit(1)).alias("grams")), "quality-grams")
+    whole = counted.groupBy("_digest").agg(F.sum("inside").alias("inside"), F.sum("grams").alias("grams"))
+    rest = (counted.where("rest IS NOT NULL").join(ratios.select("bin", "ratio").hint("merge"), F.col("rest") == F.col("bin"))
+            .groupBy(F.col("_digest").alias("_own")).agg(F.sum(F.col("ratio") * F.col("grams")).alias("outside")))
     total = F.coalesce("inside", F.lit(0)) + F.coalesce("outside", F.lit(0))
-    return inside.join(rest.hint("merge"), F.col("_digest") == F.col("_own"), "left").select(
+    return whole.join(rest.hint("merge"), F.col("_digest") == F.col("_own"), "left").select(
         "_digest", (total / F.lit(float(_UNIT)) / F.col("grams")).alias("llr"))
 
 
