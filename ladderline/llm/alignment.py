@@ -12,6 +12,7 @@ pair, and the sums come back to their chunk, where every document's links are lo
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -30,7 +31,7 @@ from ladderline.llm.common import arrow_batches
 from ladderline.session import written
 
 CHUNK_BYTES = 48 << 20  # of text
-CHUNK_WINDOWS = 200_000  # distinct
+CHUNK_WINDOWS = 400_000  # distinct, some 400 bytes each
 CHUNK_IDS = 4_000_000  # in distinct windows
 # fixed value: the pre-tokenization pattern of the byte-level vocabulary
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -144,18 +145,22 @@ class Windows:
         self.place: dict[tuple[bytes, bytes], int] = {}
         self.text: list[str] = []
         self.groups: list[int] = []
-        self.links: list[list[int]] = []
+        self.links: list[array] = []
+        self.sizes: list[int] = []
         self.ids = 0
 
-    def learn(self, keys: set[tuple[bytes, bytes]]) -> None:
-        for key in keys:
-            a, b = (array("I", x).tolist() for x in key)
+    def learn(self, key: tuple[bytes, bytes]) -> int:
+        place = self.place.get(key)
+        if place is None:
+            a, b = array("I", key[0]).tolist(), array("I", key[1]).tolist()
             text, groups, links = aligned(a, b, self.t.sizes_a, self.t.sizes_b, self.t.name)
-            self.place[key] = len(self.text)
+            place = self.place[key] = len(self.text)
             self.text.append(text)
             self.groups.append(groups)
-            self.links.append(links)
+            self.links.append(array("q", links))
+            self.sizes.append(len(links))
             self.ids += len(a) + len(b)
+        return place
 
     def of(self, a: list[int], b: list[int]) -> list[int]:
         """Places of a text's windows, in its order."""
@@ -169,16 +174,16 @@ class Windows:
         cut_a, cut_b = ((4 * np.r_[0, x[x > 0], n]).tolist() for x, n in ((cut_a, len(a)), (cut_b, len(b))))
         data_a, data_b = a.tobytes(), b.tobytes()
         keys = [(data_a[p:q], data_b[r:s]) for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        try:
-            return list(map(self.place.__getitem__, keys))
-        except KeyError:
-            self.learn(set(keys).difference(self.place))
-            return list(map(self.place.__getitem__, keys))
+        found = list(map(self.place.get, keys))
+        if None in found:
+            for n in [n for n, place in enumerate(found) if place is None]:
+                found[n] = self.learn(keys[n])
+        return found
 
     def table(self, times: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
         """starts of every window in links, links as places in codes, codes, and how many links hold each."""
-        size = np.fromiter(map(len, self.links), np.int64, len(self.links))
-        codes, place = np.unique(np.array([c for own in self.links for c in own], np.int64), return_inverse=True)
+        size = np.array(self.sizes, np.int64)
+        codes, place = np.unique(np.frombuffer(b"".join(self.links), np.int64), return_inverse=True)
         counts = np.bincount(place, weights=np.repeat(times, size), minlength=len(codes)).astype("<i8")
         return (np.cumsum(size) - size).astype("<u4").tobytes(), place.astype("<u4").tobytes(), codes.astype("<i8").tobytes(), counts.tobytes()
 
@@ -188,6 +193,7 @@ def _chunked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, part = loaded(path_a, path_b), TaskContext.get().partitionId()
+        gc.disable()  # hundreds of thousands of small objects without a cycle, walked again and again
 
         def rows() -> Iterator[tuple]:
             number, held, windows, times = 0, 0, Windows(tokenizers), np.zeros(1024, np.int64)
@@ -206,7 +212,7 @@ def _chunked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     times[used] += count
                     digest = hashlib.sha256(";".join(map(windows.text.__getitem__, places)).encode()).hexdigest()
                     yield (chunk, doc_id.as_py(), len(a), len(b), sum(map(windows.groups.__getitem__, places)),
-                           sum(len(windows.links[u]) * c for u, c in zip(used.tolist(), count.tolist())),
+                           sum(map(windows.sizes.__getitem__, places)),
                            digest, used.astype("<u4").tobytes(), count.astype("<u4").tobytes(), None, None, None, None)
                     held += len(text)
                     if held >= CHUNK_BYTES or len(windows.text) >= CHUNK_WINDOWS or windows.ids >= CHUNK_IDS:
@@ -216,7 +222,10 @@ def _chunked(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             if windows.text:
                 yield (chunk, *[None] * 8, *windows.table(times[:len(windows.text)]))
 
-        yield from arrow_batches(rows(), _ROWS, weigh=lambda r: sum(map(len, r[7:9])) if r[11] is None else sum(map(len, r[9:])))
+        try:
+            yield from arrow_batches(rows(), _ROWS, weigh=lambda r: sum(map(len, r[7:9])) if r[11] is None else sum(map(len, r[9:])))
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, _DDL)
