@@ -27,7 +27,7 @@ from ladderline.session import written
 
 RATIO = 2.0  # of two distances that the collision counts tell apart
 MISS = 1 / math.e  # chance, per the method's bound, that a vector in reach collects too few collisions
-STEPS = 4  # window levels below the bound, quarter octaves
+STEPS = 2  # window levels below the bound, half octaves
 SAMPLE = 1024  # vectors, chosen by hash, that give first bounds on distances; none of them decides a result
 SHARD_ROWS = 16_384  # at most
 GROUP_QUERIES = 8_192
@@ -54,50 +54,55 @@ def directions(dim: int, m: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).normal(size=(dim, m))
 
 
-def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Row by row in double precision, so equal vectors have equal scores wherever they lie."""
-    norms = np.sqrt((rows * rows).sum(axis=1)) * math.sqrt((query * query).sum())
-    return (rows * query).sum(axis=1) / norms
+def lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows * rows).sum(axis=1))
 
 
 class Shard:
-    """Vectors of one length with their sorted projections."""
+    """Vectors of one length with a sorted array of their projections per direction."""
 
     def __init__(self, rows: np.ndarray, m: int):
-        self.rows = rows
-        unit = rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
-        projected = (unit @ directions(rows.shape[1], m)).T
-        self.order = np.argsort(projected, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        self.rows, self.lengths = rows, lengths(rows)
+        projected = ((rows / self.lengths[:, None]) @ directions(rows.shape[1], m)).T
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        # places in the sorted arrays: a window holds a vector if its place lies between the window's ends
+        self.place = np.empty(order.shape, np.uint16 if len(rows) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(rows), dtype=self.place.dtype)[None], axis=1)
+
+    def cosines(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Row by row in double precision, so equal vectors have equal scores wherever they lie."""
+        return (self.rows[places] * query).sum(axis=1) / (self.lengths[places] * math.sqrt((query * query).sum()))
 
     def search(self, queries: np.ndarray, bounds: np.ndarray, own: np.ndarray, ids: np.ndarray,
                k: int, least: int, width: float) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query (places, scores) of at most k best, nearest first, ties to the smaller id. `own` is
         the query's own place or -1, `bounds` a distance within which k vectors are known to lie."""
-        m, n = self.order.shape
-        unit = queries / np.sqrt((queries * queries).sum(axis=1))[:, None]
-        centre = (unit @ directions(queries.shape[1], m)).T
+        m, n = self.place.shape
+        counted = np.uint8 if m < 1 << 8 else np.uint16
+        centre = ((queries / lengths(queries)[:, None]) @ directions(queries.shape[1], m)).T
         windows = []
         for step in range(STEPS, -1, -1):
-            half = np.where(np.isfinite(bounds), bounds * 2.0 ** (-step / 4), np.inf) * width / 2
-            low = np.stack([np.searchsorted(a, c - half, "left") for a, c in zip(self.sorted, centre)], axis=1)
-            high = np.stack([np.searchsorted(a, c + half, "right") for a, c in zip(self.sorted, centre)], axis=1)
-            windows.append((bounds * 2.0 ** (-step / 4), low, high, (high > low).sum(axis=1)))
+            reach = bounds * 2.0 ** (-step / 2)
+            low, high = (np.stack([np.searchsorted(a, c + sign * width / 2 * reach, side) for a, c in zip(self.sorted, centre)], axis=1)
+                         for sign, side in ((-1, "left"), (1, "right")))
+            windows.append((reach, low.astype(self.place.dtype)[:, :, None], (high - low).astype(self.place.dtype)[:, :, None], (high - low).sum(axis=1)))
         found = []
         for q in range(len(queries)):
             seen, places, scores = np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0)
             if own[q] >= 0:
                 seen[own[q]] = True
-            for reach, low, high, filled in windows:
-                if filled[q] < least:
+            for reach, low, held, hits in windows:
+                if hits[q] < least:
                     continue
-                hits = np.concatenate([o[a:b] for o, a, b in zip(self.order, low[q].tolist(), high[q].tolist())])
-                fresh = np.flatnonzero((np.bincount(hits, minlength=n) >= least) & ~seen)
+                # unsigned: a place before the window's start wraps round and lies beyond its length
+                collisions = np.add.reduce((self.place - low[q] < held[q]).view(np.uint8), axis=0, dtype=counted)
+                fresh = np.flatnonzero((collisions >= least) & ~seen)
                 if len(fresh):
                     seen[fresh] = True
                     places = np.concatenate((places, fresh))
-                    scores = np.concatenate((scores, cosines(self.rows[fresh], queries[q])))
-                    best = np.lexsort((places, ids[places], -scores))[:k]
+                    scores = np.concatenate((scores, self.cosines(fresh, queries[q])))
+                    best = _best(scores, ids[places], places, k)
                     places, scores = places[best], scores[best]
                 if len(places) == k and scores[-1] >= 1 - reach[q] ** 2 / 2:
                     break  # distance of the k-th best is within reach
@@ -105,6 +110,13 @@ class Shard:
         return found
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
+    """The k first in order of falling score, id and place, of many."""
+    k = min(k, len(scores))
+    near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return near[np.lexsort((places[near], ids[near], -scores[near]))[:k]]
+
+
 def usable(vector: str) -> Column:
     """Neither null nor zero, and all components finite numbers."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -148,7 +160,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         names, y = known.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim))))
         reach = np.full(len(x), np.inf)
         if len(names) > k:
-            close = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ (y / np.sqrt((y * y).sum(axis=1))[:, None]).T
+            close = (x / lengths(x)[:, None]) @ (y / lengths(y)[:, None]).T
             close[rows_[:, None] == names[None]] = -2
             fifth = -np.partition(-close, k - 1, axis=1)[:, k - 1]
             reach = np.sqrt(np.maximum(2 - 2 * fifth, 0)) + 1e-6
