@@ -16,11 +16,13 @@ def bucket(ts: Column, config: RatingConfig) -> Column:
     return F.floor(F.unix_millis(ts) / F.lit(config.gap_ms // 2)).cast("long")
 
 
-def bucket_spans(matches: DataFrame, config: RatingConfig) -> DataFrame:
+def bucket_spans(matches: DataFrame, config: RatingConfig, earlier: tuple | None = None) -> DataFrame:
     """One row per non-empty bucket: bucket, first_ts, last_ts, prev_ts, is_break, break_no.
 
-    The window runs over buckets, not matches: a century of 60-day gaps is 1,200 rows.
+    The window runs over buckets, not matches: a century of 60-day gaps is 1,200 rows. `earlier` is
+    (instant, break number) of the last match before all of `matches`.
     """
+    before, passed = earlier or (None, 0)
     spans = (
         matches.where(F.col("ts").isNotNull())
         .groupBy(bucket(F.col("ts"), config).alias("bucket"))
@@ -29,9 +31,9 @@ def bucket_spans(matches: DataFrame, config: RatingConfig) -> DataFrame:
     in_time = W.orderBy("bucket")
     gap = F.unix_millis("first_ts") - F.unix_millis("prev_ts")
     return (
-        spans.withColumn("prev_ts", F.lag("last_ts").over(in_time))
+        spans.withColumn("prev_ts", F.coalesce(F.lag("last_ts").over(in_time), F.lit(before).cast("timestamp")))
         .withColumn("is_break", F.coalesce(gap >= F.lit(config.gap_ms), F.lit(False)))
-        .withColumn("break_no", F.sum(F.col("is_break").cast("int")).over(in_time).cast("int"))
+        .withColumn("break_no", (F.lit(passed) + F.sum(F.col("is_break").cast("int")).over(in_time)).cast("int"))
     )
 
 

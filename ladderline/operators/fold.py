@@ -7,12 +7,13 @@ holds one record per team, never the group.
 
 A pool larger than `max_group_rows` is not given to one task:
 
-- with many teams it is folded in rounds that use the whole cluster (wide_pools.py);
-- with few teams nearly every match waits for the one before, and there is nothing to spread. Its
-  matches are written in order and cut into consecutive slices of at most `max_group_rows`; team
+- its matches are written in order and cut into consecutive slices of at most `max_group_rows`; team
   records carry over from slice to slice through a written table, so a lost executor costs a slice.
+  This gives the same bits as one task, at every size;
+- on request (`wide=True`, never by size) a pool of many teams is folded in rounds that use the whole
+  cluster (wide_pools.py) and agree with that to about 1e-11.
 
-All three give the same ratings. A season break only touches a team's own rating. It is therefore
+A season break only touches a team's own rating. It is therefore
 applied when the team next plays, or at the end, and no group needs to see another group's matches.
 """
 
@@ -32,7 +33,7 @@ from ladderline.operators.ordinal import with_ordinal
 from ladderline.operators.pools import sized_pools
 from ladderline.operators.wide_pools import fold_wide, round_sizes
 from ladderline.schema import MATCH_ORDER, RATING_EVENTS, TEAM_STATE
-from ladderline.session import new_path, shuffle_partitions, written
+from ladderline.session import discard, new_path, shuffle_partitions, written
 
 MAX_GROUP_ROWS = 20_000_000
 TASK_ROWS = 5_000_000
@@ -40,6 +41,9 @@ TASK_ROWS = 5_000_000
 _INPUT = ["pool", "ts", "src_rank", "ord", "id", "date", "home", "away",
           "actual", "step", "home_base", "away_base", "break_no"]
 
+_INPUT_TYPES = dict(zip(_INPUT, (
+    "string", "timestamp", "int", "long", "long", "string", "string", "string", "double", "double", "double", "double", "int")))
+
 cloudpickle.register_pickle_by_value(fold_task)
 
 
@@ -91,6 +95,19 @@ def _prepare_breaks(matches: DataFrame, config: RatingConfig):
     return spans, season.dated_breaks(matches, spans)
 
 
+def with_instants(matches: DataFrame) -> DataFrame:
+    """A match without an instant has no place in the order and raises."""
+    placed = F.when(F.col("ts").isNull(), F.raise_error(F.concat_ws(
+        " ", F.lit("match without an instant:"), F.col("id").cast("string"), F.col("date")))).otherwise(F.col("ts"))
+    return matches.withColumn("ts", placed.cast("timestamp"))
+
+
+def task_count(spark, found) -> int:
+    """Pools hash to tasks: a few times more tasks than pools keeps them from sharing one while pools
+    are few, and with many pools a task's share of rows decides."""
+    return max(shuffle_partitions(spark), min(4 * found["pools"], 10_000), -(-found["rows"] // TASK_ROWS))
+
+
 def rating_fold(
     matches: DataFrame,
     config: RatingConfig = RatingConfig(),
@@ -108,9 +125,7 @@ def rating_fold(
     A match without an instant has no place in the order and raises.
     """
     spark = matches.sparkSession
-    placed = F.when(F.col("ts").isNull(), F.raise_error(F.concat_ws(
-        " ", F.lit("match without an instant:"), F.col("id").cast("string"), F.col("date")))).otherwise(F.col("ts"))
-    matches = matches.withColumn("ts", placed.cast("timestamp"))
+    matches = with_instants(matches)
     with ThreadPoolExecutor(2) as both:
         # two independent preparations, side by side
         found_breaks = both.submit(inheritable_thread_target(spark)(_prepare_breaks), matches, config)
@@ -122,9 +137,7 @@ def rating_fold(
     else:
         pooled = season.with_break_no(pooled, config, spans)
     rows = fold_input(pooled, config, registry)
-    # pools hash to tasks: a few times more tasks than pools keeps them from sharing one while pools
-    # are few, and with many pools a task's share of rows decides
-    n = max(shuffle_partitions(spark), min(4 * found["pools"], 10_000), -(-found["rows"] // TASK_ROWS))
+    n = task_count(spark, found)
     oversized = found["oversized"]
     if not oversized:
         return _run(rows, _task(config, dated, True, with_events), n)
@@ -142,7 +155,36 @@ def rating_fold(
     return out
 
 
-def _fold_in_slices(rows, config, dated, with_events, max_group_rows, n) -> DataFrame:
+def carrying(rows: DataFrame, records: DataFrame | None) -> DataFrame:
+    """`rows` with the records of the teams that play in them; record rows have no instant and come first."""
+    if records is None:
+        return rows
+    present = rows.select(F.explode(F.array("home", "away")).alias("team"), "pool").distinct()
+    carried = records.join(present, "team").select("pool", F.col("team").alias("home"), "state")
+    return rows.withColumn("state", F.lit(None).cast(TEAM_STATE)).unionByName(carried, allowMissingColumns=True)
+
+
+def renewed(records: DataFrame | None, done: DataFrame) -> DataFrame:
+    """Records after the folded rows `done`: theirs, and the earlier ones of teams that didn't play."""
+    fresh = done.where(F.col("event") == "state").select("team", "state")
+    return fresh if records is None else records.join(fresh.select("team"), "team", "left_anti").unionByName(fresh)
+
+
+def closed(records: DataFrame, config: RatingConfig, dated: dict, with_events: bool, n: int) -> DataFrame:
+    """State rows of all teams after the breaks that follow their last match, and those breaks' events.
+
+    Teams no longer depend on each other: any split of them does.
+    """
+    final = records.select(
+        F.pmod(F.xxhash64("team"), F.lit(n)).cast("string").alias("pool"), F.col("team").alias("home"), "state")
+    blank = records.sparkSession.createDataFrame([], ", ".join(f"{c} {t}" for c, t in _INPUT_TYPES.items())).withColumn(
+        "state", F.lit(None).cast(TEAM_STATE))
+    return _run(blank.unionByName(final, allowMissingColumns=True), _task(config, dated, True, with_events), n)
+
+
+def fold_slices(rows: DataFrame, records: DataFrame | None, config: RatingConfig, dated: dict, with_events: bool,
+                max_group_rows: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """(events, records) of pools that are cut into slices, from the `records` of earlier matches on."""
     spark = rows.sparkSession
     ordered = with_ordinal(rows, ["pool", *MATCH_ORDER], "position", "fold-order")
     starts = ordered.groupBy("pool").agg(F.min("position").alias("start"))
@@ -156,30 +198,24 @@ def _fold_in_slices(rows, config, dated, with_events, max_group_rows, n) -> Data
 
     out_root = new_path(spark, "fold-events")
     fold = _task(config, dated, False, with_events)
-    records = None
+    path = None
     for number in range(last_slice + 1):
-        part = sliced.where(F.col("slice") == number).select(*_INPUT)
-        if records is not None:
-            present = part.select(F.explode(F.array("home", "away")).alias("team"), "pool").distinct()
-            carried = records.join(present, "team")
-            part = part.withColumn("state", F.lit(None).cast(TEAM_STATE)).unionByName(
-                carried.select("pool", F.col("team").alias("home"), "state"), allowMissingColumns=True)
+        part = carrying(sliced.where(F.col("slice") == number).select(*_INPUT), records)
         done = written(_run(part, fold, n), "fold-slice", f"{out_root}/slice={number}")
-        fresh = done.where(F.col("event") == "state").select("team", "state")
-        if records is not None:
-            fresh = records.join(fresh.select("team"), "team", "left_anti").unionByName(fresh)
-        records = written(fresh, "fold-records")
-
-    # teams no longer depend on each other: any split of them does for the breaks after their last match
-    final = records.select(
-        F.pmod(F.xxhash64("team"), F.lit(n)).cast("string").alias("pool"),
-        F.col("team").alias("home"), "state")
-    blank = sliced.limit(0).select(*_INPUT).withColumn("state", F.lit(None).cast(TEAM_STATE))
-    closed = _run(blank.unionByName(final, allowMissingColumns=True),
-                  _task(config, dated, True, with_events), n)
+        following = new_path(spark, "fold-records")
+        records = written(renewed(records, done), "", following)
+        if path:
+            discard(spark, path)
+        path = following
+    discard(spark, sliced_path)
     events = spark.read.schema(RATING_EVENTS).parquet(
         *[f"{out_root}/slice={number}" for number in range(last_slice + 1)])
-    return events.where(F.col("event") != "state").unionByName(closed)
+    return events.where(F.col("event") != "state"), records
+
+
+def _fold_in_slices(rows, config, dated, with_events, max_group_rows, n) -> DataFrame:
+    events, records = fold_slices(rows, None, config, dated, with_events, max_group_rows, n)
+    return events.unionByName(closed(records, config, dated, with_events, n))
 
 
 def rating_events(fold: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ The documents are objects over all teams. Written as one value they would have t
 task, so they are cut into parts of bounded size: at most `PART_TEAMS` teams and, for histories,
 `PART_ENTRIES` entries per team. Each part is a document of the same form in a file of its own; with
 few teams and short histories there is exactly one, the whole document.
+
+Beside the parts lies a manifest: how many documents there are and a sum over their hashes. Readers
+hold it against what they find, so that a lost, repeated or altered part is an error, not fewer teams.
 """
 
 from __future__ import annotations
@@ -19,6 +22,16 @@ PART_TEAMS = 200
 PART_ENTRIES = 5_000
 
 
+MANIFEST = "_manifest"  # a name that readers of the folder skip
+
+
+def figures(texts: DataFrame) -> DataFrame:
+    """One row: documents, and the sum of their hashes."""
+    value = F.rtrim("value", F.lit("\n"))
+    return texts.where(value != "").agg(F.count(F.lit(1)).alias("documents"), F.coalesce(
+        F.sum(F.xxhash64(value).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("hashes"))
+
+
 def _part(ordinal: str, size: int) -> Column:
     return F.floor((F.col(ordinal) - F.lit(1)) / F.lit(size)).cast("long")
 
@@ -32,6 +45,9 @@ def _object(entries: Column) -> Column:
 def _write(documents: DataFrame, path: str) -> None:
     """One document per file, at every size."""
     documents.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    spark = documents.sparkSession
+    # what was written, not what would be written now
+    figures(spark.read.text(path, wholetext=True)).coalesce(1).write.json(f"{path}/{MANIFEST}")
 
 
 def write_registry(registry: DataFrame, path: str, part_teams: int = PART_TEAMS) -> None:

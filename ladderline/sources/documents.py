@@ -1,7 +1,7 @@
 """JSON documents of ratings, daily ratings and the registry.
 
 A document is an object; a large one is written as several documents of the same form, one per file
-(see sinks/documents.py). Every file is read as one document, however it is laid out.
+(see sinks/documents.py) with a manifest beside them. Every file is read as one document, however it is laid out.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ladderline.schema import HISTORY_ENTRY, REGISTRY, empty
+from ladderline.sinks.documents import MANIFEST, figures
 from ladderline.sources.tables import exists
 
 TEAM_ENTRY = T.StructType([
@@ -49,7 +50,14 @@ REGISTRY_ENTRY = T.StructType([
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    """The documents below `path`; raises where a manifest lies beside them that doesn't fit them."""
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    if exists(spark, f"{path}/{MANIFEST}"):
+        told = spark.read.schema("documents long, hashes string").json(f"{path}/{MANIFEST}").collect()
+        found = figures(texts).first()
+        if len(told) != 1 or tuple(told[0]) != tuple(found):
+            raise RuntimeError(f"{path} holds {found.documents} documents that are not the {told[0].documents if told else 'unknown'} written")
+    return texts
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
