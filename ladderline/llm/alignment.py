@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import arrow_batches
+from ladderline.llm.common import arrow_batches, byte_letters
 from ladderline.session import written
 
 CHUNK_BYTES = 48 << 20  # of text
@@ -43,13 +43,6 @@ _DDL = ("chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links lon
 _loaded: dict[tuple[str, str], "Tokenizers"] = {}
 
 
-def _byte_letters() -> dict[str, int]:
-    """The byte-level letters: printable Latin-1 stands for itself, other bytes for 256 and up in turn."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Tokenizers:
     """Both vocabularies: ids of a text, and the bytes of every id."""
 
@@ -61,7 +54,7 @@ class Tokenizers:
         with open(path_a, encoding="utf-8") as file:
             known = json.load(file)
         special = {t["id"] for t in known.get("added_tokens", [])}
-        letters = _byte_letters()
+        letters = byte_letters()
         bytes_a = {i: bytes(letters[c] for c in token) for token, i in known["model"]["vocab"].items() if i not in special}
         self._path_a, self._slow = path_a, None
         # in this vocabulary ids stand in the order of the merges

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderline.session import new_path, written
+from ladderline.session import discard, new_path, written
 
 SPACES = r"[\x20\x09-\x0D]+"
 # bytes.split() without arguments cuts at exactly these six bytes
@@ -35,17 +35,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte-level letters: printable Latin-1 stands for itself, other bytes for 256 and up in turn."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that `df` doesn't have, so that extra columns can't clash with ours."""
     return f"_{stem}_{uuid.uuid4().hex[:12]}"
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a superseded intermediate table through the file system it lies in."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def arrow_batches(rows: Iterator[tuple], schema: pa.Schema, limit_rows: int = 4096,
                   limit_bytes: int = 16 << 20, weigh: Callable[[tuple], int] | None = None) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of bounded size."""

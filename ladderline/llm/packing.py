@@ -13,11 +13,13 @@ A queue must be worth a token per window for that; smaller sources share one que
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ladderline.llm.common import arrow_batches
+from ladderline.llm.common import arrow_batches, byte_letters
 from ladderline.session import new_path, written
 
 WINDOW = 2048
 END_ID = 1
-_KNOWN = 24 << 20  # bytes of words and ids in one generation of a worker's caches, not a limit of the vocabulary
-_BATCH = 1 << 20  # characters looked up at a time
-# letters, then marks: the vocabulary's own rule cuts there, and sees the letters in lower case
-_LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# bytes of words and ids in one generation of a worker's two caches, not a limit of the vocabulary
+_WORDS, _PARTS = 56 << 20, 24 << 20
+_BATCH = 4 << 20  # characters looked up at a time
+# a line of letters, then marks: the vocabulary's own rule cuts there, and sees the letters in lower case
+_LETTERS_MARKS = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.MULTILINE)
+_WORD_END, _END_BYTE = "</w>", b"\xff"  # UTF-8 has no such byte
 
 _TOKENS = pa.schema([("part", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()),
                      ("before", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -44,29 +48,27 @@ _PIECES = pa.schema([(n, pa.int64()) for n in (
 _encoders: dict[str, "Encoder"] = {}
 
 
-class Generations(dict):
+class Generations:
     """A cache of two generations: entries used again outlive the clearing of the older one."""
 
     def __init__(self, limit: int):
-        super().__init__({"": b""})
-        self.limit, self.size, self.older = limit, 0, {}
+        self.limit, self.size = limit, 0
+        self.young: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def keep(self, word: str, ids: bytes) -> None:
-        self[word] = ids
-        self.size += len(word) + len(ids) + 100  # about what two small objects and a slot take besides
+    def keep(self, words: list[str], ids: list[bytes]) -> None:
+        self.young.update(zip(words, ids))
+        # about what two small objects and a slot take besides
+        self.size += sum(map(len, words)) + sum(map(len, ids)) + 100 * len(words)
 
     def absent(self, wanted: set[str]) -> list[str]:
         """Those of `wanted` that neither generation holds; the others are in the younger one afterwards."""
         if self.size > self.limit:
-            self.older, self.size = dict(self), 0
-            self.clear()
-            self[""] = b""
-        missing = wanted.difference(self)
-        if not self.older:
-            return list(missing)
-        for word in missing.intersection(self.older):
-            self.keep(word, self.older[word])
-        return list(missing.difference(self.older))
+            self.older, self.size, self.young = self.young, 0, {"": b""}
+        missing, older = wanted.difference(self.young), self.older
+        again = [w for w in missing if w in older] if older else []
+        self.keep(again, [older[w] for w in again])
+        return list(missing.difference(again)) if again else list(missing)
 
 
 class Encoder:
@@ -74,6 +76,8 @@ class Encoder:
 
     The vocabulary drops white space and never joins over it, so text is cut at blanks and every
     distinct word is looked up; a new one of letters and marks is put together from its two parts.
+    Such a part is one piece of the vocabulary: it goes straight to the merges, over bytes, where a
+    byte behind the last one stands for the end of the word. Other words go through the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -81,16 +85,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._words, self._parts = Generations(_KNOWN), Generations(_KNOWN)
+        self._words, self._parts = Generations(_WORDS), Generations(_PARTS)
+        self._merged = _merger(path)
+
+    def _encoded(self, parts: list[str], simple: bool) -> list[bytes]:
+        if simple and self._merged:
+            return [array("I", self._merged(part.encode() + _END_BYTE)).tobytes() for part in parts]
+        return [array("I", found.ids).tobytes() for found in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        cut = [(m[1].lower(), m[2]) if (m := _LETTERS_MARKS.fullmatch(w)) else (w, "") for w in new]
-        parts = self._parts
-        missing = parts.absent({p for pair in cut for p in pair})
-        for part, found in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            parts.keep(part, array("I", found.ids).tobytes())
-        for word, (a, b) in zip(new, cut):
-            self._words.keep(word, parts[a] + parts[b])
+        cut = _LETTERS_MARKS.findall("\n".join(new))
+        letters = [a.lower() for a, _, _ in cut]
+        simple = self._parts.absent({*letters, *(marks for _, marks, _ in cut)})
+        self._parts.keep(simple, self._encoded(simple, True))
+        others = list({other for _, _, other in cut if other})
+        whole = dict(zip(others, self._encoded(others, False)))
+        parts = self._parts.young
+        self._words.keep(new, [parts[low] + parts[marks] if low else whole[other] for low, (_, marks, other) in zip(letters, cut)])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of every text; all words of the texts are looked up together."""
@@ -98,10 +109,29 @@ class Encoder:
         new = self._words.absent(set(chain.from_iterable(cut)))
         if new:
             self._learn(new)
-        known = self._words.__getitem__
+        known = self._words.young.__getitem__
         return [b"".join(map(known, words)) for words in cut]
 
 
+def _merger(path: str) -> Callable[[bytes], list[int]] | None:
+    """The merges of a vocabulary whose ids stand in the order of its merges; None for another."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        known = json.load(file)
+    vocabulary, merges = known["model"]["vocab"], known["model"]["merges"]
+    special = {t["id"] for t in known.get("added_tokens", [])}
+    in_order = all(vocabulary.get("".join(pair) if isinstance(pair, list) else pair.replace(" ", "")) == 2 * 256 + n for n, pair in enumerate(merges))
+    if not in_order or known["model"].get("end_of_word_suffix") != _WORD_END:
+        return None
+    letters, ranks = byte_letters(), {}
+    for token, i in vocabulary.items():
+        if i not in special:
+            body = token.removesuffix(_WORD_END)
+            ranks[bytes(letters[c] for c in body) + (_END_BYTE if body != token else b"")] = i
+    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -134,7 +164,11 @@ def tokenized(docs: DataFrame, tokenizer: str, label: str = "pack-ids") -> DataF
                         place += 1
                     at = upto
 
-        yield from arrow_batches(rows(), _TOKENS, weigh=lambda r: len(r[6]))
+        gc.disable()  # many small objects without a cycle, walked again and again
+        try:
+            yield from arrow_batches(rows(), _TOKENS, weigh=lambda r: len(r[6]))
+        finally:
+            gc.enable()
 
     spark = docs.sparkSession
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")

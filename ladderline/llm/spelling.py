@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderline.session import new_path, written
-from ladderline.llm.common import discard
+from ladderline.session import discard, new_path, written
 
 LEAST_LENGTH = 7
 LEAST_COUNT = 2

@@ -223,6 +223,19 @@ def test_word_by_word_encoding_equals_whole_texts():
     few._words.limit = few._parts.limit = 500  # generations change all the time
     for _ in range(3):
         assert [few([text])[0] for text in texts] == wanted
+    few._merged = None  # a vocabulary with its ids in another order
+    assert few(texts) == wanted
+
+
+def test_parts_of_words_merge_as_the_tokenizer_merges():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    words_ = ["".join(rng.choice("etaoinshrdlucmfwypvbgkjqxzéèüß") for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    words_ += ["".join(rng.choice("!#$%&()*+,-./:;<=>?@[]^_`{|}~") for _ in range(rng.randint(1, 6))) for _ in range(500)] + ["a" * 3000, "%" * 3000]
+    slow, encode = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    assert encode._merged
+    assert encode(words_) == [np.array(e.ids, "<u4").tobytes() for e in slow.encode_batch(words_, add_special_tokens=False)]
 
 
 # SimHash

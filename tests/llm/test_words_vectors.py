@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 
 import cases
-from ladderline.llm import alignment, collision, spelling
+from ladderline.llm import alignment, collision, common, spelling
 from ladderline.llm.queries import vocabulary
 
 
@@ -209,7 +209,7 @@ def brute_alignment(rows):
     slow = Tokenizer.from_file(PATHS[0])
     slow.encode_special_tokens = True
     pieces = sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
-    letters = alignment._byte_letters()
+    letters = common.byte_letters()
 
     def bytes_b(i):
         p = pieces.id_to_piece(i)
