@@ -9,7 +9,7 @@ it is kept at a score of `THRESHOLD` or more.
 Texts stay where they are but for trusted ones: a bit table of fixed size lets few others through to
 the exact join with the trusted doc_ids. The most frequent bin of each of a fixed number of slots
 reaches the scoring scan as a scalar of one size; the few n-grams in other bins are joined to theirs
-and summed per row. Ratios are whole numbers of 2^-32, so sums don't depend on their order.
+and summed per text. Ratios are whole numbers of 2^-32, so sums don't depend on their order.
 Everything is DataFrame functions.
 """
 
@@ -27,7 +27,7 @@ BYTES_PER_BIN = 128  # about twenty words; with fuller bins junk words share the
 UNIGRAM_BINS = 1 << 16  # at least
 BIGRAM_BINS = 1 << 14  # at least
 BIGRAM_ROOT = 4  # bigram bins per square root of the words
-UNIGRAM_SLOTS = 1 << 19
+UNIGRAM_SLOTS = 1 << 20
 BIGRAM_SLOTS = 1 << 17
 _SLOTS = UNIGRAM_SLOTS + BIGRAM_SLOTS
 _SLOT_GROUP = 1 << 10
@@ -180,45 +180,49 @@ def _head(ratios: DataFrame, size: tuple[int, int]) -> DataFrame:
     return _arrays(best.select("slot", "best.bin", "best.ratio"), _SLOTS, ["bin", "ratio"])
 
 
-def _scores(texts: DataFrame, ratios: DataFrame, size: tuple[int, int]) -> DataFrame:
-    """_digest and llr of every distinct text with words.
+def _texts(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """text's digest, base counts, and the word and bigram hashes `one` and `two`; the names of the counts."""
+    table = docs.select(F.col("text").cast("string").alias("text")).withColumn("found", words("text"))
+    table = table.withColumn("one", word_hashes(F.col("found")))
+    table = table.withColumn("two", pair_hashes(F.col("one")))
+    table = table.withColumn("hashes", window_hashes(F.col("one"), F.col("two")))
+    counts = base_rules("found", "hashes")
+    for name, value in counts.items():
+        table = table.withColumn(name, value)
+    return table.select(digest("text").alias("_digest"), *counts, "one", "two"), list(counts)
+
+
+def _scored(docs: DataFrame, ratios: DataFrame | None, size: tuple[int, int]) -> DataFrame:
+    """_digest, base counts and llr of every distinct text.
 
-    Copies of a text count together; their mean is that of each.
+    Copies of a text count together; their mean is that of each, their counts are the same.
     """
+    texts, counts = _texts(docs)
+    alike = [F.max(c).alias(c) for c in counts]
+    if ratios is None:
+        return texts.groupBy("_digest").agg(*alike, F.lit(None).cast("double").alias("llr"))
     head = written(_head(ratios, size), "quality-head").scalar()
     at = lambda name: F.get(head[name], _slot(F.col("bin"), size).cast("int"))
-    hashed = texts.select(digest("text").alias("_digest"), word_hashes(words("text")).alias("one"))
-    grams = hashed.select("_digest", _grams(F.col("one"), pair_hashes(F.col("one")), size).alias("grams"))
-    every = grams.select("_digest", F.explode_outer("grams").alias("bin")).where("bin IS NOT NULL")
-    # per text one row for all n-grams in the slots, and one for every other bin
-    own = at("bin") == F.col("bin")
-    counted = written(every.groupBy("_digest", F.when(~own, F.col("bin")).alias("rest")).agg(
-        F.sum(F.when(own, at("ratio"))).alias("inside"), F.count(F.lit(1)).alias("grams")), "quality-grams")
-    whole = counted.groupBy("_digest").agg(F.sum("inside").alias("inside"), F.sum("grams").alias("grams"))
-    rest = (counted.where("rest IS NOT NULL").join(ratios.select("bin", "ratio").hint("merge"), F.col("rest") == F.col("bin"))
+    grams = texts.select("_digest", *counts, _grams(F.col("one"), F.col("two"), size).alias("grams"))
+    every = grams.select("_digest", *counts, F.explode_outer("grams").alias("bin"))
+    # per text one row for all n-grams in the slots, and one for every other bin; texts without words have the first
+    other = at("bin") != F.col("bin")
+    counted = written(every.groupBy("_digest", F.when(other, F.col("bin")).alias("rest")).agg(
+        F.sum(F.when(~other, at("ratio"))).alias("inside"), F.count("bin").alias("grams"), *alike), "quality-grams")
+    whole = counted.groupBy("_digest").agg(F.sum("inside").alias("inside"), F.sum("grams").alias("grams"), *alike)
+    rest = (counted.where("rest IS NOT NULL").select("_digest", "rest", "grams").join(ratios.select("bin", "ratio").hint("merge"), F.col("rest") == F.col("bin"))
             .groupBy(F.col("_digest").alias("_own")).agg(F.sum(F.col("ratio") * F.col("grams")).alias("outside")))
     total = F.coalesce("inside", F.lit(0)) + F.coalesce("outside", F.lit(0))
     return whole.join(rest.hint("merge"), F.col("_digest") == F.col("_own"), "left").select(
-        "_digest", (total / F.lit(float(_UNIT)) / F.col("grams")).alias("llr"))
+        "_digest", *counts, F.when(F.col("grams") > 0, total / F.lit(float(_UNIT)) / F.col("grams")).alias("llr"))
 
 
 def _judged(docs: DataFrame, trusted: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, digest (of the text), the base counts, llr, base_failed and kept for every row."""
+    """_digest (of the text), the base counts, llr, base_failed and kept for every distinct text."""
     size = bins(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ratios = log_ratios(own, trusted, size)
-    table = own.withColumn("found", words("text"))
-    table = table.withColumn("one", word_hashes(F.col("found")))
-    table = table.withColumn("hashes", window_hashes(F.col("one"), pair_hashes(F.col("one"))))
-    counts = base_rules("found", "hashes")
-    for name, value in counts.items():
-        table = table.withColumn(name, value)
-    table = table.select("doc_id", digest("text").alias("digest"), *counts)
-    if ratios is None:
-        table = table.withColumn("llr", F.lit(None).cast("double"))
-    else:
-        scores = _scores(own, written(ratios, "quality-ratios"), size)
-        table = table.join(scores.hint("merge"), F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    table = _scored(own, None if ratios is None else written(ratios, "quality-ratios"), size)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.lit(threshold), F.lit(True))
     return table.withColumn("base_failed", failed).withColumn("kept", verdict)
@@ -232,13 +236,15 @@ def rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     are judged each; a null doc_id is never trusted but judged like any other. Other columns are
     ignored. An empty table gives no rows.
     """
-    return _judged(docs, trusted, threshold).select(
+    judged = written(_judged(docs, trusted, threshold), "quality-judged")
+    rows = docs.select("doc_id", digest("text").alias("digest"))
+    return rows.join(judged.hint("merge"), F.col("digest") == F.col("_digest")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that `rules` keeps, same columns. The verdict is the text's, known by a 128-bit hash."""
-    kept = _judged(docs, trusted, threshold).where("kept").select(F.col("digest").alias("_digest")).distinct()
+    kept = _judged(docs, trusted, threshold).where("kept").select("_digest")
     own = unused(docs, "digest")
     rows = docs.withColumn(own, digest("text"))
     return rows.join(kept, F.col(own) == F.col("_digest"), "left_semi").select(*docs.columns)
