@@ -46,20 +46,30 @@ _DROPPED_WORDS = {
     "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "widget",
 }
 _DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
+# parts of readers: they may be longer than the article
+_COMMENT_WORDS = {"comment", "comments", "disqus", "replies", "respond"}
+_BARRIERS = ("ul", "ol", "dl", "table", "menu", "div", "select")
 _CLOSES_P = _BLOCKS - {"body", "html", "head", "option", "optgroup", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "legend", "summary"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
 class _Lines(HTMLParser):
-    """Collects lines as (text, tags, link characters, region, in a marked article)."""
+    """Collects lines as (text, tags, link characters, region, in a marked article).
+
+    A tag, role or attribute that makes an element no text drops it at once. A class or id that names
+    it as such is weak evidence: the element is dropped when the page ends, unless it holds an article
+    or main that isn't so named, or more than half of the text and isn't named as comments.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.owner: list[int] = []  # of every line, the innermost named element, or -1
+        self.named: list[list] = []  # parent named element, named as comments, holds an article
         self.text: list[str] = []
         self.tags = self.linked = 0
-        self.stack: list[tuple[str, bool, int]] = []  # name, dropped from here on, region
-        self.open: dict[str, int] = {}
+        self.stack: list[tuple[str, bool, int, int]] = []  # name, dropped from here on, region, named element
+        self.open: dict[str, list[int]] = {}  # places in the stack
         self.regions = 0
         self.article_depth = 0
 
@@ -69,6 +79,7 @@ class _Lines(HTMLParser):
             if line:
                 region = self.stack[-1][2] if self.stack else 0
                 self.lines.append((line, self.tags, self.linked, region, self.article_depth > 0))
+                self.owner.append(self.stack[-1][3] if self.stack else -1)
         self.text, self.tags, self.linked = [], 0, 0
 
     def _dropped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -79,17 +90,27 @@ class _Lines(HTMLParser):
                 return True
             if name == "role" and value and value.lower() in _DROPPED_ROLES:
                 return True
-            if name in ("class", "id") and value and tag not in ("body", "html", "main"):
-                named = set("".join(c if c.isalnum() else " " for c in value.lower()).split())
-                if named & _DROPPED_WORDS or "header" in named and not self.article_depth:
-                    return True
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
         return False
 
+    def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, bool]:
+        """Whether a class or id names the element as no text, and whether as comments."""
+        found = comments = False
+        if tag not in ("body", "html", "main"):
+            for name, value in attrs:
+                if name in ("class", "id") and value:
+                    for token in value.lower().split():
+                        parts = set("".join(c if c.isalnum() else " " for c in token).split())
+                        if tag in _ARTICLES and len(parts) > 1 and not token.startswith("comment-"):
+                            continue  # says something of the article, not what it is
+                        found = found or bool(parts & _DROPPED_WORDS) or "header" in parts and not self.article_depth
+                        comments = comments or token in _COMMENT_WORDS or token.startswith("comment-")
+        return found, comments
+
     def _pop(self) -> str:
         name = self.stack.pop()[0]
-        self.open[name] -= 1
+        self.open[name].pop()
         self.article_depth -= name in _ARTICLES
         return name
 
@@ -104,12 +125,9 @@ class _Lines(HTMLParser):
                 self._close("p")
             for sibling in _SIBLINGS.get(tag, ()):
                 # an unclosed item ends where the next one of the same list begins
-                for name, _, _ in reversed(self.stack):
-                    if name == sibling:
-                        self._close(sibling)
-                        break
-                    if name in ("ul", "ol", "dl", "table", "menu", "div", "select"):
-                        break
+                last = self.open.get(sibling)
+                if last and last[-1] > max((self.open[b][-1] for b in _BARRIERS if self.open.get(b)), default=-1):
+                    self._close(sibling)
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
@@ -117,14 +135,26 @@ class _Lines(HTMLParser):
             return
         dropped = self.stack[-1][1] if self.stack else False
         region = self.stack[-1][2] if self.stack else 0
+        owner = self.stack[-1][3] if self.stack else -1
         if not dropped and self._dropped(tag, attrs):
             self._flush() if tag not in ("script", "style") else None
             dropped = True
+        elif not dropped:
+            named, comments = self._named(tag, attrs)
+            if named:
+                self._flush()
+                self.named.append([owner, comments, False])
+                owner = len(self.named) - 1
+            elif tag in _ARTICLES:
+                above = owner
+                while above >= 0 and not self.named[above][2]:
+                    self.named[above][2] = True
+                    above = self.named[above][0]
         if tag in _REGIONS:
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, dropped, region))
-        self.open[tag] = self.open.get(tag, 0) + 1
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, dropped, region, owner))
         self.article_depth += tag in _ARTICLES
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -147,7 +177,20 @@ class _Lines(HTMLParser):
     def finish(self) -> list[tuple[str, int, int, int, bool]]:
         self.close()
         self._flush()
-        return self.lines
+        if not self.named:
+            return self.lines
+        held = [0] * len(self.named)
+        for line, owner in zip(self.lines, self.owner):
+            if owner >= 0:
+                held[owner] += len(line[0])
+        for at in range(len(self.named) - 1, -1, -1):  # inner ones come later
+            if self.named[at][0] >= 0:
+                held[self.named[at][0]] += held[at]
+        half = sum(len(line[0]) for line in self.lines) / 2
+        gone = [False] * len(self.named)
+        for at, (parent, comments, article) in enumerate(self.named):
+            gone[at] = parent >= 0 and gone[parent] or not article and (comments or held[at] <= half)
+        return [line for line, owner in zip(self.lines, self.owner) if owner < 0 or not gone[owner]]
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

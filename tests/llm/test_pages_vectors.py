@@ -1,5 +1,7 @@
 """Page text, archives and vectors against plain Python."""
 
+import time
+import math
 import gzip
 import hashlib
 import re
@@ -175,3 +177,71 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), "t").collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}, 201: 200, 202: 200, 203: 200}
     assert components(spark.createDataFrame([], "u long, v long"), "t").select(F.count("*")).first()[0] == 0
+
+
+BODY = "".join(f"<p>{'word ' * 40}number {i}.</p>" for i in range(6))
+BODY_TEXT = "\n".join(f"{'word ' * 40}number {i}." for i in range(6))
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="has-sidebar">%s</div>', '<div class="no-banner">%s</div>', '<div class="social-science">%s</div>',
+    '<div class="content share">%s</div>', '<div class="post-comments-wrapper">%s</div>', '<div id="related-work">%s</div>',
+    '<article class="post comments-open">%s</article>'])
+def test_a_name_does_not_empty_a_page(wrapper):
+    assert html_text.main_text("<html><body>" + wrapper % BODY + "</body></html>") == BODY_TEXT
+
+
+def test_named_parts_go_even_where_they_are_long():
+    reply = "<article class='comment-body'><p>" + "reply text " * 300 + "</p></article>"
+    page = f"<body><div class='cookie-banner'><p>{'we use them ' * 9}</p></div><article>{BODY}<div class='share'>tell all your friends</div></article>"
+    page += f"<div class='comments'>{reply * 3}</div><div class='site-footer'><p>Copyright by all of us</p></div></body>"
+    assert html_text.main_text(page) == BODY_TEXT
+
+
+@pytest.mark.parametrize("head", ["", "<table><tr><td><div>"])
+def test_unclosed_items_take_linear_time(head):
+    def seconds(n):
+        start = time.process_time()
+        html_text.main_text(head + "<b>" * n + "<td>x" * n)
+        return time.process_time() - start
+
+    assert seconds(8_000) < 2 and seconds(32_000) < 12 * max(seconds(8_000), 0.02)
+
+
+def test_ratios_and_clusters_by_loops():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 40):
+        x = rng.gamma(1.0, 30.0, n)
+        reach, wanted = int(3 * html_text.SIGMA + 0.5), []
+        for i in range(n):
+            near = [(math.exp(-0.5 * ((j - i) / html_text.SIGMA) ** 2), x[j]) for j in range(n) if abs(j - i) <= reach]
+            wanted.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        assert np.allclose(html_text.smoothed(x), wanted)
+        cut = sum(x) / n
+        for _ in range(32):
+            high, low = [v for v in x if v > cut], [v for v in x if v <= cut]
+            if not high or not low:
+                break
+            cut = (sum(high) / len(high) + sum(low) / len(low)) / 2
+        assert html_text.threshold(x) == pytest.approx(cut)
+
+
+@pytest.mark.parametrize("dim", [16, 32, 64, 128])
+def test_codes_of_few_dimensions_use_all_bits(dim):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, dim))
+    unit = x[:300] / np.linalg.norm(x[:300], axis=1, keepdims=True)
+    noise = rng.normal(size=unit.shape)
+    noise -= (noise * unit).sum(axis=1, keepdims=True) * unit
+    cosine = rng.uniform(0.98, 1, size=(300, 1))
+    near = cosine * unit + np.sqrt(1 - cosine ** 2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    mean, projection = itq.learn(x)
+    a, b = (itq.codes(v, mean, projection).view(np.uint64) for v in (x, near))
+
+    def meet(one, other):
+        both = one ^ other
+        parts = [(both >> np.uint64(itq.PART * t)) & np.uint64((1 << itq.PART) - 1) for t in range(itq.TABLES)]
+        return np.any([np.bitwise_count(p) <= 1 for p in parts], axis=0) & (np.bitwise_count(both) <= itq.MAX_DISTANCE)
+
+    assert meet(a[:300], b).mean() >= 0.95
+    assert sum(meet(a[i], a[i + 1:]).sum() for i in range(len(a) - 1)) < 5_000  # of 1,124,250 pairs
