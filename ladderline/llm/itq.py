@@ -34,7 +34,11 @@ BLOCK = 128  # classes per packed block, on average
 
 
 def learn(x: np.ndarray, bits: int = BITS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) so that code bits are the signs of (unit vector - mean) @ projection."""
+    """(mean, projection) so that code bits are the signs of (unit vector - mean) @ projection.
+
+    Vectors of fewer dimensions than bits get several rotations, learned from different starts, so that
+    every bit of a code is used.
+    """
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(axis=0)
     centred = x - mean
@@ -42,15 +46,18 @@ def learn(x: np.ndarray, bits: int = BITS, seed: int = 11) -> tuple[np.ndarray,
     _, vectors = np.linalg.eigh(centred.T @ centred)
     axes = vectors[:, ::-1][:, :width]
     v = centred @ axes
-    rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, width)))[0]
-    for _ in range(ROTATIONS):
-        u, _, w = np.linalg.svd(np.where(v @ rotation >= 0, 1.0, -1.0).T @ v)
-        rotation = (u @ w).T
-    return mean, axes @ rotation
+    found = []
+    for start in range(-(-bits // width)):
+        rotation = np.linalg.qr(np.random.default_rng(seed + start).normal(size=(width, width)))[0]
+        for _ in range(ROTATIONS):
+            u, _, w = np.linalg.svd(np.where(v @ rotation >= 0, 1.0, -1.0).T @ v)
+            rotation = (u @ w).T
+        found.append(axes @ rotation)
+    return mean, np.concatenate(found, axis=1)[:, :bits]
 
 
 def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Signed 64-bit codes of the rows of `x`; unused high bits are zero."""
+    """Signed 64-bit codes of the rows of `x`."""
     d = len(mean)
     x = x[:, :d] if x.shape[1] >= d else np.pad(x, ((0, 0), (0, d - x.shape[1])))
     norm = np.linalg.norm(x, axis=1, keepdims=True)
