@@ -108,9 +108,13 @@ def _card(m: Column, key: str) -> Column:
     return F.when(_luhn(digits), once(F.element_at(checked, 1), lambda new: _refilled(m, new))).otherwise(m)
 
 
+# fixed values: the numbering plan's country codes of one and two digits; all others have three
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(-])", 1)
     digits = _digits(m)
+    country = F.when(m.startswith("+"), F.regexp_extract(digits, _COUNTRY, 1)).otherwise(F.lit(""))
     own = F.substring(digits, F.length(country) + 1, F.length(digits))
     valid = F.length(digits).between(8, 15) | ~m.startswith("+")
     return F.when(valid, once(F.concat(country, _permuted(own, key, "phone")), lambda new: _refilled(m, new))).otherwise(m)

@@ -309,6 +309,41 @@ def test_keep_one_chooses_rows_not_ids(spark):
 
 # pseudonyms
 
+def plain_feistel(value, a, b, key, form):
+    left, right = divmod(value, b)
+    number = lambda i, other: int(hashlib.sha256(f"{key}:{form}:{a}:{b}:{i}:{other}".encode()).hexdigest()[:15], 16)
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            left = (left + number(i, right) % a) % a
+        else:
+            right = (right + number(i, left) % b) % b
+    return left * b + right
+
+
+def plain_permuted(digits, key, form):
+    n, low = len(digits), len(digits) // 2
+    return str(plain_feistel(int(digits), 10 ** (n - low), 10 ** low, key, form)).zfill(n)
+
+
+def test_pseudonyms_against_a_plain_network(spark):
+    import datetime
+
+    start = datetime.date(1800, 1, 1)
+    day = (datetime.date(2020, 2, 29) - start).days
+    wanted_day = start + datetime.timedelta(plain_feistel(day, *pii._DATE_HALVES, pii.KEY, "date"))
+    address = plain_feistel(int.from_bytes(bytes([192, 168, 1, 77]), "big"), 65536, 65536, pii.KEY, "address")
+    body = plain_permuted("453201511283036", pii.KEY, "card")
+    card = next(body + c for c in "0123456789" if sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate((body + c)[::-1])) % 10 == 0)
+    own = plain_permuted("9745553436", pii.KEY, "phone")
+    abroad = plain_permuted("2071234567", pii.KEY, "phone")
+    given = ["on 2020-02-29 it", "at 192.168.1.77 now", "card 4532015112830366 ok", "+19745553436", "+1 974 555 3436", "+1 (974) 555-3436", "974-555-3436",
+             "+442071234567", "+44 20 7123 4567", "no number 12345"]
+    wanted = [f"on {wanted_day} it", f"at {'.'.join(map(str, address.to_bytes(4, 'big')))} now", f"card {card} ok", f"+1{own}", f"+1 {own[:3]} {own[3:6]} {own[6:]}",
+              f"+1 ({own[:3]}) {own[3:6]}-{own[6:]}", f"{own[:3]}-{own[3:6]}-{own[6:]}", f"+44{abroad}", f"+44 {abroad[:2]} {abroad[2:6]} {abroad[6:]}", "no number 12345"]
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(given)], "doc_id long, text string").coalesce(1)
+    assert [r.text for r in pii.pseudonymized_documents(docs).collect()] == wanted
+
+
 TEXTS = [
     "write und.34@mail7.example.com, or +1 (974) 555-3436 now", "card 4845168114407329 and 4845 1681 1440 7329 again", "not a card 4845168114407328",
     "ip 97.51.17.173. but 999.1.1.1 stays", "ssn 123-45-6789, 000-12-3456 no", "born 1984-02-29 or 29.02.1984, never 31/02/2020",
