@@ -31,7 +31,7 @@ from ladderline.llm.common import arrow_batches, byte_letters
 from ladderline.session import written
 
 CHUNK_BYTES = 48 << 20  # of text
-CHUNK_WINDOWS = 400_000  # distinct, some 400 bytes each
+CHUNK_WINDOWS = 300_000  # distinct, some 400 bytes each
 CHUNK_IDS = 4_000_000  # in distinct windows
 # fixed value: the pre-tokenization pattern of the byte-level vocabulary
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
