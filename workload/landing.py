@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ladderline import fixed_values as fv
 from ladderline.functions.rating import lookup
-from ladderline.session import new_path
+from ladderline.session import new_path, written
 from ladderline.sources.season_csv import evaluated
 from workload import fixture
 
 ROWS_PER_FILE = 1_000_000
 ROWS_PER_DOCUMENT = 1_000
+NAMES_PER_PART = 1_000
 
 RAW_SQL = """
 raw AS (
@@ -178,11 +179,13 @@ def name_map(matches: DataFrame) -> DataFrame:
 
 
 def write_name_map(mapping: DataFrame) -> str:
-    """JSON objects over the names, cut by a hash of the name."""
+    """JSON objects over the names, cut by a hash of the name into parts of about NAMES_PER_PART."""
     path = new_path(mapping.sparkSession, "names")
     pair = F.struct("raw", "canonical")
+    mapping = written(mapping, "name-pairs")
+    parts = max(1, mapping.count() // NAMES_PER_PART)
     (
-        mapping.groupBy(F.pmod(F.xxhash64("raw"), F.lit(16)).alias("part"))
+        mapping.groupBy(F.pmod(F.xxhash64("raw"), F.lit(parts)).alias("part"))
         .agg(F.to_json(F.map_from_entries(F.collect_list(pair))).alias("value"))
         .repartition("part").write.partitionBy("part").text(path)
     )
