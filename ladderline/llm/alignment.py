@@ -3,7 +3,7 @@
 Both tokenizers run over the whole text. Where a token that begins with a blank starts at the same byte
 in both, both have ended there (checked by byte offsets), so the text is cut into windows of token ids.
 A window's alignment (groups between shared ends, links between overlapping tokens) is worked out once
-and remembered under its two id tuples.
+and remembered under its ids.
 
 Counts of linked id pairs concern the whole corpus. Texts are worked through in chunks of bounded size,
 each with its own table of distinct windows and pairs; only those tables are shuffled to be summed by
@@ -64,8 +64,10 @@ class Tokenizers:
         bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         self.bytes_a, self.bytes_b = ([table.get(i, b"") for i in range(max(table) + 1)] for table in (bytes_a, bytes_b))
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
-        self.sizes_a, self.sizes_b = self.size_a.tolist(), self.size_b.tolist()
-        self.name = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        # both in one list, the second vocabulary's from first_b on
+        self.first_b = len(self.bytes_a)
+        self.size = self.size_a.tolist() + self.size_b.tolist()
+        self.name = [str(i) for table in (self.bytes_a, self.bytes_b) for i in range(len(table))]
         self.blank_a, self.blank_b = (np.array([x[:1] == b" " for x in table]) for table in (self.bytes_a, self.bytes_b))
 
     def ids_a(self, text: str) -> list[int]:
@@ -97,62 +99,61 @@ def loaded(path_a: str, path_b: str) -> Tokenizers:
     return _loaded[path_a, path_b]
 
 
-def aligned(a: list[int], b: list[int], size_a: list[int], size_b: list[int], name: list[str]) -> tuple[str, int, list[int]]:
+def aligned(ids: list[int], n: int, first_b: int, size: list[int], name: list[str]) -> tuple[str, int, list[int]]:
     """(groups as text, number of groups, linked pairs as a << 32 | b) of ids that cover the same bytes.
 
-    size_a and size_b are the bytes of every id, name is the text of every number below the ids' sizes.
+    `ids` are n of the first vocabulary and then those of the second, counted from `first_b`; size and
+    name are the bytes and the printed id of each.
     """
-    groups, links = "", []
-    own_a, own_b = name[a[0]], name[b[0]]
-    ahead = size_a[a[0]] - size_b[b[0]]  # bytes that a's tokens reach beyond b's
-    links.append(a[0] << 32 | b[0])
-    n, i, j, last = 1, 0, 0, len(a) - 1
+    x, y = ids[0], ids[n]
+    groups, links, count, i, j, last = "", [x << 32 | y - first_b], 1, 0, n, n - 1
+    own_a, own_b = name[x], name[y]
+    ahead = size[x] - size[y]  # bytes that the first's tokens reach beyond the second's
     while True:
         if ahead == 0:
             groups += own_a + "|" + own_b
             if i == last:
-                return groups, n, links
-            i, j, n = i + 1, j + 1, n + 1
-            x, y = a[i], b[j]
+                return groups, count, links
+            i, j, count = i + 1, j + 1, count + 1
+            x, y = ids[i], ids[j]
             groups += ";"
             own_a, own_b = name[x], name[y]
-            ahead = size_a[x] - size_b[y]
+            ahead = size[x] - size[y]
         elif ahead < 0:
             i += 1
-            x = a[i]
+            x = ids[i]
             own_a += "," + name[x]
-            ahead += size_a[x]
+            ahead += size[x]
         else:
             j += 1
-            y = b[j]
+            y = ids[j]
             own_b += "," + name[y]
-            ahead -= size_b[y]
-        links.append(a[i] << 32 | b[j])
+            ahead -= size[y]
+        links.append(x << 32 | y - first_b)
 
 
 class Windows:
-    """Distinct windows of one chunk, remembered by their id tuples."""
+    """Distinct windows of one chunk, remembered by their ids: the first vocabulary's, then the second's."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.t = tokenizers
-        self.place: dict[tuple[bytes, bytes], int] = {}
+        self.place: dict[bytes, int] = {}
         self.text: list[str] = []
         self.groups: list[int] = []
-        self.links: list[array] = []
+        self.links: list[bytes] = []
         self.sizes: list[int] = []
         self.ids = 0
 
-    def learn(self, key: tuple[bytes, bytes]) -> int:
+    def learn(self, key: bytes, n: int) -> int:
         place = self.place.get(key)
         if place is None:
-            a, b = array("I", key[0]).tolist(), array("I", key[1]).tolist()
-            text, groups, links = aligned(a, b, self.t.sizes_a, self.t.sizes_b, self.t.name)
+            text, groups, links = aligned(array("I", key).tolist(), n, self.t.first_b, self.t.size, self.t.name)
             place = self.place[key] = len(self.text)
             self.text.append(text)
             self.groups.append(groups)
-            self.links.append(array("q", links))
+            self.links.append(array("q", links).tobytes())
             self.sizes.append(len(links))
-            self.ids += len(a) + len(b)
+            self.ids += len(key) // 4
         return place
 
     def of(self, a: list[int], b: list[int]) -> list[int]:
@@ -164,13 +165,18 @@ class Windows:
         near = np.minimum(np.searchsorted(at_b, at_a), max(len(at_b) - 1, 0))
         both = at_b[near] == at_a if len(at_b) else np.zeros(len(at_a), bool)
         cut_a, cut_b = marked_a[both], marked_b[near[both]]
-        cut_a, cut_b = ((4 * np.r_[0, x[x > 0], n]).tolist() for x, n in ((cut_a, len(a)), (cut_b, len(b))))
-        data_a, data_b = a.tobytes(), b.tobytes()
-        keys = [(data_a[p:q], data_b[r:s]) for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        cut_a, cut_b = (np.concatenate(([0], x[x > 0], [n])) for x, n in ((cut_a, len(a)), (cut_b, len(b))))
+        # all ids window by window: a window's first ids, then its second ones
+        n_a, n_b = np.diff(cut_a), np.diff(cut_b)
+        mixed = np.empty(len(a) + len(b), "<u4")
+        mixed[np.arange(len(a)) + np.repeat(cut_b[:-1], n_a)] = a
+        mixed[np.arange(len(b)) + np.repeat(cut_a[1:], n_b)] = b + np.uint32(self.t.first_b)
+        data, ends = mixed.tobytes(), (4 * (cut_a + cut_b)).tolist()
+        keys = [data[p:q] for p, q in zip(ends, ends[1:])]
         found = list(map(self.place.get, keys))
         if None in found:
-            for n in [n for n, place in enumerate(found) if place is None]:
-                found[n] = self.learn(keys[n])
+            for at in [at for at, place in enumerate(found) if place is None]:
+                found[at] = self.learn(keys[at], int(n_a[at]))
         return found
 
     def table(self, times: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
