@@ -203,12 +203,15 @@ def _scored(docs: DataFrame, ratios: DataFrame | None, size: tuple[int, int]) ->
         return texts.groupBy("_digest").agg(*alike, F.lit(None).cast("double").alias("llr"))
     head = written(_head(ratios, size), "quality-head").scalar()
     at = lambda name: F.get(head[name], _slot(F.col("bin"), size).cast("int"))
-    grams = texts.select("_digest", *counts, _grams(F.col("one"), F.col("two"), size).alias("grams"))
-    every = grams.select("_digest", *counts, F.explode_outer("grams").alias("bin"))
-    # per text one row for all n-grams in the slots, and one for every other bin; texts without words have the first
+    # a null before the n-grams gives every text its row without a bin
+    grams = F.concat(F.array(F.lit(None).cast("long")), _grams(F.col("one"), F.col("two"), size))
+    every = texts.select("_digest", *counts, grams.alias("grams")).select("_digest", *counts, F.explode_outer("grams").alias("bin"))
+    # per text one row for all n-grams in the slots, with its counts, and one for every other bin
     other = at("bin") != F.col("bin")
-    counted = written(every.groupBy("_digest", F.when(other, F.col("bin")).alias("rest")).agg(
-        F.sum(F.when(~other, at("ratio"))).alias("inside"), F.count("bin").alias("grams"), *alike), "quality-grams")
+    rest = F.when(other, F.col("bin"))
+    first = [F.max(F.when(rest.isNull(), F.col(c))).alias(c) for c in counts]
+    counted = written(every.groupBy("_digest", rest.alias("rest")).agg(
+        F.sum(F.when(~other, at("ratio"))).alias("inside"), F.count("bin").alias("grams"), *first), "quality-grams")
     whole = counted.groupBy("_digest").agg(F.sum("inside").alias("inside"), F.sum("grams").alias("grams"), *alike)
     rest = (counted.where("rest IS NOT NULL").select("_digest", "rest", "grams").join(ratios.select("bin", "ratio").hint("merge"), F.col("rest") == F.col("bin"))
             .groupBy(F.col("_digest").alias("_own")).agg(F.sum(F.col("ratio") * F.col("grams")).alias("outside")))
@@ -222,7 +225,7 @@ def _judged(docs: DataFrame, trusted: DataFrame, threshold: float) -> DataFrame:
     size = bins(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     ratios = log_ratios(own, trusted, size)
-    table = _scored(own, None if ratios is None else written(ratios, "quality-ratios"), size)
+    table = _scored(own, ratios, size)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.lit(threshold), F.lit(True))
     return table.withColumn("base_failed", failed).withColumn("kept", verdict)
