@@ -175,7 +175,7 @@ def tokenized(docs: DataFrame, tokenizer: str, label: str = "pack-ids") -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source"))
     schema = "part long, place long, doc_id long, source string, before long, doc_tokens long, ids binary"
     path = new_path(spark, label)
-    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, schema).write.option("compression", "lz4").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -258,6 +258,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
                         padded = filled if filled & (filled - 1) == 0 else window
                         yield (doc_id, start, length, zlib.crc32(data[4 * start:4 * (start + length)]), n, sequence, offset, padded)
 
-        yield from arrow_batches(rows(), _PIECES, limit_rows=50_000)
+        gc.disable()  # as above
+        try:
+            yield from arrow_batches(rows(), _PIECES, limit_rows=50_000)
+        finally:
+            gc.enable()
 
     return joined.mapInArrow(run, ", ".join(f"{f.name} long" for f in _PIECES))

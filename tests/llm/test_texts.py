@@ -87,6 +87,7 @@ def test_quality_bins_grow_with_the_text(spark, monkeypatch):
     text = lambda k: " ".join(f"w{int(rng.paretovariate(0.3)) % 10**9}" for _ in range(k))
     found = [(i, text(2_000), "en", "s") for i in range(200)]
     found += [(500, found[3][1], "en", "s"), (None, found[3][1], "en", "s"), (501, None, "en", "s")]
+    found += [(600 + i, f"lonely{i}", "en", "s") for i in range(20)]  # some of their bins are in no slot
     got = quality.rules(cases.table(spark, found), spark.createDataFrame([(i,) for i in range(100)], "doc_id long")).collect()
     one = lambda x: xxhash.xxh64_intdigest(x.encode(), 42)
     (n, m), a = quality.bins(sum(len(r[1] or "") for r in found)), quality.SMOOTHING
@@ -98,7 +99,7 @@ def test_quality_bins_grow_with_the_text(spark, monkeypatch):
     of_target, of_raw = sum(target.values()), sum(raw.values())
     ratio = {g: part(target[g], of_target) - part(raw[g], of_raw) for g in raw}
     texts = {r[0]: r[1] for r in found}
-    assert len(got) == len(found)
+    assert len(got) == len(found) and all(r.base_failed is not None and r.kept is not None for r in got)
     for r in got:
         if texts[r.doc_id]:
             assert r.llr == pytest.approx(np.mean([ratio[g] for g in own[texts[r.doc_id]]]), abs=1e-9)
