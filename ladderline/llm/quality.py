@@ -206,12 +206,14 @@ def _scored(docs: DataFrame, ratios: DataFrame | None, size: tuple[int, int]) ->
     # a null before the n-grams gives every text its row without a bin
     grams = F.concat(F.array(F.lit(None).cast("long")), _grams(F.col("one"), F.col("two"), size))
     every = texts.select("_digest", *counts, grams.alias("grams")).select("_digest", *counts, F.explode_outer("grams").alias("bin"))
+    # each look into the slots holds them once in the plan: two are enough
+    looked = every.select("_digest", *counts, "bin", at("bin").alias("held"), at("ratio").alias("ratio"))
     # per text one row for all n-grams in the slots, with its counts, and one for every other bin
-    other = at("bin") != F.col("bin")
-    rest = F.when(other, F.col("bin"))
-    first = [F.max(F.when(rest.isNull(), F.col(c))).alias(c) for c in counts]
-    counted = written(every.groupBy("_digest", rest.alias("rest")).agg(
-        F.sum(F.when(~other, at("ratio"))).alias("inside"), F.count("bin").alias("grams"), *first), "quality-grams")
+    placed = looked.select("_digest", *counts, "bin", F.when(F.col("held") != F.col("bin"), F.col("bin")).alias("rest"), "ratio")
+    inside = F.col("rest").isNull()
+    first = [F.max(F.when(inside, F.col(c))).alias(c) for c in counts]
+    counted = written(placed.groupBy("_digest", "rest").agg(
+        F.sum(F.when(inside & F.col("bin").isNotNull(), F.col("ratio"))).alias("inside"), F.count("bin").alias("grams"), *first), "quality-grams")
     whole = counted.groupBy("_digest").agg(F.sum("inside").alias("inside"), F.sum("grams").alias("grams"), *alike)
     rest = (counted.where("rest IS NOT NULL").select("_digest", "rest", "grams").join(ratios.select("bin", "ratio").hint("merge"), F.col("rest") == F.col("bin"))
             .groupBy(F.col("_digest").alias("_own")).agg(F.sum(F.col("ratio") * F.col("grams")).alias("outside")))
