@@ -127,12 +127,17 @@ def _last_per_id(events: DataFrame) -> DataFrame:
     )
 
 
-def recent_form(matches: DataFrame, config: RatingConfig = RatingConfig(), length: int = FORM_LENGTH) -> DataFrame:
-    """Each team's last matches with the flat replay's rating change; place 1 is the oldest shown."""
+def last_matches(matches: DataFrame, length: int = FORM_LENGTH) -> DataFrame:
+    """Each team's last `length` matches; `back` is 1 for the newest. A match against itself counts once."""
     seen = team_matches(matches).where(~((F.col("side") == 1) & (F.col("team") == F.col("opponent"))))
     newest_first = W.partitionBy("team").orderBy(*[F.desc(c) for c in MATCH_ORDER])
     # the rank limit is applied before the shuffle too, so a team sends at most `length` rows per task
-    last = written(seen.withColumn("back", F.row_number().over(newest_first)).where(F.col("back") <= length), "recent-form")
+    return seen.withColumn("back", F.row_number().over(newest_first)).where(F.col("back") <= length)
+
+
+def recent_form(matches: DataFrame, config: RatingConfig = RatingConfig(), length: int = FORM_LENGTH) -> DataFrame:
+    """Each team's last matches with the flat replay's rating change; place 1 is the oldest shown."""
+    last = written(last_matches(matches, length), "recent-form")
     events = rating_events(rating_fold(matches, config.flat()))
     needed = last.select(F.col("id").alias("match_id")).distinct()
     deltas = _last_per_id(events.join(needed, "match_id", "left_semi"))

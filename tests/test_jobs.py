@@ -98,7 +98,7 @@ def test_breaks_window_sees_buckets_only(spark):
 
 def test_form_limits_before_the_shuffle(spark):
     m = written(fixture.matches(spark, SF), "m")
-    assert "WindowGroupLimit" in plan(profiles.recent_form(m))
+    assert "WindowGroupLimit" in plan(profiles.last_matches(m))
 
 
 def test_scan_reads_needed_columns_and_pushes_filters(spark):
