@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
-_SHARED_FILES_KEY = "spark.ladderline.sharedFiles"
 SIDE_ROWS = 200_000  # rows up to which a written table is broadcast
+_known_shared: set[tuple[str, str]] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -18,28 +18,30 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables.
+    """The folder for intermediate tables: the one in `spark.checkpoint.dir`, else one below the warehouse."""
+    named = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
+    folder = named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ladderline-intermediate"
+    _require_shared(spark, folder)
+    return folder
+
 
-    Without one, a local session uses a folder below its warehouse; a cluster session is refused, as
-    executors on other machines could not read a machine-local path.
+def _require_shared(spark: SparkSession, folder: str) -> None:
+    """A cluster may mount a `file:` folder on all its machines or not: rows that its tasks write there must be read again.
+
+    Tried once for a session and folder. Rows of a folder that each machine has for itself would be lost without an error.
     """
-    named = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
-    if named:
-        _refuse_local(spark, named)
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder every executor can reach")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/ladderline-intermediate"
-
-
-def _refuse_local(spark: SparkSession, path: str) -> None:
-    """On several machines a `file:` folder is each machine's own, unless the cluster says it is mounted everywhere."""
-    master = spark.sparkContext.master
-    if master.startswith("local") or spark.conf.get(_SHARED_FILES_KEY, "false") == "true":
+    context = spark.sparkContext
+    if context.master.startswith("local") or (context.applicationId, folder) in _known_shared:
         return
-    named = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file":
-        raise RuntimeError(f"{_CHECKPOINT_KEY} is {path}: set {_SHARED_FILES_KEY} to true if all machines mount it")
+    named = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if named.getFileSystem(context._jsc.hadoopConfiguration()).getScheme() == "file":
+        rows, path = max(2, context.defaultParallelism), f"{folder}/probe-{uuid.uuid4().hex}"
+        spark.range(rows, numPartitions=rows).write.parquet(path)
+        found = spark.read.schema("id long").parquet(path).count()
+        discard(spark, path)
+        if found != rows:
+            raise RuntimeError(f"{folder} is not one folder for all machines: set {_CHECKPOINT_KEY} to one every executor can reach")
+    _known_shared.add((context.applicationId, folder))
 
 
 def new_path(spark: SparkSession, label: str) -> str:
