@@ -138,6 +138,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drops this worker's encoders: their words take memory that a task without texts needs."""
+    _encoders.clear()
+
+
 def tokenized(docs: DataFrame, tokenizer: str, label: str = "pack-ids") -> DataFrame:
     """Every row's ids, written once, with its place in its task and the tokens of its source before it there."""
     ending = np.array([END_ID], "<u4").tobytes()
@@ -246,6 +251,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     ).select("doc_id", "doc_tokens", "ids", (F.col("offset") + F.col("before")).alias("first"), "low", "high", "total")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 ids = batch.column(2)
