@@ -31,6 +31,8 @@ UNIGRAM_SLOTS = 1 << 20
 BIGRAM_SLOTS = 1 << 17
 _SLOTS = UNIGRAM_SLOTS + BIGRAM_SLOTS
 _SLOT_GROUP = 1 << 10
+_RATIO_BITS = 40  # of a slot's number: a ratio below 128 in size; the bin's bits above its slot stand over them
+_NO_BIN = -1 << _RATIO_BITS
 TRUST_BITS = 1 << 24  # of the table that spares other texts the join
 _UNIT = 1 << 32
 THRESHOLD = -0.22
@@ -123,16 +125,22 @@ def _slot(gram: Column, size: tuple[int, int]) -> Column:
         _masked(gram - size[0], BIGRAM_SLOTS) + F.lit(UNIGRAM_SLOTS).cast("long"))
 
 
-def _arrays(rows: DataFrame, slots: int, names: list[str]) -> DataFrame:
-    """One row of arrays of `slots` places: the values of `names` (slot, ...; absent ones -1 and 0) in order of slot."""
+def _high(gram: Column, size: tuple[int, int]) -> Column:
+    """The bits of a bin above its slot: slot and these are the bin."""
+    return F.when(gram < size[0], F.shiftright(gram, UNIGRAM_SLOTS.bit_length() - 1)).otherwise(
+        F.shiftright(gram - size[0], BIGRAM_SLOTS.bit_length() - 1))
+
+
+def _array(rows: DataFrame, slots: int, name: str, absent: int) -> DataFrame:
+    """One row with an array of `slots` places: `name` of every slot, `absent` where a slot has no row."""
     every = rows.sparkSession.range(slots).select(F.col("id").alias("slot")).join(rows.hint("merge"), "slot", "left")
-    filled = every.select("slot", *[F.coalesce(n, F.lit(-1 if n == "bin" else 0).cast("long")).alias(n) for n in names])
+    filled = every.select("slot", F.coalesce(name, F.lit(absent).cast("long")).alias("x"))
     # arrays of a group of slots first, so that one task only joins arrays together
     part = filled.groupBy(F.shiftright("slot", _SLOT_GROUP.bit_length() - 1).alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("slot", *names))).alias("all"))
-    pick = lambda n: F.transform("all", lambda x: x[n])
-    whole = part.select("part", *[pick(n).alias(n) for n in names]).agg(F.array_sort(F.collect_list(F.struct("part", *names))).alias("all"))
-    return whole.select(F.struct(*[F.flatten(pick(n)).alias(n) for n in names]).alias("head"))
+        F.array_sort(F.collect_list(F.struct("slot", "x"))).alias("all"))
+    pick = F.transform("all", lambda x: x["x"])
+    whole = part.select("part", pick.alias("x")).agg(F.array_sort(F.collect_list(F.struct("part", "x"))).alias("all"))
+    return whole.select(F.flatten(pick).alias("head"))
 
 
 def _trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -143,9 +151,9 @@ def _trusted(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     slot = lambda c: F.shiftright(place(c), 6)
     power = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), bit(c))
     rows = mark.select(slot("_trusted").alias("slot"), power("_trusted").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    table = written(_arrays(rows, TRUST_BITS // 64, ["bits"]), "quality-trusted-bits")
+    table = written(_array(rows, TRUST_BITS // 64, "bits", 0), "quality-trusted-bits")
     own = docs.select(F.col("doc_id").cast("string").alias("_own"), "text").where("_own IS NOT NULL")
-    maybe = own.where(F.get(table.scalar()["bits"], slot("_own").cast("int")).bitwiseAND(power("_own")) != 0)
+    maybe = own.where(F.get(table.scalar(), slot("_own").cast("int")).bitwiseAND(power("_own")) != 0)
     # labels grow with the documents: sorted and merged at every size, never broadcast
     return maybe.join(mark.hint("merge"), F.col("_own") == F.col("_trusted"), "left_semi").select("text")
 
@@ -175,9 +183,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, size: tuple[int, int], smoot
 
 
 def _head(ratios: DataFrame, size: tuple[int, int]) -> DataFrame:
-    """One row with `head`: for each slot its most frequent bin and that one's ratio."""
+    """One row with `head`: for each slot the high bits of its most frequent bin, and that one's ratio, in one number.
+
+    The driver holds it and sends it with the scan's tasks, once for each look into it.
+    """
     best = ratios.groupBy(_slot(F.col("bin"), size).alias("slot")).agg(F.max(F.struct("raw", "bin", "ratio")).alias("best"))
-    return _arrays(best.select("slot", "best.bin", "best.ratio"), _SLOTS, ["bin", "ratio"])
+    low = F.col("best.ratio").bitwiseAND(F.lit((1 << _RATIO_BITS) - 1).cast("long"))
+    entry = F.shiftleft(_high(F.col("best.bin"), size), _RATIO_BITS).bitwiseOR(low)
+    return _array(best.select("slot", entry.alias("entry")), _SLOTS, "entry", _NO_BIN)
 
 
 def _texts(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -202,14 +215,15 @@ def _scored(docs: DataFrame, ratios: DataFrame | None, size: tuple[int, int]) ->
     if ratios is None:
         return texts.groupBy("_digest").agg(*alike, F.lit(None).cast("double").alias("llr"))
     head = written(_head(ratios, size), "quality-head").scalar()
-    at = lambda name: F.get(head[name], _slot(F.col("bin"), size).cast("int"))
     # a null before the n-grams gives every text its row without a bin
     grams = F.concat(F.array(F.lit(None).cast("long")), _grams(F.col("one"), F.col("two"), size))
     every = texts.select("_digest", *counts, grams.alias("grams")).select("_digest", *counts, F.explode_outer("grams").alias("bin"))
-    # each look into the slots holds them once in the plan: two are enough
-    looked = every.select("_digest", *counts, "bin", at("bin").alias("held"), at("ratio").alias("ratio"))
+    # a look into the slots holds them in the plan: one is enough
+    looked = every.select("_digest", *counts, "bin", F.get(head, _slot(F.col("bin"), size).cast("int")).alias("entry"))
+    own = F.shiftright("entry", _RATIO_BITS) == _high(F.col("bin"), size)
+    ratio = F.shiftright(F.shiftleft("entry", 64 - _RATIO_BITS), 64 - _RATIO_BITS)
     # per text one row for all n-grams in the slots, with its counts, and one for every other bin
-    placed = looked.select("_digest", *counts, "bin", F.when(F.col("held") != F.col("bin"), F.col("bin")).alias("rest"), "ratio")
+    placed = looked.select("_digest", *counts, "bin", F.when(~own, F.col("bin")).alias("rest"), ratio.alias("ratio"))
     inside = F.col("rest").isNull()
     first = [F.max(F.when(inside, F.col(c))).alias(c) for c in counts]
     counted = written(placed.groupBy("_digest", "rest").agg(
