@@ -144,17 +144,22 @@ class Windows:
         self.sizes: list[int] = []
         self.ids = 0
 
-    def learn(self, key: bytes, n: int) -> int:
-        place = self.place.get(key)
-        if place is None:
-            text, groups, links = aligned(array("I", key).tolist(), n, self.t.first_b, self.t.size, self.t.name)
-            place = self.place[key] = len(self.text)
-            self.text.append(text)
-            self.groups.append(groups)
-            self.links.append(array("q", links).tobytes())
-            self.sizes.append(len(links))
-            self.ids += len(key) // 4
-        return place
+    def learn(self, found: list[int | None], keys: list[bytes], sizes: list[int]) -> None:
+        """Fills in the places that weren't found, of all windows of a text; `sizes` are their ids of the first vocabulary."""
+        known, first_b, size, name = self.place, self.t.first_b, self.t.size, self.t.name
+        for at, place in enumerate(found):
+            if place is None:
+                key = keys[at]
+                place = known.get(key)
+                if place is None:
+                    text, groups, links = aligned(array("I", key).tolist(), sizes[at], first_b, size, name)
+                    place = known[key] = len(self.text)
+                    self.text.append(text)
+                    self.groups.append(groups)
+                    self.links.append(array("q", links).tobytes())
+                    self.sizes.append(len(links))
+                    self.ids += len(key) // 4
+                found[at] = place
 
     def of(self, a: list[int], b: list[int]) -> list[int]:
         """Places of a text's windows, in its order."""
@@ -175,8 +180,7 @@ class Windows:
         keys = [data[p:q] for p, q in zip(ends, ends[1:])]
         found = list(map(self.place.get, keys))
         if None in found:
-            for at in [at for at, place in enumerate(found) if place is None]:
-                found[at] = self.learn(keys[at], int(n_a[at]))
+            self.learn(found, keys, n_a.tolist())
         return found
 
     def table(self, times: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:

@@ -1,0 +1,20 @@
+"""Windows of a text that are learned together."""
+
+from types import SimpleNamespace
+
+import numpy as np
+from ladderline.llm import alignment
+
+
+def test_windows_of_a_text_are_learned_in_one_call():
+    # ids 0 and 1 of the first vocabulary, 2 and 3 of the second: two bytes or one
+    tokenizers = SimpleNamespace(first_b=2, size=[2, 1, 2, 1], name=["0", "1", "0", "1"])
+    key = lambda *ids: np.array(ids, "<u4").tobytes()
+    windows = alignment.Windows(tokenizers)
+    keys, found = [key(0, 2), key(0, 3, 3), key(0, 2), key(1, 3)], [None, None, None, None]
+    windows.learn(found, keys, [1, 1, 1, 1])
+    assert found == [0, 1, 0, 2]
+    assert windows.text == ["0|0", "0|1,1", "1|1"] and windows.sizes == [1, 2, 1] and windows.ids == 7
+    found = [2, None]
+    windows.learn(found, [key(1, 3), key(0, 3, 3)], [1, 1])
+    assert found == [2, 1] and len(windows.text) == 3
