@@ -19,8 +19,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +35,18 @@ WINDOW = 2048
 END_ID = 1
 # bytes of words and ids in one generation of a worker's two caches, not a limit of the vocabulary
 _WORDS, _PARTS = 56 << 20, 24 << 20
-_BATCH = 4 << 20  # characters looked up at a time
+_BATCH = 4 << 20  # characters encoded at a time
 # a line of letters, then marks: the vocabulary's own rule cuts there, and sees the letters in lower case
 _LETTERS_MARKS = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.MULTILINE)
-_WORD_END, _END_BYTE = "</w>", b"\xff"  # UTF-8 has no such byte
+_WORD_END, _END_BYTE = "</w>", b"\n"  # no word has such a byte
+# the same letters and marks by bytes: the first byte of a letter beyond ASCII tells only with the second
+_BLANK, _LETTER, _MARK, _OTHER = range(4)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = _MARK
+_KINDS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = _LETTER
+_KINDS[ord(" ")] = _BLANK
+_LOWER = np.frombuffer(bytes(range(256)).lower().replace(b" ", _END_BYTE), np.uint8)
+_LATIN, _NO_LETTERS = 0xC3, (0x97, 0xB7)
 
 _TOKENS = pa.schema([("part", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()),
                      ("before", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -75,9 +82,11 @@ class Encoder:
     """Texts -> little-endian 32-bit ids. Kept per worker.
 
     The vocabulary drops white space and never joins over it, so text is cut at blanks and every
-    distinct word is looked up; a new one of letters and marks is put together from its two parts.
-    Such a part is one piece of the vocabulary: it goes straight to the merges, over bytes, where a
-    byte behind the last one stands for the end of the word. Other words go through the tokenizer.
+    distinct word of a batch is encoded once; Arrow numbers the words and puts the ids together.
+    A word of letters and marks is one or two pieces of the vocabulary: these go straight to the
+    merges, all of a batch in one call over bytes, where a byte that no word has stands for the end
+    of a piece. Other words, and all of a vocabulary that is built otherwise, go through the
+    tokenizer and are kept.
     """
 
     def __init__(self, path: str):
@@ -86,37 +95,99 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._words, self._parts = Generations(_WORDS), Generations(_PARTS)
-        self._merged = _merger(path)
+        self._merged = _merges(path)
 
-    def _encoded(self, parts: list[str], simple: bool) -> list[bytes]:
-        if simple and self._merged:
-            return [array("I", self._merged(part.encode() + _END_BYTE)).tobytes() for part in parts]
+    def _encoded(self, parts: list[str]) -> list[bytes]:
         return [array("I", found.ids).tobytes() for found in self._tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
         cut = _LETTERS_MARKS.findall("\n".join(new))
         letters = [a.lower() for a, _, _ in cut]
         simple = self._parts.absent({*letters, *(marks for _, marks, _ in cut)})
-        self._parts.keep(simple, self._encoded(simple, True))
+        self._parts.keep(simple, self._encoded(simple))
         others = list({other for _, _, other in cut if other})
-        whole = dict(zip(others, self._encoded(others, False)))
+        whole = dict(zip(others, self._encoded(others)))
         parts = self._parts.young
         self._words.keep(new, [parts[low] + parts[marks] if low else whole[other] for low, (_, marks, other) in zip(letters, cut)])
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text; all words of the texts are looked up together."""
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        new = self._words.absent(set(chain.from_iterable(cut)))
+    def _kept(self, words: pa.Array) -> pa.Array:
+        """The ids of words, each with its blank, by the tokenizer."""
+        plain = [word[:-1] for word in words.to_pylist()]
+        new = self._words.absent(set(plain))
         if new:
             self._learn(new)
-        known = self._words.young.__getitem__
-        return [b"".join(map(known, words)) for words in cut]
-
+        return pa.array(map(self._words.young.__getitem__, plain), pa.large_binary())
+
+    def _ids(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words, each with its blank."""
+        if not self._merged:
+            return self._kept(words)
+        starts = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+        data = np.frombuffer(words.buffers()[2], np.uint8, starts[-1])
+        kinds, low = _KINDS[data], _LOWER[data]
+        first = np.flatnonzero(data == _LATIN)
+        first = first[~np.isin(data[first + 1], _NO_LETTERS)]
+        kinds[first] = kinds[first + 1] = _LETTER
+        low[first[low[first + 1] < 0x9F] + 1] += 0x20
+        odd = np.flatnonzero((kinds == _OTHER) | (kinds == _MARK) & (np.append(kinds[1:], _BLANK) == _LETTER))
+        simple = np.ones(len(words), bool)
+        simple[np.searchsorted(starts, odd, "right") - 1] = False
+        if simple.all():
+            return self._merged(kinds, low)
+        stays, place = np.repeat(simple, np.diff(starts)), np.empty(len(words), np.int64)
+        place[simple], place[~simple] = np.arange(simple.sum()), np.arange(simple.sum(), len(words))
+        others = self._kept(words.filter(pa.array(~simple)))
+        return pa.concat_arrays([self._merged(kinds[stays], low[stays]), others]).take(pa.array(place))
 
-def _merger(path: str) -> Callable[[bytes], list[int]] | None:
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text; all words of the texts are encoded together."""
+        data = " ".join(["", *texts, ""]).replace("\n", " ").encode()
+        starts = np.flatnonzero(np.frombuffer(data, np.uint8) == ord(" "))
+        starts += 1
+        words = _array(pa.large_string(), starts, data).dictionary_encode()
+        ids = self._ids(words.dictionary).take(words.indices)
+        at = np.cumsum([0] + [text.count(" ") + text.count("\n") + 1 for text in texts])
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[at].tolist()
+        found = memoryview(ids.buffers()[2])
+        return [bytes(found[a:b]) for a, b in zip(at, at[1:])]
+
+
+def _array(kind: pa.DataType, starts: np.ndarray, data: bytes | np.ndarray) -> pa.Array:
+    """Texts or bytes that lie one behind the other in `data`; the last start is the end of the last one."""
+    return pa.Array.from_buffers(kind, len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)])
+
+
+class Merges:
+    """Words of letters and marks -> ids, by the merges of a vocabulary whose ids stand in their order."""
+
+    def __init__(self, vocabulary: dict[str, int], special: set[int]):
+        import tiktoken
+
+        letters, ranks = byte_letters(), {}
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            if i not in special:
+                body = token.removesuffix(_WORD_END)
+                self._last[i] = body != token
+                raw = bytes(letters[c] for c in body)
+                if len(raw) == 1 or _END_BYTE not in raw:
+                    ranks[raw + (_END_BYTE if body != token else b"")] = i
+        # without a special token the engine would look for an empty one at every place
+        self._engine = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={"\0": len(self._last)})
+
+    def __call__(self, kinds: np.ndarray, low: np.ndarray) -> pa.Array:
+        """The ids of the words whose bytes lie one behind the other, a blank behind each."""
+        following = np.append(kinds[1:], _BLANK)
+        cut = np.flatnonzero((kinds == _LETTER) & (following == _MARK)) + 1
+        text = np.insert(low, cut, ord(_END_BYTE)).tobytes().decode()
+        ids = self._engine.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        pieces = np.cumsum((kinds != _BLANK) & (kinds != following))[kinds == _BLANK]  # up to each word's end
+        ends = np.concatenate(([0], np.flatnonzero(self._last[ids]) + 1))
+        return _array(pa.large_binary(), 4 * ends[np.concatenate(([0], pieces))], ids)
+
+
+def _merges(path: str) -> Merges | None:
     """The merges of a vocabulary whose ids stand in the order of its merges; None for another."""
-    import tiktoken
-
     with open(path, encoding="utf-8") as file:
         known = json.load(file)
     vocabulary, merges = known["model"]["vocab"], known["model"]["merges"]
@@ -124,12 +195,7 @@ def _merger(path: str) -> Callable[[bytes], list[int]] | None:
     in_order = all(vocabulary.get("".join(pair) if isinstance(pair, list) else pair.replace(" ", "")) == 2 * 256 + n for n, pair in enumerate(merges))
     if not in_order or known["model"].get("end_of_word_suffix") != _WORD_END:
         return None
-    letters, ranks = byte_letters(), {}
-    for token, i in vocabulary.items():
-        if i not in special:
-            body = token.removesuffix(_WORD_END)
-            ranks[bytes(letters[c] for c in body) + (_END_BYTE if body != token else b"")] = i
-    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    return Merges(vocabulary, special)
 
 
 def encoder(path: str) -> Encoder:

@@ -239,6 +239,29 @@ def test_parts_of_words_merge_as_the_tokenizer_merges():
     assert encode(words_) == [np.array(e.ids, "<u4").tobytes() for e in slow.encode_batch(words_, add_special_tokens=False)]
 
 
+def test_new_words_of_a_batch_take_one_call_and_are_not_kept():
+    encode, calls = packing.Encoder(tokenizer_path()), []
+    merged = encode._merged
+    encode._merged = lambda *batch: calls.append(1) or merged(*batch)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("etaoinshrd") for _ in range(8)) + rng.choice(["", ".", ",)"]) for _ in range(500)) for _ in range(8)]
+    ids = encode(texts)
+    assert len(calls) == 1
+    assert list(map(len, ids)) == [sum(map(len, encode(text.split()))) for text in texts]
+    assert not encode._words.size and not encode._parts.size
+
+
+@pytest.mark.parametrize("texts", [
+    [], [""], ["", "", "a", ""], [" ", "\n\n", "x "], ["12 3"], ["12 3", "ab 4th"], ["\t", "a\tb ."], [".a ..a a.a a. .", "A'b 'a"],
+    ["été ÉTÉ, ÀÞ àþ ×× a÷b ß ÿÿ! ÃÂ ©a ŸĀ", "naïve Œuvre"], ["\x00 \x7f \xa0 a\x00b", "漢字 Ünïcode漢 \U0001f600!"]])
+def test_encoding_of_odd_batches(texts):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    wanted = [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text in texts]
+    assert packing.Encoder(tokenizer_path())(texts) == wanted
+
+
 # SimHash
 
 def plain_fingerprint(text):
